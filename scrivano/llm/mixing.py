@@ -10,7 +10,8 @@ the rest as an inclusion probability.  The flight phase keeps three fractional d
 and moves their probabilities along the null space of two constraints, the sums of words and of
 documents, until one is 0 or 1.  It runs in blocks of about BLOCK documents of one source; what at
 most two documents a block leave open goes to the next level, with fewer blocks, until one block a
-source is left.  There at most two documents land on the rounding that misses the words least.
+source is left.  There at most two documents land on the rounding that misses the words least, and a
+few documents change sides if that brings the words nearer.
 Every block is bounded, whatever the source holds, and random numbers come from hashes of the
 block, so reruns agree.
 
@@ -35,6 +36,8 @@ LIMIT = 2
 BLOCK = 4096
 SEED = 20
 TINY = 1e-9
+#: Documents that the landing may change at most, after at most two have landed.
+REPAIRS = 32
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
@@ -53,7 +56,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int
 def flight(p: list[float], size: list[int], rng: random.Random, landing: bool = False) -> list[float]:
     """Inclusion probabilities after the flight phase, and after the landing if asked for."""
     p, active, queue = list(p), [], [i for i, x in enumerate(p) if TINY < x < 1 - TINY]
-    p = [round(x) if not TINY < x < 1 - TINY else x for x in p]
+    p = [x if TINY < x < 1 - TINY else float(round(x)) for x in p]
+    open_ones, whole = list(queue), sum(a * b for a, b in zip(p, size))
     queue.reverse()
     while True:
         while len(active) < 3 and queue:
@@ -90,6 +94,14 @@ def flight(p: list[float], size: list[int], rng: random.Random, landing: bool =
         best = min(range(1 << len(active)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(active) if m >> k & 1) - want), abs(m.bit_count() - count), m))
         for k, i in enumerate(active):
             p[i] = float(best >> k & 1)
+        # A long document may have landed far off: change single ones while that brings the words nearer.
+        off = sum(a * b for a, b in zip(p, size)) - whole
+        for _ in range(REPAIRS):
+            i = min(open_ones, key=lambda i: (abs(off + size[i] * (1 - 2 * p[i])), i), default=None)
+            if i is None or abs(off + size[i] * (1 - 2 * p[i])) >= abs(off):
+                break
+            off += size[i] * (1 - 2 * p[i])
+            p[i] = 1 - p[i]
     return p
 
 
