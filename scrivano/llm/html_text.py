@@ -305,7 +305,7 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", id_col:
     else:
         pages = pages.withColumn("_s", F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).cast("int"))
         lists = lists.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pages = pages.join(lists, (F.col("_host") == F.col("host")) & (F.col("_s") == F.col("s")), "left")
+        pages = pages.join(lists.hint("merge"), (F.col("_host") == F.col("host")) & (F.col("_s") == F.col("s")), "left")
     sent = pages.select(id_col, url_col, "_html", "_drop")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 

@@ -161,7 +161,7 @@ def scan(df: DataFrame, path: Column, text_col: str = "text", keep: list[str] |
     nearest = up.join(stated.withColumnRenamed("_dir", "by"), "by").groupBy("_dir").agg(F.max_by(F.struct("by", "theirs"), F.length("by")).alias("from"))
     nearest = nearest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = files.withColumn("_salt", F.pmod(F.xxhash64("_path", *keep), F.lit(SALTS)).cast("int"))
-    out = salted.join(nearest, ["_dir", "_salt"], "left")
+    out = salted.join(nearest.hint("merge"), ["_dir", "_salt"], "left")
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("from").isNotNull(), "inherited").otherwise("none")
     return out.select(
         *keep,

@@ -104,7 +104,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     # Rows alike in id and candidates are one row here; they come back at the end.
     rows = some.groupBy("id", "c").agg(F.count("*").alias("n"))
     parts = rows.select("id", "c", "n", F.explode("c").alias("s")).select("*", F.col("s.hash").alias("hash"), F.pmod(F.xxhash64("id", "s.start"), F.lit(SALTS)).cast("int").alias("salt"))
-    judged = parts.join(owners, ["hash", "salt"], "left")
+    judged = parts.join(owners.hint("merge"), ["hash", "salt"], "left")
     n_owners = F.coalesce("owners", F.lit(1))
     verdict = F.when(n_owners >= MANY_OWNERS, "example").when(F.col("s.random"), "live").otherwise("plain")
     own = F.struct(F.col("s.start").alias("start"), F.col("s.no").alias("no"), F.col("s.end").alias("end"), verdict.alias("verdict"), n_owners.alias("owners"), F.coalesce("repos", F.lit(1)).alias("repos"))

@@ -110,13 +110,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node it reaches.
 
     Alternating large-star and small-star rounds; each is written to the shared folder.  The join
-    on a node is salted, as the centre of a star may hold much of the table.
+    on a node is salted, as the centre of a star may hold much of the table, and merges: Spark's
+    estimate of a side's size does not see the salts, so it might broadcast what grows with the input.
     """
 
     def star(e: DataFrame) -> DataFrame:
         """Each (u, v) with the smallest of u and all its v."""
         low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-        return e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "s"]).select("u", "v", "m")
+        return e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low.hint("merge"), ["u", "s"]).select("u", "v", "m")
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
@@ -149,7 +150,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = classes.where("n > 1").join(found, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("low").alias("component"))
     several = linked.unionByName(copies).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("several", F.lit(True))
     salt = F.pmod(F.xxhash64("id", "text_key"), F.lit(SALTS)).cast("int")
-    out = prints.withColumn("salt", salt).join(several, ["fp", "salt"], "left")
+    out = prints.withColumn("salt", salt).join(several.hint("merge"), ["fp", "salt"], "left")
     return out.select(
         F.col("id").alias(id_col),
         "text_key",
