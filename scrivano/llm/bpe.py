@@ -11,7 +11,8 @@ on the state of its right part, both as of the merge that made them.  Arcs once
 transition table of bounded size.
 
 A word is encoded by transitions over its prefixes: each prefix has one correct tokenization, so
-one token may end it, the one whose arc leaves the state of the prefix before.  Decoding emits the
+one token may end it, the one whose arc leaves the state of the prefix before.  A table over the
+labels' bytes lists the arcs that may start at a place.  Decoding emits the
 arcs' labels, the tokens' bytes.
 
 Defined results: null text is the empty text and has no ids; repeated rows give repeated results;
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .common import small_batches
 
 #: Fixed value: the public pattern that splits a text into words before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for ASCII text, where the standard library's matcher is faster.
+SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: The tokenizer file is read on the driver and broadcast; larger ones are refused.
 MOST_BYTES = 64 << 20
 #: Entries that the table of arcs and the one of encoded words may have before they start anew.
@@ -48,6 +52,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class Words(dict):
+    """Ids of words once encoded, as bytes; starts anew when full."""
+
+    def __init__(self, automaton: "Automaton"):
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        ids = np.array(self.automaton.encode_word(raw), "<u4").tobytes()
+        if len(raw) <= KEPT_WORD:
+            if len(self) >= MOST_KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Automaton:
     def __init__(self, data: bytes):
         spec = json.loads(data)
@@ -65,12 +86,22 @@ class Automaton:
             a, b = m.split(" ") if isinstance(m, str) else m
             a, b = raw(a), raw(b)
             self.gadget(r, self.token[a], self.token[b], self.token[a + b])
-        self.longest = max(map(len, self.token), default=1)
+        # Arc labels by their bytes: step leads from a place in a label to the next, labelled names its token.
+        self.step: dict[int, int] = {}
+        self.labelled = [-1]
+        for x, t in self.token.items():
+            if self.reached(t):
+                node = 0
+                for c in x:
+                    node = self.step.setdefault(node << 8 | c, len(self.labelled))
+                    if node == len(self.labelled):
+                        self.labelled.append(-1)
+                self.labelled[node] = t
         self.by_id = [self.label.get(i, b"") for i in range(max(self.label, default=-1) + 1)]
-        self.split = regex.compile(SPLIT)
+        self.split, self.split_ascii = regex.compile(SPLIT), re.compile(SPLIT_ASCII)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.arcs: dict[int, bool] = {}
+        self.words = Words(self)
 
     def gadget(self, r: int, a: int, b: int, ab: int) -> None:
         self.cut[a, b] = 2 * r
@@ -79,11 +110,11 @@ class Automaton:
 
     def arc(self, s: int, t: int) -> bool:
         """Whether token t may follow state s."""
-        found = self.arcs.get((s, t))
+        found = self.arcs.get(s << 32 | t)
         if found is None:
             if len(self.arcs) >= MOST_KEPT:
                 self.arcs.clear()
-            found = self.arcs[s, t] = self._arc(s, t)
+            found = self.arcs[s << 32 | t] = self._arc(s, t)
         return found
 
     def _arc(self, s: int, t: int) -> bool:
@@ -102,19 +133,32 @@ class Automaton:
                 t, time = parts[t][0], 2 * rt + 1  # as of the merge, its own cut included
 
     def encode_word(self, w: bytes) -> list[int]:
-        whole, token = len(w), self.token
-        state: list[tuple[int, int] | None] = [None] * (whole + 1)  # of each prefix: last token, its start
-        for end in range(1, whole + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = token.get(w[start:end])
-                if t is None or start and not (state[start] and self.arc(state[start][0], t)) or not self.reached(t):
+        whole = self.token.get(w)
+        if whole is not None and self.reached(whole):
+            return [whole]
+        n, step, labelled, arcs = len(w), self.step.get, self.labelled, self.arcs.get
+        last, came = [-1] * (n + 1), [0] * (n + 1)  # of each prefix: its last token, and where that starts
+        for start in range(n):
+            state, node, end = last[start], 0, start
+            while end < n:
+                node = step(node << 8 | w[end])
+                if node is None:
+                    break
+                end += 1
+                t = labelled[node]
+                if t < 0 or last[end] >= 0:
                     continue
-                state[end] = (t, start)
-                break
-        out, end = [], whole
+                if start:
+                    ok = arcs(state << 32 | t)
+                    if ok is None:
+                        ok = self.arc(state, t)
+                    if not ok:
+                        continue
+                last[end], came[end] = t, start
+        out, end = [], n
         while end:
-            t, end = state[end]
-            out.append(t)
+            out.append(last[end])
+            end = came[end]
         return out[::-1]
 
     def reached(self, t: int) -> bool:
@@ -123,26 +167,18 @@ class Automaton:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, kept = [], self.words
+        out, ids = [], self.words.__getitem__
         for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
             if k % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
-                continue
-            for w in self.split.findall(part):
-                ids = kept.get(w)
-                if ids is None:
-                    raw = w.encode()
-                    ids = np.array(self.encode_word(raw), "<u4").tobytes()
-                    if len(raw) <= KEPT_WORD:
-                        if len(kept) >= MOST_KEPT:
-                            kept.clear()
-                        kept[w] = ids
-                out.append(ids)
+            else:
+                found = (self.split_ascii if part.isascii() else self.split).findall(part)
+                out += map(ids, found)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        label = self.by_id
-        return b"".join([label[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        labels = map(self.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist())
+        return b"".join(labels).decode("utf-8", "replace")
 
 
 _READY: dict[bytes, Automaton] = {}
