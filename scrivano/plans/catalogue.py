@@ -1,4 +1,8 @@
 """All queries by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import text_queries, relational
+
+QUERIES: dict = {**text_queries.QUERIES, **relational.QUERIES}
+ORACLE_SQL: dict = {**text_queries.ORACLE_SQL, **relational.ORACLE_SQL}
