@@ -2,4 +2,30 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from .quality import STOP_WORDS, THRESHOLDS
+
+_WHITE = "[\\x09-\\x0D\\x20]"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def _broken(top: str, bottom: str, least, most, since: int) -> str:
+    parts = [f"{top} < CAST({least} AS DOUBLE) * {bottom}"] * (least is not None) + [f"{top} > CAST({most} AS DOUBLE) * {bottom}"] * (most is not None)
+    return f"(n_words >= {since} AND ({' OR '.join(parts)}))"
+
+
+OP6 = f"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WHITE}+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x09-\\x0D\\x20]')) AS l FROM documents),
+five AS (SELECT doc_id, CAST(i AS BIGINT) AS i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d) x),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM five) y WHERE n > 1),
+again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS k) k GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_WHITE}', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         coalesce(a.n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop,
+         length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS n_upper
+  FROM d LEFT JOIN again a ON a.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(_broken(*r[1:]) for r in THRESHOLDS)}) AS kept FROM b"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6}
