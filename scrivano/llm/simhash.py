@@ -106,6 +106,19 @@ def links(fps: DataFrame) -> DataFrame:
     return a.join(b, ok).select("a", "b")
 
 
+def _salt(*of: str) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(SALTS)).cast("int")
+
+
+def _salts_used(salt: str) -> Column:
+    """Aggregate: the set of salts as bits, so that a key is copied only to salts that its rows have."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {salt})"))
+
+
+def _salts(used: str) -> Column:
+    return F.expr(f"filter(sequence(0, {SALTS - 1}), i -> {used} & shiftleft(1L, i) <> 0)")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node it reaches.
 
@@ -116,8 +129,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame) -> DataFrame:
         """Each (u, v) with the smallest of u and all its v."""
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-        return e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low.hint("merge"), ["u", "s"]).select("u", "v", "m")
+        e = e.withColumn("s", _salt("v"))
+        low = e.groupBy("u").agg(F.min("v").alias("m"), _salts_used("s").alias("used"))
+        low = low.select("u", F.least("u", "m").alias("m"), F.explode(_salts("used")).alias("s"))
+        return e.join(low.hint("merge"), ["u", "s"]).select("u", "v", "m")
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
@@ -141,16 +156,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, text_key, fingerprint, component_id."""
-    prints = written(fingerprints(df, id_col, text_col))
-    classes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("low")))
+    prints = written(fingerprints(df, id_col, text_col)).withColumn("salt", _salt("id", "text_key"))
+    classes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("low"), _salts_used("salt").alias("used")))
     found = written(components(links(classes)))
     joined = found.join(classes, found.node == classes.fp)
     reached = joined.groupBy("root").agg(F.min("low").alias("component"))
-    linked = found.join(reached, "root").select(F.col("node").alias("fp"), "component")
-    copies = classes.where("n > 1").join(found, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("low").alias("component"))
-    several = linked.unionByName(copies).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("several", F.lit(True))
-    salt = F.pmod(F.xxhash64("id", "text_key"), F.lit(SALTS)).cast("int")
-    out = prints.withColumn("salt", salt).join(several.hint("merge"), ["fp", "salt"], "left")
+    linked = joined.select("node", "root", "used").join(reached, "root").select(F.col("node").alias("fp"), "component", "used")
+    copies = classes.where("n > 1").join(found, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("low").alias("component"), "used")
+    several = linked.unionByName(copies).select("fp", "component", F.explode(_salts("used")).alias("salt"), F.lit(True).alias("several"))
+    out = prints.join(several.hint("merge"), ["fp", "salt"], "left")
     return out.select(
         F.col("id").alias(id_col),
         "text_key",
