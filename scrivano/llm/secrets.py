@@ -102,13 +102,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     owners = one.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).where("owners > 1 or repos > 1")
     owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Rows alike in id and candidates are one row here; they come back at the end.
-    rows = some.groupBy("id", "c").agg(F.count("*").alias("n"))
-    parts = rows.select("id", "c", "n", F.explode("c").alias("s")).select("*", F.col("s.hash").alias("hash"), F.pmod(F.xxhash64("id", "s.start"), F.lit(SALTS)).cast("int").alias("salt"))
+    # A digest stands for the candidates, so that a text with many does not carry all of them with each.
+    rows = some.groupBy("id", F.sha2(F.to_json("c"), 256).alias("k")).agg(F.count("*").alias("n"), F.first("c").alias("c"))
+    parts = rows.select("id", "k", "n", F.explode("c").alias("s")).select("*", F.col("s.hash").alias("hash"), F.pmod(F.xxhash64("id", "s.start"), F.lit(SALTS)).cast("int").alias("salt"))
     judged = parts.join(owners.hint("merge"), ["hash", "salt"], "left")
     n_owners = F.coalesce("owners", F.lit(1))
     verdict = F.when(n_owners >= MANY_OWNERS, "example").when(F.col("s.random"), "live").otherwise("plain")
     own = F.struct(F.col("s.start").alias("start"), F.col("s.no").alias("no"), F.col("s.end").alias("end"), verdict.alias("verdict"), n_owners.alias("owners"), F.coalesce("repos", F.lit(1)).alias("repos"))
-    known = judged.groupBy("id", "c").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(own)).alias("v"))
+    known = judged.groupBy("id", "k").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(own)).alias("v"))
     known = repeated(known, F.col("n")).select("id", "v")
     none = F.array().cast("array<struct<start:int,no:int,end:int,verdict:string,owners:bigint,repos:bigint>>")
     every = known.unionByName(found.where(F.size("c") == 0).select("id", none.alias("v")))
