@@ -1,7 +1,7 @@
 """Layout comparison of two versions of a document by its words and boxes.
 
-words: case, ord, text, page, x0, top, size, font, color, and (before only) marked, true for words
-of an edited place.  One case is one document, which bounds the arrays that the alignment takes.
+words: case, ord, text, page, x0, top, size, font, color, marked; marked words stand in an edited
+place and are not compared.  One case is one document, which bounds the arrays that the alignment takes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ FIELDS = ("text", "page", "x0", "top", "size", "font", "color")
 
 def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
     """case, a and b (structs of FIELDS and ord), missing, extra: matched words; a and b null for a case with none."""
-    listed = lambda d: d.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("ord", *FIELDS))).alias("w"))
+    listed = lambda d: d.where("not coalesce(marked, false)").groupBy("case").agg(F.array_sort(F.collect_list(F.struct("ord", *FIELDS))).alias("w"))
     both = listed(before).withColumnRenamed("w", "wa").join(listed(after).withColumnRenamed("w", "wb"), "case", "full")
     empty = F.array().cast(both.schema["wa"].dataType)
     both = both.select("case", F.coalesce("wa", empty).alias("wa"), F.coalesce("wb", empty).alias("wb"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries, relational
+from . import document_queries, relational, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **relational.QUERIES}
-ORACLE_SQL: dict = {**text_queries.ORACLE_SQL, **relational.ORACLE_SQL}
+QUERIES: dict = {**text_queries.QUERIES, **relational.QUERIES, **document_queries.QUERIES}
+ORACLE_SQL: dict = {**text_queries.ORACLE_SQL, **relational.ORACLE_SQL, **document_queries.ORACLE_SQL}

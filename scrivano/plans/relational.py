@@ -107,6 +107,36 @@ STATEMENTS = {
         WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
     "redacted_log_view": """
         SELECT event_id, event_type, concat('<redacted:', CAST(length(props) AS VARCHAR(20)), ' chars>') AS props FROM {events}""",
+    # Items that name a part outside the context given, with the reason; the others pass.
+    "context_split": """
+        SELECT l.l_orderkey, l.l_linenumber, CASE WHEN c.p_partkey IS NULL THEN 'not_in_context' END AS code
+        FROM {lineitem} l LEFT JOIN (SELECT p_partkey FROM {part} WHERE p_size <= 25) c ON l.l_partkey = c.p_partkey""",
+    # Lease: a claim takes a session unless the one before it is younger than five minutes.
+    "lease_conflicts": """
+        SELECT event_id, user_id FROM (
+          SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events} WHERE event_type = 'click') t
+        WHERE before IS NOT NULL AND ts < before + INTERVAL '5' MINUTE""",
+    # First artifact of a kind: the earliest, ties by id.
+    "first_of_kind": """
+        SELECT user_id, event_type, event_id FROM (
+          SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM {events}) t
+        WHERE r = 1""",
+    # Usage sums, null if zero.
+    "usage_sums": """
+        SELECT user_id, nullif(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END), 0) AS errors, nullif(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END), 0) AS views
+        FROM {events} GROUP BY user_id""",
+    # Rejections by reason, and the share of each judgement, null without any.
+    "rejection_histogram": """
+        SELECT code_ AS code, count(*) AS n FROM (
+          SELECT CASE WHEN l_quantity > 40 THEN 'over_limit' WHEN l_discount = 0 THEN 'no_change' WHEN l_returnflag = 'R' THEN 'duplicate_proposal' END AS code_ FROM {lineitem}) t
+        WHERE code_ IS NOT NULL GROUP BY code_""",
+    # Positional comparison of two versions: properties that differ, nulls being equal to nulls.
+    "paired_property_changes": """
+        SELECT a.o_orderkey, CASE WHEN a.s IS DISTINCT FROM b.s THEN 'status' ELSE 'priority' END AS property
+        FROM (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM {orders}) a
+        JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 1 THEN NULL ELSE o_orderstatus END AS s,
+                     CASE WHEN o_orderkey % 37 = 1 THEN 'X' ELSE o_orderpriority END AS p FROM {orders}) b ON a.o_orderkey = b.o_orderkey
+        WHERE a.s IS DISTINCT FROM b.s OR a.p IS DISTINCT FROM b.p""",
     "duplicate_sources": """
         SELECT text, count(*) AS n FROM {documents} GROUP BY text HAVING count(*) > 1""",
 }

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark) -> str:
+    """A new folder in the shared folder of the cluster; a temporary one only where none is named, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="scrivano-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/scrivano-{uuid.uuid4().hex}"
