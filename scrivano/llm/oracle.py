@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import secrets
 from .quality import STOP_WORDS, THRESHOLDS
 
 _WHITE = "[\\x09-\\x0D\\x20]"
@@ -28,4 +29,35 @@ c AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(_broken(*r[1:]) for r in THRESHOLDS)}) AS kept FROM b"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6}
+
+
+def _matches(no: int, pattern: str, group: int, least: int) -> str:
+    """doc_id, owner, repo, no, start, stop, value of the matches of one kind; starts are running sums."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, owner, repo, {no} AS no, upto - length(w) AS start, upto AS stop, v FROM (
+      SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+        SELECT doc_id, owner, repo, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS w, unnest(vs) AS v, unnest(gaps[1:len(ws)]) AS gap FROM (
+          SELECT *, regexp_extract_all(t, {p}) AS ws, regexp_extract_all(t, {p}, {group}) AS vs, regexp_split_to_array(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p})) a) b) c
+    WHERE length(v) >= {least}"""
+
+
+_N = len(secrets.BASE)
+_SPAN = "CASE no " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(secrets.KINDS)) + " END || ':' || start || ':' || stop"
+OP8 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
+base AS ({' UNION ALL '.join(_matches(i, *k[1:]) for i, k in enumerate(secrets.BASE))}),
+more AS ({' UNION ALL '.join(_matches(_N + i, *k[1:]) for i, k in enumerate(secrets.MORE))}),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start < m.stop AND m.start < b.stop)),
+owned AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM found GROUP BY v),
+judged AS (
+  SELECT f.*, o.owners, o.repos, CASE WHEN o.owners >= {secrets.MANY_OWNERS} THEN 'example'
+    WHEN len(list_distinct(string_split(f.v, ''))) >= 8 AND (regexp_matches(f.v, '[0-9]') OR regexp_matches(f.v, '[A-Z]') AND regexp_matches(f.v, '[a-z]')) THEN 'live' ELSE 'plain' END AS verdict
+  FROM found f JOIN owned o ON f.v = o.v),
+told AS (
+  SELECT doc_id, {', '.join(f'count(*) FILTER (no = {i}) AS n_{k[0]}' for i, k in enumerate(secrets.BASE))}, string_agg({_SPAN}, ',' ORDER BY start, no) FILTER (no < {_N}) AS base,
+         string_agg({_SPAN}, ',' ORDER BY start, no) FILTER (no < {_N} OR verdict <> 'example') AS spans,
+         string_agg({_SPAN} || ':' || verdict || ':' || owners || ':' || repos, ',' ORDER BY start, no) AS verdicts
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k[0]}, 0) AS n_{k[0]}' for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts
+FROM d LEFT JOIN told ON d.doc_id = told.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6, "op8_secret_scan": OP8}
