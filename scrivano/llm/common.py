@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the six ASCII white-space characters that separate words.
 WHITE = "\t\n\x0b\f\r "
-#: Records per Arrow batch handed to a Python worker; texts of a few MB stay within some 100 MB.
+#: Records, and bytes, per Arrow batch handed to a Python worker: many long texts in a row stay bounded.
 ARROW_ROWS = 256
+ARROW_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +48,11 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds.  A lower setting of the session stays."""
+    """Bound what one Arrow batch holds.  A lower number of records that the session has stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def as_bytes(text: str | Column) -> Column:
