@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import licenses, secrets
 from .quality import STOP_WORDS, THRESHOLDS
 
 _WHITE = "[\\x09-\\x0D\\x20]"
@@ -30,7 +30,6 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(_broken(*r[1:]) for r in THRESHOLDS)}) AS kept FROM b"""
 
 
-
 def _matches(no: int, pattern: str, group: int, least: int) -> str:
     """doc_id, owner, repo, no, start, stop, value of the matches of one kind; starts are running sums."""
     p = "'" + pattern.replace("'", "''") + "'"
@@ -60,4 +59,46 @@ told AS (
 SELECT d.doc_id, {', '.join(f'coalesce(n_{k[0]}, 0) AS n_{k[0]}' for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts
 FROM d LEFT JOIN told ON d.doc_id = told.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6, "op8_secret_scan": OP8}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _terms(text: str) -> str:
+    """List of the terms of a text, without common words."""
+    parts = f"list_transform(regexp_split_to_array(lower({text}), '{licenses.SEPARATORS}'), lambda x: trim(x, '.+-'))"
+    return f"list_filter({parts}, lambda x: x <> '' AND x NOT IN ({', '.join(map(_quoted, licenses.COMMON))}))"
+
+
+_TEMPLATES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+OP10 = f"""WITH template(k, name, body) AS (VALUES {_TEMPLATES}),
+wanted AS (SELECT k, name, term, count(*) AS n FROM (SELECT k, name, unnest({_terms('body')}) AS term FROM template) x GROUP BY k, name, term),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'),
+         coalesce(CAST(doc_id // 10000 AS VARCHAR), 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none')) AS dir FROM documents),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(generate_series(1, len(string_split(t, chr(10))))) AS i FROM d),
+total AS (SELECT count(*) AS n FROM l),
+lt AS (SELECT r, i, term, count(*) AS n FROM (SELECT r, i, unnest({_terms('line')}) AS term FROM l) x GROUP BY r, i, term),
+idf AS (
+  SELECT v.term, ln((1 + (SELECT n FROM total)) / (1 + count(lt.r))) + 1 AS w
+  FROM (SELECT DISTINCT term FROM wanted) v LEFT JOIN lt ON lt.term = v.term GROUP BY v.term),
+vector AS (SELECT k, name, wanted.term, wanted.n * w / sqrt(sum(wanted.n * w * wanted.n * w) OVER (PARTITION BY k)) AS x FROM wanted JOIN idf ON wanted.term = idf.term),
+near AS (
+  SELECT r, i, sqrt(sum(CASE WHEN w IS NULL THEN n * pow(ln(1 + (SELECT n FROM total)) + 1, 2) ELSE n * w * n * w END)) AS norm
+  FROM lt LEFT JOIN idf ON lt.term = idf.term GROUP BY r, i HAVING count(w) > 0),
+scored AS (SELECT lt.r, lt.i, k, name, sum(lt.n * w * x) / any_value(norm) AS score FROM near JOIN lt ON lt.r = near.r AND lt.i = near.i JOIN idf ON idf.term = lt.term JOIN vector ON vector.term = lt.term GROUP BY lt.r, lt.i, k, name),
+hit AS (SELECT * FROM scored WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY score DESC, k) = 1),
+held AS (
+  SELECT hit.r, sum(len(list_filter(regexp_split_to_array(line, '{_WHITE}+'), lambda x: x <> ''))) AS n FROM hit JOIN l ON l.r = hit.r AND l.i = hit.i GROUP BY hit.r),
+own AS (SELECT r, name AS licence, round(score, 4) AS score FROM hit QUALIFY row_number() OVER (PARTITION BY r ORDER BY round(score, 4) DESC, k) = 1),
+file AS (
+  SELECT d.r, doc_id, dir, licence, score, licence IS NOT NULL AND held.n >= {licenses.SHARE} * len(list_filter(regexp_split_to_array(t, '{_WHITE}+'), lambda x: x <> '')) AS stated
+  FROM d LEFT JOIN own ON own.r = d.r LEFT JOIN held ON held.r = d.r),
+theirs AS (SELECT dir, licence FROM file WHERE stated GROUP BY dir, licence QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, licence) = 1),
+up AS (SELECT dir, unnest(list_append(list_transform(generate_series(1, len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')), '')) AS above FROM (SELECT DISTINCT dir FROM file) x),
+nearest AS (SELECT up.dir, above, licence FROM up JOIN theirs ON theirs.dir = above QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY length(above) DESC) = 1)
+SELECT doc_id, coalesce(f.licence, n.licence, 'none') AS licence, CASE WHEN f.licence IS NOT NULL THEN 'own' WHEN n.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       f.score, CASE WHEN f.licence IS NULL THEN above END AS licensed_by
+FROM file f LEFT JOIN nearest n ON n.dir = f.dir"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6, "op8_secret_scan": OP8, "op10_license_scan": OP10}
