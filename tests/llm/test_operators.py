@@ -4,14 +4,17 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from compare import differs, duck
 
 import corpus_pipeline
-from scrivano.llm import bpe, html_text, licenses, mixing, ogg, pii, quality, secrets, sharding, simhash
+from scrivano.llm import bpe, common, html_text, licenses, mixing, ogg, oracle, pii, quality, secrets, sharding, simhash
 from scrivano.llm.queries import QUERIES, TOKENIZER, document_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -332,9 +335,83 @@ def test_empty_tables(spark, tmp_path):
         assert q(spark, str(tmp_path)).count() == 0
 
 
+def brute_kept(text):
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = brute_quality(text)
+    if n_words < 10 or 100 * n_repeat > 20 * n_words:
+        return False
+    w = WORD.findall(text)
+    n = {
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines,
+        "n_lines": sum(bool(WORD.search(x)) for x in text.split("\n")), "n_stop": sum(x in quality.STOP_WORDS for x in w),
+        "n_upper": sum(unicodedata.category(c) == "Lu" for c in text),
+    }
+    held = ((n[top], n[bottom], least, most) for _, top, bottom, least, most, since in quality.THRESHOLDS if n_words >= since)
+    return all((least is None or a >= least * b) and (most is None or a <= most * b) for a, b, least, most in held)
+
+
+def base_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    yield from re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)
+    yield from (m for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split(".")))
+    yield from (m for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m)))
+    yield from (m for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m)) <= 15)
+
+
 def test_pipeline(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    """Each stage against brute force over what the stage before it kept, and run() against all of them."""
+    from tokenizers import Tokenizer
+
+    sf_dir = "/root/testdata/sf0.001"
+    frame, kept, stages = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}, dict(corpus_pipeline.STAGES)
+    columns = frame.columns
+    kept["documents"] = frame.collect()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, "")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert docs.count() > 100
+        frame = common.written(stage(spark, frame, sf_dir))
+        assert frame.columns == columns, name
+        kept[name] = frame.collect()
+    by_id = lambda rows: sorted(rows, key=lambda r: r.doc_id)
+    assert by_id(kept["quality_rules"]) == [r for r in by_id(kept["documents"]) if brute_kept(r.text)]
+    reached = linked([fp(r.text) for r in kept["quality_rules"]])
+    first = {}
+    for r in by_id(kept["quality_rules"]):
+        first.setdefault(reached[fp(r.text)], r)
+    assert by_id(kept["near_duplicates"]) == by_id(first.values()) and len(first) < len(kept["quality_rules"])
+    changed = 0
+    for old, new in zip(by_id(kept["near_duplicates"]), by_id(kept["personal_data"]), strict=True):
+        assert (new.doc_id, new.lang, new.source, new.n_chars) == (old.doc_id, old.lang, old.source, len(new.text))
+        assert not any(base_spans(new.text)) and (new.text != old.text or not any(base_spans(old.text)))
+        pattern = ".+?".join(map(re.escape, re.split(r"\[(?:EMAIL|IP|CARD|PHONE)\]", new.text)))
+        assert re.fullmatch(pattern, old.text, re.S)
+        changed += new.text != old.text
+    assert changed
+    sizes, words_of = collections.Counter(), {r.doc_id: len(WORD.findall(r.text)) for r in kept["personal_data"]}
+    for r in kept["personal_data"]:
+        sizes[r.source] += words_of[r.doc_id]
+    targets, taken = brute_targets(sizes), collections.Counter(kept["mix_sources"])
+    for s, want in targets.items():
+        mine = [r for r in kept["personal_data"] if r.source == s]
+        assert all(int(want / sizes[s] + 1e-9) <= taken[r] <= min(2, int(want / sizes[s] + 1e-9) + 1) for r in mine)
+        assert abs(sum(taken[r] * words_of[r.doc_id] for r in mine) - want) <= max(words_of[r.doc_id] for r in mine)
+    assert set(taken) <= set(kept["personal_data"])
+    t = Tokenizer.from_file(TOKENIZER)
+    want = collections.Counter((r.doc_id, r.source, r.lang, tuple(t.encode(r.text, add_special_tokens=False).ids)) for r in kept["mix_sources"])
+    for rows in (stages["bpe_encoding"](spark, frame, sf_dir).collect(), corpus_pipeline.run(spark, sf_dir).collect()):
+        assert collections.Counter((r.doc_id, r.source, r.lang, tuple(r.ids)) for r in rows) == want
+        assert all(r.n_tokens == len(r.ids) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
+def test_sql_gives_the_rows(spark, name):
+    sf_dir = "/root/testdata/sf0.001"
+    assert differs(spark, duck(sf_dir), QUERIES[name], oracle.ORACLE_SQL[name], sf_dir) == ""
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    common.small_batches(spark)
+
+    def weigh(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+
+    long_texts = spark.range(0, 40, 1, 1).selectExpr("repeat('word ', 200000) as text")
+    found = [r.n for r in long_texts.mapInArrow(weigh, "n long").collect()]
+    assert sum(found) >= 40_000_000 and max(found) <= common.ARROW_BYTES + 1_100_000
