@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.diff import word_diff
 from ..operators import blocks as B
 from ..operators import edit_rules as R
-from ..operators import layout, replies, segments, upload_rules
+from ..operators import layout, replacement, replies, segments, structure, upload_rules
 from ..sources import packages
 from ..sources.tables import scratch, table
 from ..streaming import progress
@@ -130,3 +130,28 @@ def stream_completed_once(spark, sf_dir):
 def stream_activity(spark, sf_dir):
     """Windows that the watermark has closed."""
     return _drained(spark, progress.activity(_event_stream(spark, sf_dir))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT doc_id, ord, text, unnest(generate_series(0, CAST((length(text) - 1) // 8 AS BIGINT))) AS i FROM blocks WHERE length(text) >= 30)
+SELECT doc_id, ord, string_agg(CASE i WHEN 0 THEN substr(text, 1, 5) || '§§' WHEN 1 THEN '' WHEN 2 THEN substr(text, 22, 3) ELSE substr(text, 8 * i + 1, 8) END, '|' ORDER BY i) AS texts FROM s GROUP BY doc_id, ord""")
+def segment_rewrites(spark, sf_dir):
+    """Long blocks in segments of eight characters, [5, 21) replaced by signs that no word of them is like."""
+    b = B.blocks(table(spark, sf_dir, "documents")).where(F.length("text") >= 30)
+    at = lambda i: i * 8
+    piece = lambda i: F.struct(F.lit("text").alias("kind"), F.substring("text", at(i) + 1, F.lit(8)).alias("text"), at(i).alias("start"), F.least(at(i) + 8, F.length("text")).alias("end"))
+    segs = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 8).cast("int")), piece)
+    out = replacement.replaced(b.select("doc_id", "ord", segs.alias("segments"), F.lit(5).alias("start"), F.lit(21).alias("end"), F.lit("§§").alias("new_text")))
+    return out.select("doc_id", "ord", F.array_join("texts.text", "|").alias("texts"))
+
+
+@query("""SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS paragraphs, CAST(0 AS BIGINT) AS tables, CAST(0 AS BIGINT) AS sections, 0 AS notes FROM documents""")
+def feature_inventory(spark, sf_dir):
+    """Counts of features over the editable parts of all documents' packages, and the notes they call for."""
+    # The scan is read several times; from a table it costs one pass over the packages.
+    parts = packages.members(packages.packed(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    out = scratch(spark)
+    parts.write.parquet(out)
+    parts = spark.read.schema(parts.schema).parquet(out)
+    editable = packages.editable_parts(parts, packages.relationships(parts), packages.content_types(parts))
+    counts = structure.inventory(parts, editable)
+    return counts.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "sections", F.size(structure.notes()).alias("notes"))
