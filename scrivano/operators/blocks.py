@@ -25,3 +25,11 @@ def edits(b: DataFrame) -> DataFrame:
     second = F.struct(F.lit(1).alias("n"), (start + 1).alias("start"), (start + 3).alias("end"), F.substring("text", F.length(w0) + 3, F.lit(2)).alias("original"), F.lit("Q7").alias("proposed"), F.lit(0.35).alias("confidence"))
     usable = b.where((F.size(words) >= 4) & (F.length(w0) > 0) & (F.length(w1) >= 4))
     return usable.select("doc_id", "ord", "text", F.explode(F.array(first, second)).alias("e")).select("doc_id", "ord", "text", "e.*")
+
+
+def located(locators: DataFrame, b: DataFrame) -> DataFrame:
+    """doc_id, locator, n, location_id: the block of the same document whose text contains the locator, null unless it is the only one."""
+    held = F.count_if(F.coalesce(F.col("text").contains(F.col("locator")), F.lit(False)))
+    only = F.max(F.when(F.col("text").contains(F.col("locator")), F.col("location_id")))
+    found = locators.select("doc_id", "locator").distinct().join(b.select("doc_id", "text", "location_id"), "doc_id", "left").groupBy("doc_id", "locator").agg(held.alias("n"), only.alias("location_id"))
+    return found.withColumn("location_id", F.when(F.col("n") == 1, F.col("location_id")))

@@ -6,7 +6,7 @@ place and are not compared.  One case is one document, which bounds the arrays t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.diff import matching_blocks
@@ -76,3 +76,28 @@ def marked_lines(words: DataFrame) -> DataFrame:
 
 def first_marked(words: DataFrame) -> DataFrame:
     return words.where("marked").groupBy("case").agg(F.min("ord").alias("first"))
+
+
+#: How far a word may reach beyond its page, and the bounds of the marker colour (red and blue, green).
+OUTSIDE, MARKER_HIGH, MARKER_LOW = 0.5, 0.97, 0.03
+
+
+def is_marker(color: Column) -> Column:
+    """Whether an array of red, green and blue from 0 to 1 is the colour that marks edited places."""
+    r, g, b = (F.get(color, F.lit(i)) for i in range(3))
+    return F.coalesce((F.size(color) == 3) & (r > MARKER_HIGH) & (g < MARKER_LOW) & (b > MARKER_HIGH), F.lit(False))
+
+
+def page_findings(before: DataFrame, after: DataFrame) -> DataFrame:
+    """case, code, severity, n of pages (case, page, width, height, images, graphics, words: array<struct<x0, x1, bottom>>)."""
+
+    def counted(pages: DataFrame, side: str) -> DataFrame:
+        beyond = lambda w: (w["x0"] < -OUTSIDE) | (w["x1"] > F.col("width") + OUTSIDE) | (w["bottom"] > F.col("height") + OUTSIDE)
+        blank = (F.size("words") == 0) & (F.col("images") == 0) & (F.col("graphics") == 0)
+        return pages.groupBy("case").agg(F.count("*").alias(f"pages_{side}"), F.count_if(blank).alias(f"blank_{side}"), F.sum(F.size(F.filter("words", beyond))).alias(f"beyond_{side}"))
+
+    both = counted(before, "a").join(counted(after, "b"), "case", "full").na.fill(0)
+    more = lambda what: F.greatest(F.col(f"{what}_b") - F.col(f"{what}_a"), F.lit(0))
+    rules = (("page_count_changed", "warning", F.abs(F.col("pages_b") - F.col("pages_a"))), ("blank_page_introduced", "error", more("blank")), ("text_outside_page", "warning", more("beyond")))
+    rows = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), n.cast("long").alias("n")) for c, s, n in rules))
+    return both.select("case", F.explode(rows).alias("f")).select("case", "f.*").where("n > 0")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.diff import word_diff
 from ..operators import blocks as B
 from ..operators import edit_rules as R
-from ..operators import layout, replacement, replies, segments, structure, upload_rules
+from ..functions import text as T
+from ..functions.vocabulary import COMMON_INITIAL, GENERIC, STOP
+from ..operators import layout, replacement, replies, salient, segments, structure, upload_rules
 from ..sources import packages
 from ..sources.tables import scratch, table
 from ..streaming import progress
-from .text_queries import BLOCKS, EDITS
+from .text_queries import BLOCKS, EDITS, _list
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -155,3 +157,31 @@ def feature_inventory(spark, sf_dir):
     editable = packages.editable_parts(parts, packages.relationships(parts), packages.content_types(parts))
     counts = structure.inventory(parts, editable)
     return counts.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "sections", F.size(structure.notes()).alias("notes"))
+
+
+@query(f"""WITH raw AS (SELECT item_id, text, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, text, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS l FROM benchmark) d),
+  t AS (SELECT item_id, text, trim(raw, '()[]{{}}"''`,;:!?') AS a, lag(raw) OVER (PARTITION BY item_id ORDER BY pos) AS before FROM raw),
+  u AS (SELECT *, CASE WHEN regexp_matches(a, '\\.[A-Za-z]') THEN a ELSE regexp_replace(a, '\\.+$', '') END AS term FROM t),
+  named AS (SELECT DISTINCT item_id, text, term FROM u WHERE regexp_matches(term, '[A-Za-z]') AND lower(term) NOT IN {_list(GENERIC)}
+    AND (regexp_matches(term, '^.+\\p{{Lu}}') OR regexp_matches(term, '\\p{{Nd}}') OR regexp_matches(term, '[+#]|\\.[A-Za-z]')
+      OR (regexp_matches(term, '^\\p{{Lu}}') AND NOT (before IS NULL OR regexp_matches(before, '[.!?:;]$') OR before IN ('—', '-', '–', '|', '•'))))),
+  words AS (SELECT item_id, lower(unnest(l)) AS word, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, regexp_extract_all(text, '{T.WORD}') AS l FROM benchmark) b),
+  every AS (
+    SELECT item_id, 0 AS tier, -((length(text) - length(replace(text, term, ''))) // length(term)) AS a, 0 AS b, term FROM named
+    UNION ALL SELECT item_id, 1, pos, 0, term FROM (SELECT item_id, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, regexp_extract_all(text, '{salient.INITIAL}', 1) AS l FROM benchmark) c) i WHERE lower(term) NOT IN {_list(COMMON_INITIAL)}
+    UNION ALL SELECT item_id, 2, -count(*), min(pos), word FROM words WHERE length(word) > 3 GROUP BY item_id, word HAVING count(*) >= 2),
+  keyed AS (SELECT *, regexp_replace(lower(term), '[^a-z0-9+#]', '', 'g') AS k FROM every WHERE lower(term) NOT IN {_list(STOP)}),
+  once AS (SELECT * FROM keyed WHERE tier = 2 OR length(k) >= 2 QUALIFY row_number() OVER (PARTITION BY item_id, k ORDER BY tier, a, b, term) = 1)
+  SELECT item_id, CAST(r AS INTEGER) AS rank, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY tier, a, b, term) AS r FROM once) o WHERE r <= {salient.LIMIT}""")
+def salient_terms(spark, sf_dir):
+    """The terms of each benchmark item as a job description: a top list by the reproduced limit."""
+    return salient.salient_terms(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query(f"""WITH {BLOCKS}, l AS (SELECT doc_id, string_split(text, ' ')[1] AS locator FROM documents)
+SELECT l.doc_id, locator, count(*) FILTER (contains(b.text, locator)) AS n FROM l JOIN blocks b ON b.doc_id = l.doc_id GROUP BY l.doc_id, locator""")
+def located_blocks(spark, sf_dir):
+    """The first word of each document as a locator among its blocks."""
+    d = table(spark, sf_dir, "documents")
+    found = B.located(d.select("doc_id", F.get(F.split("text", " ", -1), F.lit(0)).alias("locator")), B.blocks(d))
+    return found.select("doc_id", "locator", "n")

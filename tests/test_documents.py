@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivano.functions.diff import TOKEN, word_diff
-from scrivano.operators import layout, replies
+from scrivano.operators import blocks, layout, replies, salient
 from scrivano.streaming import progress
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +97,29 @@ def test_stream_agrees_with_batch(spark, stream_dir, tmp_path):
     assert rows(run(progress.activity(live), "complete", "active", tmp_path / "b")) == rows(progress.activity(batch))
     once = run(progress.completed_once(live, delay="10000 days"), "append", "once", tmp_path / "c")
     assert once.count() == batch.select("user_id", "event_type").distinct().count()
+
+
+def test_page_findings_and_marker(spark):
+    pages = lambda rows: spark.createDataFrame(rows, "case string, page int, width double, height double, images int, graphics int, words array<struct<x0:double,x1:double,bottom:double>>")
+    good, wide = [(0.0, 100.4, 200.5)], [(-0.4, 100.6, 10.0), (-0.6, 5.0, 5.0), (0.0, 5.0, 200.6)]
+    before = pages([("same", 0, 100.0, 200.0, 0, 0, good), ("blank", 0, 100.0, 200.0, 0, 0, good), ("wide", 0, 100.0, 200.0, 0, 0, good)])
+    after = pages([("same", 0, 100.0, 200.0, 0, 0, good), ("blank", 0, 100.0, 200.0, 0, 0, good), ("blank", 1, 100.0, 200.0, 0, 0, []), ("wide", 0, 100.0, 200.0, 0, 0, wide)])
+    got = {(r.case, r.code): r.n for r in layout.page_findings(before, after).collect()}
+    assert got == {("blank", "page_count_changed"): 1, ("blank", "blank_page_introduced"): 1, ("wide", "text_outside_page"): 3}
+    colors = spark.createDataFrame([([1.0, 0.0, 1.0],), ([0.97, 0.0, 1.0],), ([1.0, 0.0],), (None,)], "c array<double>")
+    assert [r[0] for r in colors.select(layout.is_marker(F.col("c"))).collect()] == [True, False, False, False]
+
+
+def test_located(spark):
+    b = spark.createDataFrame([(1, "one two", "a"), (1, "two three", "b"), (2, "one", "c")], "doc_id int, text string, location_id string")
+    wanted = spark.createDataFrame([(1, "one"), (1, "two"), (2, "zzz"), (3, "one")], "doc_id int, locator string")
+    got = {(r.doc_id, r.locator): (r.n, r.location_id) for r in blocks.located(wanted, b).collect()}
+    assert got == {(1, "one"): (1, "a"), (1, "two"): (2, None), (2, "zzz"): (0, None), (3, "one"): (0, None)}
+
+
+def test_salient_terms(spark):
+    text = "Senior Engineer. Kubernetes is key. We use PostgreSQL, PostgreSQL and C++. Docker helps; postgresql pipelines and pipelines, platform platform platform"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "i int, text string")
+    rows = salient.salient_terms(df, "i").orderBy("rank").collect()
+    assert [r.term for r in rows] == ["PostgreSQL", "C++", "Engineer", "Kubernetes", "Docker", "platform", "pipelines"]
+    assert {r.i for r in rows} == {1} and len(salient.salient_terms(df, "i", limit=2).collect()) == 2
