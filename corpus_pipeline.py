@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import bpe, mixing, pii, quality, simhash
+from scrivano.llm import bpe, mixing, pii, quality, similar
 from scrivano.llm.common import read, written
 from scrivano.llm.queries import TOKENIZER
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group whose five-word shingles have Jaccard similarity 0.8 or more: the one with the smallest id."""
+    return similar.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("bpe_encoding", encode),
 ]
 
-#: SQL has no XXH64 components, cube method or BPE: tests hold the stages against brute force.
+#: SQL has no XXH64 shingles and components, cube method or BPE: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
