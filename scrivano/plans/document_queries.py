@@ -116,9 +116,9 @@ def _drained(spark, df, mode: str = "append"):
     return spark.read.schema(df.schema).parquet(out)
 
 
-def _event_stream(spark, sf_dir):
+def _event_stream(spark, sf_dir, files=4):
     # A pattern, as the stream source takes no single file's path.
-    return progress.events(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
+    return progress.events(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema, files)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -130,8 +130,11 @@ def stream_completed_once(spark, sf_dir):
 @query("""SELECT * FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) t
   WHERE start + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_activity(spark, sf_dir):
-    """Windows that the watermark has closed."""
-    return _drained(spark, progress.activity(_event_stream(spark, sf_dir))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Windows that the watermark has closed.
+
+    The whole table is one batch: files come in no order of time, and a batch's watermark would drop the older rows of the next.
+    """
+    return _drained(spark, progress.activity(_event_stream(spark, sf_dir, files=None))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {BLOCKS}, s AS (SELECT doc_id, ord, text, unnest(generate_series(0, CAST((length(text) - 1) // 8 AS BIGINT))) AS i FROM blocks WHERE length(text) >= 30)

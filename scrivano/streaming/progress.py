@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def events(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Event files of a folder as a stream, few a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+def events(spark: SparkSession, path: str, schema, files: int | None = 4) -> DataFrame:
+    """Event files of a folder as a stream, few a batch; all that are there in one batch if files is None."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def steps_reached(stream: DataFrame, start: str = "signup") -> DataFrame:
