@@ -188,3 +188,33 @@ def located_blocks(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     found = B.located(d.select("doc_id", F.get(F.split("text", " ", -1), F.lit(0)).alias("locator")), B.blocks(d))
     return found.select("doc_id", "locator", "n")
+
+
+@query(f"""WITH terms AS (SELECT item_id, term, regexp_replace(lower(term), '[^a-z0-9+#]', '', 'g') AS k FROM ({ORACLE_SQL["salient_terms"]}) s),
+  size AS (SELECT item_id, count(*) AS n FROM terms GROUP BY item_id),
+  tokens AS (SELECT DISTINCT doc_id, regexp_replace(lower(w), '[^a-z0-9+#]', '', 'g') AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{T.WORD}')) FROM documents) x),
+  hit AS (SELECT t.doc_id, item_id, term FROM tokens t JOIN terms ON t.k = terms.k WHERE t.k <> ''
+    UNION SELECT doc_id, item_id, term FROM documents JOIN terms ON contains(term, '-') AND k <> '' AND contains(lower(text), lower(term)))
+  SELECT doc_id, hit.item_id, count(*) AS matched, max(n) AS considered, CAST(round_even(100.0 * count(*) / max(n), 0) AS INTEGER) AS percent
+  FROM hit JOIN size ON size.item_id = hit.item_id GROUP BY doc_id, hit.item_id
+  UNION ALL SELECT NULL, item_id, 0, 0, NULL FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM size)""")
+def coverage_estimate(spark, sf_dir):
+    """Salient terms of all tiers of each benchmark item found in each document.
+
+    A pair that is absent is at 0 percent; an item without terms is one row without document and percent.
+    """
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    terms = salient.salient_terms(items, "item_id").select("item_id", "term", T.normalize_term(F.col("term")).alias("k"))
+    size = terms.groupBy("item_id").agg(F.count("*").alias("considered"))
+    words = F.concat(T.every(F.col("text"), "[^ \\t\\n\\r]+"), T.every(F.col("text"), T.WORD))
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.transform(words, T.normalize_term))).alias("k")).where("k <> ''")
+    by_token = tokens.join(terms, "k").select("doc_id", "item_id", "term")
+    # a term with a hyphen also counts where the text holds it inside other words
+    dashed = terms.where(F.col("term").contains("-") & (F.col("k") != "")).select("item_id", "term")
+    inside = docs.select("doc_id", F.lower("text").alias("low")).join(dashed, F.col("low").contains(F.lower("term"))).select("doc_id", "item_id", "term")
+    hits = by_token.unionByName(inside).distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("matched")).join(size, "item_id")
+    found = hits.select("doc_id", "item_id", "matched", "considered", F.bround(100 * F.col("matched") / F.col("considered")).cast("int").alias("percent"))
+    none = items.select("item_id").join(size, "item_id", "left_anti")
+    zero = F.lit(0).cast("long")
+    return found.unionByName(none.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", zero.alias("matched"), zero.alias("considered"), F.lit(None).cast("int").alias("percent")))
