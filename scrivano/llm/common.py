@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the scratch tables that this process has written and not deleted.
+_LIVE: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names; on a single machine, where none is named, a temporary one.
+
+    Executors of a cluster don't see each other's folders, so without a shared one this raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="scrivano-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -32,19 +42,64 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/scrivano-{uuid.uuid4().hex}"
+    _LIVE.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _LIVE:
+        _LIVE.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a scratch table that no later plan reads."""
     path = getattr(df, "_scratch", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def scratch_mark() -> int:
+    return len(_LIVE)
+
+
+def discard_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete the scratch tables written since the mark but those kept.
+
+    An operator's result may read its scratch tables until it has been used; then its caller calls this.
+    """
+    stay = {getattr(df, "_scratch", None) for df in kept}
+    for path in _LIVE[mark:]:
+        if path not in stay:
+            _delete(spark, path)
+
+
+def fresh(taken, name: str) -> str:
+    """A column name like name that none of those taken has."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its name as it stands, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(df: DataFrame) -> Column:
+    """All of df's columns as one struct, so that helper columns beside it clash with none of them."""
+    return F.struct(*(column(c) for c in df.columns))
+
+
+def rows_of(df: DataFrame, names: list[str], row: str = "row") -> DataFrame:
+    """The structs of row_of as columns again."""
+    return df.select(*(F.col(row).getField(c).alias(c) for c in names))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -82,27 +137,29 @@ RUN = 1024
 
 def repeated(df: DataFrame, n: Column) -> DataFrame:
     """Each row n times.  Rows asked for very often are first dealt out in runs."""
-    few = df.withColumn("_n", n).where("_n > 0")
-    many = few.where(f"_n > {RUN}").withColumn("_run", F.explode(F.expr(f"sequence(0L, (_n - 1) div {RUN})")))
-    many = many.withColumn("_n", F.least(F.lit(RUN), F.col("_n") - F.col("_run") * RUN)).repartition(F.col("_run"), F.xxhash64("_n"))
-    few = few.where(f"_n <= {RUN}")
-    both = few.select(*df.columns, "_n").unionByName(many.select(*df.columns, "_n"))
-    return both.withColumn("_i", F.explode(F.expr("sequence(1L, cast(_n as bigint))"))).drop("_n", "_i")
+    names = df.columns
+    asked = df.select(row_of(df).alias("row"), n.cast("long").alias("n")).where("n > 0")
+    many = asked.where(f"n > {RUN}").withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")))
+    many = many.withColumn("n", F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN)).repartition(F.col("run"), F.xxhash64("n"))
+    both = asked.where(f"n <= {RUN}").unionByName(many.select("row", "n"))
+    return rows_of(both.select("row", F.explode(F.expr("sequence(1L, n)")).alias("i")), names)
 
 
-def pick(df: DataFrame, plan: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def pick(df: DataFrame, plan: DataFrame, key: str | Column, text_col: str) -> DataFrame:
     """Rows of df as often as plan says, with df's columns.
 
-    plan (id, k, n, copies) has one row for each kept pair of id and text key, the number n of df's
+    plan (id, k, n, copies) has one row for each kept pair of key and text key, the number n of df's
     rows with that pair, and the number of rows that shall come out for it in all.
     """
-    d = df.withColumn("_k", text_key(F.col(text_col)))
-    p = plan.select(F.col("id").alias("_id"), F.col("k").alias("_pk"), F.col("n").cast("long").alias("_rows"), F.col("copies").cast("long").alias("_copies")).where("_copies > 0")
-    joined = d.join(p, d[id_col].eqNullSafe(p["_id"]) & (d["_k"] == p["_pk"]))
-    once = repeated(joined.where("_rows = 1").select(*df.columns, "_copies"), F.col("_copies")).select(*df.columns)
-    # Rows alike in id and text: alike rows collapse, then variants share the copies by running sums.
-    alike = joined.where("_rows > 1").groupBy(*df.columns, "_k", "_rows", "_copies").agg(F.count("*").alias("_same"))
-    order = Window.partitionBy(id_col, "_k").orderBy(*(F.col(c).asc_nulls_first() for c in df.columns))
-    alike = alike.withColumn("_to", F.sum("_same").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    share = F.expr("(_copies * _to) div _rows - (_copies * (_to - _same)) div _rows")
-    return once.unionByName(repeated(alike, share).select(*df.columns))
+    names, key = df.columns, column(key) if isinstance(key, str) else key
+    d = df.select(row_of(df).alias("row"), key.alias("id"), text_key(column(text_col)).alias("k"))
+    p = plan.select(F.col("id").alias("p_id"), F.col("k").alias("p_k"), F.col("n").cast("long").alias("rows"), F.col("copies").cast("long").alias("copies")).where("copies > 0")
+    joined = d.join(p, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("k") == F.col("p_k")))
+    single = joined.where("rows = 1").select("row", "copies")
+    once = repeated(single, F.col("copies")).select("row")
+    # Rows alike in key and text: alike rows collapse, then variants share the copies by running sums.
+    alike = joined.where("rows > 1").groupBy("row", "id", "k", "rows", "copies").agg(F.count("*").alias("same"))
+    order = Window.partitionBy("id", "k").orderBy("row")
+    alike = alike.withColumn("upto", F.sum("same").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    share = F.expr("(copies * upto) div rows - (copies * (upto - same)) div rows")
+    return rows_of(once.unionByName(repeated(alike.select("row", share.alias("share")), F.col("share")).select("row")), names)

@@ -3,7 +3,7 @@
 Targets.  Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share 150 % of all
 words; a target stops at twice its source's words and the excess goes to the others by weight.
 With sources sorted by 2 * words / weight, the stopped ones are a prefix, so running sums give the
-common level in one pass over the table of sources.
+common level; they are summed by ranges of sources, of which there may be very many.
 
 Sampling.  A document is expected target / words of its source times: its whole part for certain,
 the rest as an inclusion probability.  The flight phase keeps three fractional documents at a time
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, repeated, text_key, words, written
+from .common import column, pick, repeated, text_key, words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -40,17 +40,39 @@ TINY = 1e-9
 REPAIRS = 32
 
 
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """df with a column for each of sums: its sum over the rows before, in the given order.
+
+    Rows are dealt out by ranges of the order and summed range by range, so that no task holds all of them;
+    what the driver adds up is one row a range.
+    """
+    key = ["range", *(f"order{i}" for i in range(len(order)))]
+    spread = df.select("*", *(o.alias(k) for o, k in zip(order, key[1:]))).repartitionByRange(*(F.col(k).asc_nulls_last() for k in key[1:]))
+    held = written(spread.withColumn("range", F.spark_partition_id()))
+    spark, totals = df.sparkSession, held.groupBy("range").agg(*(F.sum(c).cast("double").alias(n) for n, c in sums.items())).collect()  # a row a partition
+    rows, so_far = [], dict.fromkeys(sums, 0.0)
+    for r in sorted(totals, key=lambda r: r["range"]):
+        rows.append((r["range"], *so_far.values()))
+        so_far = {n: x + (r[n] or 0.0) for n, x in so_far.items()}
+    before = spark.createDataFrame(rows, "range int" + "".join(f", before_{n} double" for n in sums))
+    line = Window.partitionBy("range").orderBy(*(F.col(k).asc_nulls_last() for k in key[1:])).rowsBetween(Window.unboundedPreceding, -1)
+    inside = held.select("*", *(F.coalesce(F.sum(c).over(line), F.lit(0)).cast("double").alias(n) for n, c in sums.items()))
+    out = inside.join(F.broadcast(before), "range")
+    return out.select(*df.columns, *((F.col(n) + F.col(f"before_{n}")).alias(n) for n in sums))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
-    """(source, source_size) with target.  Each row is a source, so the windows see few rows."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("w", w.cast("double")).withColumn("most", (F.col("source_size") * limit).cast("double"))
-    line = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    before, every = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rest = share * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    level = rest / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("most"), F.struct(F.col("most") / F.col("w"), "level"))).over(every)["level"])
-    return s.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
+    """(source, source_size) with target.  Each row is a source; there may be as many of them as web domains."""
+    named = running(sizes, [F.col("source")], {"place": F.lit(1)})
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place").cast("long"), F.lit(len(weights))) + 1).cast("int"))
+    s = named.select("source", "source_size", w.cast("double").alias("w"), (F.col("source_size") * limit).cast("double").alias("most"))
+    s = written(running(s, [F.col("most") / F.col("w"), F.col("source")], {"most_before": F.col("most"), "w_before": F.col("w")}))
+    every = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    # the common level if all sources before this one have stopped; the first that it leaves below its limit sets it
+    level = (share * every["words"] - F.col("most_before")) / (every["w"] - F.col("w_before"))
+    first = s.select((F.col("most") / F.col("w")).alias("stop"), level.alias("level"), "w", "most").where("level * w <= most").agg(F.min_by("level", F.struct("stop", "level"))).first()[0]
+    target = F.col("most") if first is None else F.least(F.col("most"), F.lit(float(first)) * F.col("w"))
+    return s.select("source", "source_size", target.alias("target"))
 
 
 def flight(p: list[float], size: list[int], rng: random.Random, landing: bool = False) -> list[float]:
@@ -159,5 +181,6 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: df's rows, each as often as it is taken."""
     p = plan(df, id_col, text_col, source_col)
-    # The same id and text may stand under several sources: keys of the mix hold the source, those of pick don't.
-    return pick(df.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"))), p.select(F.struct("id", "source").alias("id"), "k", "n", "copies"), "_key", text_col).select(*df.columns)
+    # The same id and text may stand under several sources, so the key holds the source.
+    key = F.struct(column(id_col).alias("id"), column(source_col).alias("source"))
+    return pick(df, p.select(F.struct("id", "source").alias("id"), "k", "n", "copies"), key, text_col)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, words
+from .common import WHITE, column, fresh, let, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -98,7 +98,9 @@ def verdict(table=THRESHOLDS) -> Column:
 
 def rated(df: DataFrame, text_col: str = "text", table=THRESHOLDS) -> DataFrame:
     """df with COUNTS, base_failed and kept."""
-    names = [c for c in df.columns if c not in (*COUNTS, "base_failed", "kept")]
-    out = df.select(*names, stats(F.col(text_col)).alias("_s")).select(*names, *(F.col("_s")[c].alias(c) for c in COUNTS))
+    made = {c.lower() for c in (*COUNTS, "base_failed", "kept")}
+    names = [c for c in df.columns if c.lower() not in made]
+    held = fresh(names, "stats")
+    out = df.select(*map(column, names), stats(column(text_col)).alias(held)).select(*map(column, names), *(F.col(held)[c].alias(c) for c in COUNTS))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(table))
