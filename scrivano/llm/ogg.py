@@ -96,9 +96,9 @@ def mux(payload: bytes) -> bytes:
     return b"".join(x[2] for x in every)
 
 
-def demux(media: bytes) -> dict[int, list[tuple[bytes, float | None]]]:
-    """By serial number, the packets with the time in seconds at their end, where a page gives it."""
-    at, streams, state = 0, {}, {}
+def demux(media: bytes) -> tuple[dict[int, list[tuple[bytes, float | None]]], int]:
+    """By serial number, the packets with the time in seconds at their end, where a page gives it; and the number of pages."""
+    at, streams, state, pages = 0, {}, {}, 0
     while at < len(media):
         if len(media) - at < PAGE.size:
             raise ValueError(f"cut page at {at}")
@@ -128,9 +128,10 @@ def demux(media: bytes) -> dict[int, list[tuple[bytes, float | None]]]:
         if last is not None and granule != NO_PACKET:
             packets[last] = (packets[last][0], granule / RATE)
         s["next"], s["ended"], at = number + 1, bool(flags & LAST), end
+        pages += 1
     if any(s["open"] or not s["ended"] for s in state.values()):
         raise ValueError("a stream has no end")
-    return streams
+    return streams, pages
 
 
 def payload_of(streams: dict[int, list[tuple[bytes, float | None]]]) -> bytes:
@@ -146,20 +147,20 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % PAD or (0 if raw else PAD))
 
 
-def features(media: bytes, payload: bytes, streams: dict) -> str:
+def features(payload: bytes, streams: dict, pages: int) -> str:
     ends = [next((t for _, t in reversed(streams[s]) if t is not None), 0.0) for s in SERIALS]
     packets = [len(streams[s]) for s in SERIALS]
     zeros = payload.count(0)
-    return f"streams={len(streams)};packets={packets[0]},{packets[1]};pages={media.count(CAPTURE + bytes([VERSION]))};ends={ends[0]:.6f},{ends[1]:.6f};sum={sum(payload)};zeros={zeros}"
+    return f"streams={len(streams)};packets={packets[0]},{packets[1]};pages={pages};ends={ends[0]:.6f},{ends[1]:.6f};sum={sum(payload)};zeros={zeros}"
 
 
 def described(raw: bytes) -> list:
     stored = mux(padded(raw))
-    streams = demux(stored)
+    streams, pages = demux(stored)
     payload = payload_of(streams)
     return [
         len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]),
-        len(stored), hashlib.sha256(stored).hexdigest(), features(stored, payload, streams),
+        len(stored), hashlib.sha256(stored).hexdigest(), features(payload, streams, pages),
     ]
 
 

@@ -303,7 +303,7 @@ def test_ogg(spark, odd):
         pad = raw + bytes(64 - n % 64 if n % 64 or not n else 0)
         assert d[:4] == [n, len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:])]
     packets = [(b"h", 0), (bytes(70000), 70000), (b"", 70000), (bytes(255), 70255), (b"e", 70256)]
-    back = ogg.demux(b"".join(p for _, p in ogg.pages_of(1, packets)))[1]
+    back = ogg.demux(b"".join(p for _, p in ogg.pages_of(1, packets)))[0][1]
     assert [p for p, _ in back] == [p for p, _ in packets]
     m = bytearray(ogg.mux(bytes(9000)))
     m[200] ^= 1
