@@ -1,22 +1,24 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The automaton's states stand for the last token, its arcs for the token that may follow; it
-accepts the correct tokenizations alone.  Construction starts with one state that loops on all
-bytes.  Merge number r of (a, b) adds a gadget: the state after a loses its arc b, and every state
-whose arc a leads there gains an arc ab to where b led, which becomes the state after ab.  The
-tables below keep each gadget (its pair and its number), which is the whole automaton in the size
-of the merge list; written out, its arcs would be some billions.  arc() reads an arc from the
-tables: an arc for a later token rests on the arc for that token's left part, a later state rests
-on the state of its right part, both as of the merge that made them.  Arcs once read are kept in a
-transition table of bounded size.
-
-A word is encoded by transitions over its prefixes: each prefix has one correct tokenization, so
-one token may end it, the one whose arc leaves the state of the prefix before.  A table over the
-labels' bytes lists the arcs that may start at a place.  Decoding emits the
-arcs' labels, the tokens' bytes.
+Gadgets.  The automaton's states stand for the last token, its arcs for the token that may follow; it
+accepts the correct tokenizations alone.  Construction starts with one state that loops on all bytes.
+Merge number r of (a, b) adds a gadget: the state after a loses its arc b, and every state whose arc a
+leads there gains an arc ab to where b led, which becomes the state after ab.  The tables keep each
+gadget (its pair and its number); arc() reads an arc from them: an arc for a later token rests on the
+arc for that token's left part, a later state rests on the state of its right part, both as of the
+merge that made them.  Written out, the token arcs would be some billions.
+
+Bytes.  Words are read byte by byte, so the automaton is made deterministic over bytes.  A state is the
+set of places where a token may have begun: each with the token before it and how far an arc's label
+has been read since.  Each prefix of a word has one correct tokenization, so at each byte one arc ends;
+its token is what the transition puts out, and is the state before the next place.  States and
+transitions are compiled when a word first reaches them and kept in one table of bounded size, keyed by
+state and byte; encoding a word is one look-up a byte, and a walk back over the tokens put out.
+Decoding emits the arcs' labels, the tokens' bytes.
 
 Defined results: null text is the empty text and has no ids; repeated rows give repeated results;
-texts are encoded whole; an empty table gives an empty result; other columns are ignored.
+texts are encoded whole; an empty table gives an empty result; other columns keep their values, those
+named like a result are replaced.  A merge of a token that no earlier merge has made is refused.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import column, fresh, small_batches
 
 #: Fixed value: the public pattern that splits a text into words before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,21 +92,35 @@ class Automaton:
         # Arc labels by their bytes: step leads from a place in a label to the next, labelled names its token.
         self.step: dict[int, int] = {}
         self.labelled = [-1]
+        self.inner: set[int] = set()  # places that some step leads on from
         for x, t in self.token.items():
             if self.reached(t):
                 node = 0
                 for c in x:
+                    self.inner.add(node)
                     node = self.step.setdefault(node << 8 | c, len(self.labelled))
                     if node == len(self.labelled):
                         self.labelled.append(-1)
                 self.labelled[node] = t
         self.by_id = [self.label.get(i, b"") for i in range(max(self.label, default=-1) + 1)]
+        self.length = [len(x) for x in self.by_id]
         self.split, self.split_ascii = regex.compile(SPLIT), re.compile(SPLIT_ASCII)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.arcs: dict[int, bool] = {}
         self.words = Words(self)
+        self.restart()
+
+    def restart(self) -> None:
+        """Empty the transition table.  State 0 is the start of a word: one place, no token before it."""
+        self.table: dict[int, int] = {}
+        self.states: list[tuple] = [((-1, 0),)]
+        self.numbers: dict[tuple, int] = {self.states[0]: 0}
+        self.put_out = [-1]  # of each state, the token that its newest arc put out
 
     def gadget(self, r: int, a: int, b: int, ab: int) -> None:
+        for t in (a, b):
+            if not self.reached(t):
+                raise ValueError(f"merge {r} uses a token that no earlier merge makes")
         self.cut[a, b] = 2 * r
         if ab not in self.rank:
             self.rank[ab], self.parts[ab] = r, (a, b)
@@ -132,33 +149,40 @@ class Automaton:
             else:
                 t, time = parts[t][0], 2 * rt + 1  # as of the merge, its own cut included
 
+    def compiled(self, s: int, byte: int) -> int:
+        """The state after byte in state s, entered into the table."""
+        begun, token = [], -1
+        for before, node in self.states[s]:
+            node = self.step.get(node << 8 | byte)
+            if node is None:
+                continue
+            t = self.labelled[node]
+            if t >= 0 and token < 0 and (before < 0 or self.arc(before, t)):
+                token = t
+            if node in self.inner:
+                begun.append((before, node))
+        key = (*begun, (token, 0))
+        to = self.numbers.get(key)
+        if to is None:
+            to = self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.put_out.append(token)
+        self.table[s << 8 | byte] = to
+        return to
+
     def encode_word(self, w: bytes) -> list[int]:
-        whole = self.token.get(w)
-        if whole is not None and self.reached(whole):
-            return [whole]
-        n, step, labelled, arcs = len(w), self.step.get, self.labelled, self.arcs.get
-        last, came = [-1] * (n + 1), [0] * (n + 1)  # of each prefix: its last token, and where that starts
-        for start in range(n):
-            state, node, end = last[start], 0, start
-            while end < n:
-                node = step(node << 8 | w[end])
-                if node is None:
-                    break
-                end += 1
-                t = labelled[node]
-                if t < 0 or last[end] >= 0:
-                    continue
-                if start:
-                    ok = arcs(state << 32 | t)
-                    if ok is None:
-                        ok = self.arc(state, t)
-                    if not ok:
-                        continue
-                last[end], came[end] = t, start
-        out, end = [], n
+        if len(self.table) + len(w) > MOST_KEPT:
+            self.restart()
+        s, came, table, put_out = 0, [], self.table.get, self.put_out
+        for byte in w:
+            to = table(s << 8 | byte)
+            s = self.compiled(s, byte) if to is None else to
+            came.append(put_out[s])
+        out, end, length = [], len(w), self.length
         while end:
-            out.append(last[end])
-            end = came[end]
+            t = came[end - 1]
+            out.append(t)
+            end -= length[t]
         return out[::-1]
 
     def reached(self, t: int) -> bool:
@@ -221,17 +245,18 @@ def _mapped(df: DataFrame, tokenizer: str, text_col: str, row, out, keep_text: b
     small_batches(spark)
     held = spark.sparkContext.broadcast(load(tokenizer))
     names = [c for c in df.columns if keep_text or c != text_col]
-    sent = df.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[:-1]]
+    text = F.coalesce(column(text_col).cast("string"), F.lit("")).alias(fresh(df.columns, "read"))
+    sent = df.select(*map(column, names), text)
 
     def run(batches):
         a = automaton(held.value)
         for b in batches:
-            rows = [row(a, a.encode(t)) for t in b.column("_text").to_pylist()]
+            rows = [row(a, a.encode(t)) for t in b.column(len(names)).to_pylist()]
             made = [pa.array([r[k] for r in rows], kind) for k, (_, kind, _) in enumerate(out)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *made], names=[*names, *(o[0] for o in out)])
 
-    return sent.mapInArrow(run, ", ".join([*kinds, *(f"`{n}` {k}" for n, _, k in out)]))
+    kind = StructType([*sent.schema.fields[:-1], *(f for n, _, k in out for f in StructType().add(n, k).fields)])
+    return sent.mapInArrow(run, kind)
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -240,12 +265,12 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str =
     small_batches(spark)
     held = spark.sparkContext.broadcast(load(tokenizer))
     df = df.drop(text_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    at = df.columns.index(ids_col)
 
     def run(batches):
         a = automaton(held.value)
         for b in batches:
-            texts = [a.decode(np.array(ids or [], "<u4").tobytes()) for ids in b.column(ids_col).to_pylist()]
+            texts = [a.decode(np.array(ids or [], "<u4").tobytes()) for ids in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
-    return df.mapInArrow(run, f"{kinds}, `{text_col}` string")
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType().add(text_col, "string").fields]))
