@@ -3,15 +3,19 @@
 Base spans come from the source text as it stands.  Then transducers rewrite the text: characters
 that look like ASCII ones, other digits, full-width forms and invisible characters; spelled
 digits; "at" and "dot" in words or brackets.  Each output character keeps the source range it came
-from, so a span found in the rewritten text maps back to source characters.  Texts without such
-disguises skip the rewriting: what it would find is what the base patterns find.
+from, so a span found in the rewritten text maps back to source characters.  Before each transducer
+stands a cheap test that is true wherever the transducer would change anything.
+
+"at" in a word is rewritten where a dot of the name after it is disguised too, or where what stands
+before it looks like a name in an address: it holds a dot, sign or figure, or begins its line or
+follows a sign or a word such as "mail", and is no common word ("look at example.com").
 
 Kinds: email, ip, card, phone.  A span that the method adds and that overlaps a base span of its
 kind is dropped; base spans stay.
 
 Defined results: null text is the empty text and has no spans; repeated rows give repeated results;
-texts are read whole; an empty table gives an empty result; columns named like the results are
-replaced, others stay.
+texts are read whole, in time that grows with their length; an empty table gives an empty result;
+columns named like the results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import column, fresh, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -59,24 +65,42 @@ SPELLED = {
     for k, w in enumerate(group.split())
 }
 ONE = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-#: Digits in words, four at least, with figures between them; "plus" may lead.
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\s,-]+)?{ONE}(?:(?:[\s,.-]|\((?=\w)|(?<=\w)\))+(?:{ONE}|[0-9]|dot(?=[\s-]+(?:{ONE}|[0-9])))){{3,}}(?!\w)")
-SPELLED_WORD = re.compile(rf"\b(?:{ONE}|plus|dot)\b|[0-9]|[^\w]+")
-#: One spelled digit after another, anywhere: a cheap test before SPELLED_RUN.
-TWO_SPELLED = re.compile(rf"{ONE}[\s,.-]+{ONE}")
+_ITEM = rf"(?:{ONE}|[0-9]|dot(?=[\s-]+(?:{ONE}|[0-9])))"
+_GAP = r"(?:[\s,.-]|\((?=\w)|(?<=\w)\))+"
+#: Digits in words, four at least, with figures between them; "plus" may lead, or a plus sign with figures.
+SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\s,-]+)?{ONE}|\+[0-9]+)(?:{_GAP}{_ITEM}){{3,}}(?!\w)")
+SPELLED_WORD = re.compile(rf"\b(?:{ONE}|plus|dot)\b|[0-9]|\+|[^\w+]+")
+#: The first two items of SPELLED_RUN: without them there is none.
+SPELLED_HINT = re.compile(rf"(?<!\w)(?:{ONE}|\+[0-9]+){_GAP}{_ITEM}")
 AT = r"(?:at|arroba|chez|ät)"
 DOT = r"(?:dot|punkt|punto|point|pkt)"
 OPEN, SHUT = r"[\[({<]", r"[\])}>]"
-BRACKETED = re.compile(rf"\s*{OPEN}\s*(?:({AT}|@)|({DOT}|\.))\s*{SHUT}\s*", re.I)
-#: name at host dot domain, in words: both are asked for, as "at" alone is a common word.
-IN_WORDS = re.compile(rf"(?<![\w.%+-])([A-Za-z0-9._%+-]++(?:\s+{DOT}\s+[A-Za-z0-9_%+-]+)*?)\s+({AT})\s+(?!(?:the|an?|this|that|it|le|la|les|der|die|das|el|los)\s)([A-Za-z0-9.-]+(?:\s+{DOT}\s+[A-Za-z0-9-]+)+)(?![\w])", re.I)
-HALF_WORDS = re.compile(rf"@([A-Za-z0-9.-]+(?:\s+{DOT}\s+[A-Za-z0-9-]+)+)(?![\w])", re.I)
+BRACKETED = re.compile(rf"(?<!\s)\s*{OPEN}\s*(?:({AT}|@)|({DOT}|\.))\s*{SHUT}\s*", re.I)
+#: A disguised dot, and the longest name of a label (fixed values of the domain name system: 63 characters, 127 labels).
+_DOT = rf"(?:\s+{DOT}\s+|\s*{OPEN}\s*(?:{DOT}|\.)\s*{SHUT}\s*)"
+_NAME = r"[A-Za-z0-9-]{1,63}"
+_LOCAL = rf"(?<![\w.%+-])([A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,8}}?)"
+_NOT_NAME = r"(?!(?:the|an?|this|that|it|le|la|les|der|die|das|el|los)\s)"
+#: name at host dot domain, in words: "at" alone is a common word, so a dot is disguised as well.
+IN_WORDS = re.compile(rf"{_LOCAL}\s+({AT})\s+{_NOT_NAME}({_NAME}(?:\.{_NAME}){{0,8}}(?:{_DOT}{_NAME}(?:\.{_NAME}){{0,8}}){{1,8}})(?!\w)", re.I)
+HALF_WORDS = re.compile(rf"@({_NAME}(?:\.{_NAME}){{0,8}}(?:{_DOT}{_NAME}(?:\.{_NAME}){{0,8}}){{1,8}})(?!\w)", re.I)
+#: name at host.domain, the dot as it is.
+PLAIN_DOT = re.compile(rf"(?<![\w.%+-])([A-Za-z0-9._%+-]{{1,64}})\s+({AT})\s+(?:{_NAME}\.){{1,8}}[A-Za-z]{{2,24}}(?![\w-]|\.\w)", re.I)
+#: Words before an address; words that stand before "at" in prose.
+CUES = frozenset("mail email e-mail mailto write contact reach address adresse correo escribe schreib schreibe mailen to an à a me us or und and ou y o".split())
+PROSE = frozenset(
+    "look looks looked looking available find found here there us me you him her them live site visit online hosted published posted more info "
+    "information details located based page pages read see seen shop store works working worked work employed engineer manager founder founded "
+    "director ceo cto team staff student professor start starts started begin begins sign join register registered sold bought buy order check "
+    "checked listed list described documented download downloads downloaded get go click support service services news archive home".split()
+)
 NUMBERS = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:\s+{DOT}\s+[0-9]{{1,3}}){{3}}(?![\w])", re.I)
-SPACED_DOT = re.compile(rf"\s+{DOT}\s+", re.I)
+A_DOT = re.compile(_DOT, re.I)
 SPACED_SIGN = re.compile(r"(?<=[A-Za-z0-9])(?: +@ *| *@ +)(?=[A-Za-z0-9])")
 #: Cheap tests on the lower-case text before the rewriting.
 BRACKET_HINT = re.compile(rf"{OPEN}\s*(?:{AT}|{DOT}|@|\.)\s*{SHUT}")
-DOT_HINT = re.compile(rf"{DOT}\s")
+DOT_HINT = re.compile(rf"{DOT}\s|{OPEN}\s*(?:{DOT}|\.)\s*{SHUT}")
+AT_HINT = re.compile(rf"\s{AT}\s")
 
 
 def luhn(digits: str) -> bool:
@@ -150,40 +174,46 @@ class Tape:
     """A text with the source range of each of its characters."""
 
     def __init__(self, text: str):
-        self.text, self.low, self.high = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.low = text, np.arange(len(text), dtype=np.int64)
+        self.high = self.low + 1
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Put a string in place of each range; ranges are in order and don't overlap."""
         parts, low, high, at = [], [], [], 0
         for a, b, put in edits:
             parts += [self.text[at:a], put]
-            low += self.low[at:a]
-            high += self.high[at:a]
-            if b > a:
-                low += [self.low[a]] * len(put)
-                high += [self.high[b - 1]] * len(put)
+            low.append(self.low[at:a])
+            high.append(self.high[at:a])
+            if b > a and put:
+                low.append(np.full(len(put), self.low[a]))
+                high.append(np.full(len(put), self.high[b - 1]))
             at = b
         self.text = "".join([*parts, self.text[at:]])
-        self.low = low + self.low[at:]
-        self.high = high + self.high[at:]
+        self.low = np.concatenate([*low, self.low[at:]])
+        self.high = np.concatenate([*high, self.high[at:]])
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.low[a], self.high[b - 1]
+        return int(self.low[a]), int(self.high[b - 1])
 
 
 def _glyph_edits(text: str):
     return [(m.start(), m.end(), GLYPHS[m[0]]) for m in ANY_GLYPH.finditer(text)]
 
 
-def _spelled_edits(text: str):
-    out = []
+def _lower(text: str) -> str:
+    """Lower case, character by character."""
     lower = text.lower()
-    if len(lower) != len(text):
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _spelled_edits(text: str):
+    out, lower = [], _lower(text)
     for run in SPELLED_RUN.finditer(lower):
+        if not any(c.isalpha() for c in run[0]):
+            continue  # figures alone are no disguise
         for m in SPELLED_WORD.finditer(lower, *run.span()):
             w = m[0]
-            put = SPELLED.get(w) or ("+" if w == "plus" else "." if w == "dot" else w if w.isdigit() else "")
+            put = SPELLED.get(w) or ("+" if w in ("plus", "+") else "." if w == "dot" else w if w.isdigit() else "")
             if put != w:
                 out.append((*m.span(), put))
     return out
@@ -193,25 +223,45 @@ def _bracket_edits(text: str):
     return [(*m.span(), "@" if m[1] else ".") for m in BRACKETED.finditer(text)]
 
 
+def _around(text: str, a: int, b: int) -> tuple[int, int]:
+    """The range with the blanks on both sides."""
+    while text[a - 1].isspace():
+        a -= 1
+    while text[b].isspace():
+        b += 1
+    return a, b
+
+
 def _word_edits(text: str):
     out = []
     for m in IN_WORDS.finditer(text):
-        a, b = m.span(2)
-        while text[a - 1].isspace():
-            a -= 1
-        while text[b].isspace():
-            b += 1
-        dots = [(*d.span(), ".") for k in (1, 3) for d in SPACED_DOT.finditer(text, *m.span(k))]
-        out += sorted([*dots, (a, b, "@")])
+        dots = [(*d.span(), ".") for k in (1, 3) for d in A_DOT.finditer(text, *m.span(k))]
+        out += sorted([*dots, (*_around(text, *m.span(2)), "@")])
     return out
 
 
+def _names_someone(text: str, m: re.Match) -> bool:
+    """Whether what stands before "at" looks like the name in an address."""
+    local, low = m[1], m.start(1)
+    if local.lower() in PROSE:
+        return False
+    if not local.isalpha():
+        return any(c.isalpha() for c in local)
+    line = text[max(0, low - 40) : low].rpartition("\n")[2].rstrip(" \t")
+    last = re.search(r"[\w-]+$", line)
+    return not line or line[-1] in ":;,(<[|=\"'" or last is not None and last[0].lower() in CUES
+
+
+def _plain_dot_edits(text: str):
+    return [(*_around(text, *m.span(2)), "@") for m in PLAIN_DOT.finditer(text) if _names_someone(text, m)]
+
+
 def _half_edits(text: str):
-    return [(*d.span(), ".") for m in HALF_WORDS.finditer(text) for d in SPACED_DOT.finditer(text, *m.span(1))]
+    return [(*d.span(), ".") for m in HALF_WORDS.finditer(text) for d in A_DOT.finditer(text, *m.span(1))]
 
 
 def _number_edits(text: str):
-    return [(*d.span(), ".") for m in NUMBERS.finditer(text) for d in SPACED_DOT.finditer(text, *m.span())]
+    return [(*d.span(), ".") for m in NUMBERS.finditer(text) for d in A_DOT.finditer(text, *m.span())]
 
 
 def _sign_edits(text: str):
@@ -220,9 +270,9 @@ def _sign_edits(text: str):
     return [(*m.span(), "@") for m in found]
 
 
-def disguised(text: str) -> Tape | None:
-    """The rewritten text, or None if there is nothing to rewrite."""
-    tape = None
+def disguised(text: str, always: bool = False) -> Tape | None:
+    """The rewritten text, or None if there is nothing to rewrite.  always: leave out the cheap tests."""
+    tape, now = None, text
 
     def apply(edits) -> None:
         nonlocal tape, now
@@ -231,18 +281,22 @@ def disguised(text: str) -> Tape | None:
             tape.rewrite(edits)
             now = tape.text
 
-    now = text
-    if has_glyph(text):
+    if always or has_glyph(text):
         apply(_glyph_edits(now))
-    lower = now.lower()
-    if TWO_SPELLED.search(lower):
+    lower = _lower(now)
+    if always or SPELLED_HINT.search(lower):
         apply(_spelled_edits(now))
-    if BRACKET_HINT.search(lower):
+    dots = always or DOT_HINT.search(lower)
+    if dots:
+        apply(_word_edits(now))
+    if always or BRACKET_HINT.search(lower):
         apply(_bracket_edits(now))
-    if DOT_HINT.search(lower):
-        for f in (_word_edits, _half_edits, _number_edits):
-            apply(f(now))
-    if " @" in now or "@ " in now:
+    if dots:
+        apply(_half_edits(now))
+        apply(_number_edits(now))
+    if always or AT_HINT.search(lower):
+        apply(_plain_dot_edits(now))
+    if always or " @" in now or "@ " in now:
         apply(_sign_edits(now))
     return tape if now != text else None
 
@@ -251,23 +305,32 @@ def disguised(text: str) -> Tape | None:
 BARE_PHONE = re.compile(r"(?<![0-9])[0-9]{9,15}(?![0-9])")
 
 
-def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
+def apart(new: list[tuple[int, int]], *others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the spans new, in order, those that overlap none of the others nor one kept before; all lists are in order."""
+    out, at, end = [], [0] * len(others), -1
+    for a, b in new:
+        free = a >= end
+        for k, spans in enumerate(others):
+            while at[k] < len(spans) and spans[at[k]][1] <= a:
+                at[k] += 1
+            free = free and (at[k] == len(spans) or spans[at[k]][0] >= b)
+        if free:
+            out.append((a, b))
+            end = b
+    return out
+
+
+def spans(text: str, always: bool = False) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Base spans, and all spans, by kind, each in order."""
     found = base(text)
-    every = {k: list(v) for k, v in found.items()}
-    tape = disguised(text)
-    if tape is not None:
-        more = {k: [tape.source(*s) for s in v] for k, v in base(tape.text).items()}
-        for m in BARE_PHONE.finditer(tape.text):
-            a, b = tape.source(*m.span())
-            if any(c.isalpha() for c in text[a:b]) and not any(x < b and a < y for k in ("card", "phone", "ip") for x, y in more[k]):
-                more["phone"].append((a, b))
-        for kind in KINDS:
-            for a, b in more[kind]:
-                if not any(x < b and a < y for x, y in every[kind]):
-                    every[kind].append((a, b))
-            every[kind].sort()
-    return found, every
+    tape = disguised(text, always)
+    if tape is None:
+        return found, found
+    more = {k: [tape.source(*s) for s in v] for k, v in base(tape.text).items()}
+    bare = [tape.source(*m.span()) for m in BARE_PHONE.finditer(tape.text)]
+    spelled = [(a, b) for a, b in bare if any(c.isalpha() for c in text[a:b])]
+    more["phone"] = sorted(more["phone"] + apart(spelled, more["card"], more["phone"], more["ip"]))
+    return found, {k: sorted(found[k] + apart(more[k], found[k])) for k in KINDS}
 
 
 def joined(found: dict[str, list[tuple[int, int]]]) -> str:
@@ -287,17 +350,17 @@ def redacted(text: str, found: dict[str, list[tuple[int, int]]]) -> str:
 def _mapped(df: DataFrame, text_col: str, row, out, keep_text: bool) -> DataFrame:
     small_batches(df.sparkSession)
     made = [o[0] for o in out]
-    names = [c for c in df.columns if c not in made and (keep_text or c != text_col)]
-    sent = df.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[:-1]]
+    low = {m.lower() for m in made}
+    names = [c for c in df.columns if c.lower() not in low and (keep_text or c != text_col)]
+    sent = df.select(*map(column, names), F.coalesce(column(text_col).cast("string"), F.lit("")).alias(fresh(names, "read")))
 
     def run(batches):
         for b in batches:
-            rows = [row(t) for t in b.column("_text").to_pylist()]
+            rows = [row(t) for t in b.column(len(names)).to_pylist()]
             cols = [pa.array([r[k] for r in rows], o[1]) for k, o in enumerate(out)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *cols], names=[*names, *made])
 
-    return sent.mapInArrow(run, ", ".join([*kinds, *(f"`{o[0]}` {o[2]}" for o in out)]))
+    return sent.mapInArrow(run, StructType([*sent.schema.fields[:-1], *(f for o in out for f in StructType().add(o[0], o[2]).fields)]))
 
 
 def find(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -313,7 +376,7 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with personal data in text_col replaced; null stays null."""
-    out = [("_clean", pa.string(), "string")]
-    made = _mapped(df, text_col, lambda t: [redacted(t, spans(t)[1])], out, keep_text=True)
-    clean = F.when(F.col(text_col).isNotNull(), F.col("_clean"))
-    return made.select(*(clean.alias(c) if c == text_col else F.col(c) for c in df.columns))
+    clean = fresh(df.columns, "clean")
+    made = _mapped(df, text_col, lambda t: [redacted(t, spans(t)[1])], [(clean, pa.string(), "string")], keep_text=True)
+    new = F.when(column(text_col).isNotNull(), F.col(clean))
+    return made.select(*(new.alias(c) if c == text_col else column(c) for c in df.columns))
