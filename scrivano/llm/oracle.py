@@ -48,7 +48,7 @@ more AS ({' UNION ALL '.join(_matches(_N + i, *k[1:]) for i, k in enumerate(secr
 found AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start < m.stop AND m.start < b.stop)),
 owned AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM found GROUP BY v),
 judged AS (
-  SELECT f.*, o.owners, o.repos, CASE WHEN o.owners >= {secrets.MANY_OWNERS} THEN 'example'
+  SELECT f.*, o.owners, o.repos, CASE WHEN o.owners >= {secrets.MANY_OWNERS} OR o.owners >= 2 AND o.repos >= {secrets.MANY_REPOS} THEN 'example'
     WHEN len(list_distinct(string_split(f.v, ''))) >= 8 AND (regexp_matches(f.v, '[0-9]') OR regexp_matches(f.v, '[A-Z]') AND regexp_matches(f.v, '[a-z]')) THEN 'live' ELSE 'plain' END AS verdict
   FROM found f JOIN owned o ON f.v = o.v),
 told AS (

@@ -1,13 +1,14 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations alone.
 
 Places.  split() by a pattern gives what lies between its matches, regexp_extract_all the matches;
-running sums of their lengths are the matches' code points.  Both run only on texts that rlike finds
-to have a match.
+running sums of their lengths, block by block, are the matches' code points.  Both run only on texts
+that rlike finds to have a match.
 
 Ownership.  Each candidate's value is hashed.  Distinct (hash, owner, repository) are counted by
 hash: first distinct, with partial aggregation, then by owner, then by hash, so a value that half
-of the corpus copies is a few rows a task.  A value with MANY_OWNERS owners or more is a widely
-copied example; one with fewer that looks random is live.  Only values with several owners or
+of the corpus copies is a few rows a task.  A value with MANY_OWNERS owners or more, or with two and
+MANY_REPOS repositories, is a widely copied example; of the others, one that looks random is live,
+however many repositories of its owner hold it.  Only values with several owners or
 repositories are joined back, salted, as one value may stand in a third of all rows.
 
 Spans: base spans always stay; of the method's further kinds (keys of known issuers, private-key
@@ -26,7 +27,11 @@ from pyspark.sql import functions as F
 from .common import let, repeated, written
 
 MANY_OWNERS = 3
+#: From so many repositories on, a value of two owners is a copied example too.
+MANY_REPOS = 6
 SALTS = 16
+#: Spans whose places are summed at a time, so that a text with very many of them is not copied for each.
+BLOCK = 256
 
 
 def _either_case(word: str) -> str:
@@ -41,9 +46,10 @@ BASE = (
     ("hex", "[0-9a-f]{16,}", 0, 16),
 )
 MORE = (
-    ("issued", "(?:gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{20,}|sk-[A-Za-z0-9_-]{20,}|[rs]k_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35,}|npm_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,})", 0, 16),
+    # Repeats that could run on without an end are bounded, so that a pattern's time grows with the text alone.
+    ("issued", "(?:gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{20,}|sk-[A-Za-z0-9_-]{20,}|[rs]k_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35,}|npm_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_-]{8,400}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,})", 0, 16),
     ("pem", "-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----[A-Za-z0-9+/=\\s]*-----END (?:[A-Z]+ ){0,2}PRIVATE KEY-----", 0, 60),
-    ("address", "[a-z][a-z0-9+]*://[A-Za-z0-9._%-]+:([A-Za-z0-9._%!*+-]{8,})@", 1, 8),
+    ("address", "[a-z][a-z0-9+]{0,15}://[A-Za-z0-9._%-]+:([A-Za-z0-9._%!*+-]{8,})@", 1, 8),
 )
 KINDS = tuple(k[0] for k in (*BASE, *MORE))
 SPAN = "array<struct<start:int,no:int,end:int,value:string>>"
@@ -53,19 +59,50 @@ def _spans(text: Column, no: int, pattern: str, group: int, least: int) -> Colum
     """Array of SPAN in order."""
     all_of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
 
-    def found(gaps: Column, whole: Column, values: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(whole, i))
-            span = F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.get(values, i).alias("value"))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def found(whole: Column, values: Column, at: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            end = F.get(at, i)
+            return F.struct((end - F.length(w)).alias("start"), F.lit(no).alias("no"), end.alias("end"), F.get(values, i).alias("value"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        every = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), zero, step)["out"]
-        return F.filter(every, lambda s: F.length(s["value"]) >= least)
+        return F.filter(F.transform(whole, one), lambda s: F.length(s["value"]) >= least)
 
-    spans = let(F.split(text, pattern, -1), lambda g: let(all_of(0), lambda w: let(all_of(group) if group else w, lambda v: found(g, w, v))))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    steps = lambda g, w: F.transform(w, lambda x, i: F.length(F.get(g, i)) + F.length(x))
+    ends = let(F.split(text, pattern, -1), lambda g: let(all_of(0), lambda w: let(_running(steps(g, w)), lambda at: let(all_of(group) if group else w, lambda v: found(w, v, at)))))
+    return F.when(text.rlike(pattern), ends).otherwise(F.array().cast(SPAN))
+
+
+def _blocks(items: Column) -> Column:
+    """An array of arrays of BLOCK items, the last one shorter; for one item or more."""
+    last = lambda it: ((F.size(it) - 1) / BLOCK).cast("int")
+    return let(items, lambda it: F.transform(F.sequence(F.lit(0), last(it)), lambda b: F.slice(it, b * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _running(steps: Column) -> Column:
+    """Running sums of an array of one number or more, each number counted in."""
+
+    def sums(numbers: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out"))
+        return F.aggregate(numbers, zero, add)["out"]
+
+    def joined(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x))
+        return let(sums(whole, F.lit(0)), lambda upto: F.flatten(F.transform(blocks, lambda b, i: sums(b, F.coalesce(F.get(upto, i - 1), F.lit(0))))))
+
+    return let(_blocks(steps), joined)
+
+
+def _clear_of(more: Column, base: Column) -> Column:
+    """Spans of more that overlap none of base.  Blocks of base with their reach spare most comparisons."""
+
+    def reach(b: Column) -> Column:
+        ends = F.transform(b, lambda x: x["end"])
+        return F.struct(F.array_min(F.transform(b, lambda x: x["start"])).alias("low"), F.array_max(ends).alias("high"), b.alias("spans"))
+
+    over = lambda x, m: (x["start"] < m["end"]) & (m["start"] < x["end"])
+    hit = lambda blocks, m: F.exists(blocks, lambda b: (b["low"] < m["end"]) & (m["start"] < b["high"]) & F.exists(b["spans"], lambda x: over(x, m)))
+    kept = let(F.transform(_blocks(F.array_sort(base)), reach), lambda blocks: F.filter(more, lambda m: ~hit(blocks, m)))
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(kept)
 
 
 def _order(spans: Column) -> Column:
@@ -77,8 +114,7 @@ def candidates(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     base = F.flatten(F.array(*(_spans(text, i, *k[1:]) for i, k in enumerate(BASE))))
     more = F.flatten(F.array(*(_spans(text, len(BASE) + i, *k[1:]) for i, k in enumerate(MORE))))
-    clear = let(base, lambda b: F.concat(b, F.filter(more, lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))))
-    return _order(clear)
+    return _order(let(base, lambda b: F.concat(b, let(more, lambda m: _clear_of(m, b)))))
 
 
 def _random(value: Column) -> Column:
@@ -106,9 +142,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     rows = some.groupBy("id", F.sha2(F.to_json("c"), 256).alias("k")).agg(F.count("*").alias("n"), F.first("c").alias("c"))
     parts = rows.select("id", "k", "n", F.explode("c").alias("s")).select("*", F.col("s.hash").alias("hash"), F.pmod(F.xxhash64("id", "s.start"), F.lit(SALTS)).cast("int").alias("salt"))
     judged = parts.join(owners.hint("merge"), ["hash", "salt"], "left")
-    n_owners = F.coalesce("owners", F.lit(1))
-    verdict = F.when(n_owners >= MANY_OWNERS, "example").when(F.col("s.random"), "live").otherwise("plain")
-    own = F.struct(F.col("s.start").alias("start"), F.col("s.no").alias("no"), F.col("s.end").alias("end"), verdict.alias("verdict"), n_owners.alias("owners"), F.coalesce("repos", F.lit(1)).alias("repos"))
+    n_owners, n_repos = F.coalesce("owners", F.lit(1)), F.coalesce("repos", F.lit(1))
+    copied = (n_owners >= MANY_OWNERS) | (n_owners >= 2) & (n_repos >= MANY_REPOS)
+    verdict = F.when(copied, "example").when(F.col("s.random"), "live").otherwise("plain")
+    own = F.struct(F.col("s.start").alias("start"), F.col("s.no").alias("no"), F.col("s.end").alias("end"), verdict.alias("verdict"), n_owners.alias("owners"), n_repos.alias("repos"))
     known = judged.groupBy("id", "k").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(own)).alias("v"))
     known = repeated(known, F.col("n")).select("id", "v")
     none = F.array().cast("array<struct<start:int,no:int,end:int,verdict:string,owners:bigint,repos:bigint>>")
