@@ -12,8 +12,13 @@ content, so random candidates are rare; the third and fourth link of the chain a
 the join itself, which gives out true links alone.  No pair within 3 bits is lost.
 
 Skew.  Equal fingerprints collapse to one row before the search (partial aggregation), so a group
-of exact copies costs one row there.  The way back to documents is salted and touches only
-fingerprints that several documents or links share.
+of exact copies costs one row there.  A key that more than HOT fingerprints have (families of texts
+that share much) is split by the next segment of the ring, within the budget that the chain leaves
+there: 48 bits of content, so that one key has 2^16 fingerprints at most.  The way back to documents is
+salted and touches only fingerprints that several documents or links share.
+
+Similarity of shingle sets.  deduplicated() may ask for a Jaccard similarity of the texts' shingles: then
+the links found here are held against the whole sets, and similar.py looks for the pairs beyond 3 bits.
 
 Defined results: null or blank text has fingerprint zero and links like any other; repeated rows
 come back as often as they came; a null id has its fingerprint and its component's smallest id,
@@ -27,10 +32,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, pick, small_batches, text_key, written
+from .common import as_bytes, column, discard, pick, small_batches, text_key, written
 
 SHINGLE = 3
 SEED = 42
@@ -38,10 +43,22 @@ SEGMENTS = 4
 BITS = 64 // SEGMENTS
 DISTANCE = 3
 SALTS = 32
+#: Fingerprints with one key, from which on the key is split.
+HOT = 4096
 #: Shingles hashed at a time: bounds the memory that one very long text takes.
 CHUNK = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, lowest first."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def folded(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes: bits that more than half of them have."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(raw: bytes) -> int:
     """Signed 64-bit fingerprint of a UTF-8 text."""
     found = raw.lower().split()  # of bytes, both know ASCII alone
@@ -58,8 +75,8 @@ def fingerprint(raw: bytes) -> int:
         hi = min(n, lo + CHUNK)
         parts = zip(*(found[lo + k : hi + k] for k in range(size)))
         h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts), "<u8", hi - lo)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+        ones += majority(h)
+    return folded(ones, n)
 
 
 def _fingerprints(batches):
@@ -73,7 +90,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: id, text_key, fp."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    raw = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), as_bytes(text_col).alias("raw"))
+    raw = df.select(column(id_col).alias("id"), text_key(column(text_col)).alias("text_key"), as_bytes(text_col).alias("raw"))
     return raw.mapInArrow(_fingerprints, f"id {kind}, text_key long, fp long")
 
 
@@ -87,23 +104,36 @@ def _differ(a: Column, b: Column, first: int, n: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(mask).cast("long")))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """All pairs (a, b), a < b, of the distinct values in column fp that differ in 1 to 3 bits."""
     fp = F.col("fp")
     keys = [
         F.shiftleft(F.lit(i).cast("long"), 2 * BITS).bitwiseOR(F.shiftleft(_segment(fp, i), BITS)).bitwiseOR(_segment(fp, i + 1))
         for i in range(SEGMENTS)
     ]
-    near = [k.bitwiseXOR(F.lit(m).cast("long")) for k in keys for m in (0, *(1 << j for j in range(BITS)))]
-    a = fps.select(fp.alias("a"), F.explode(F.array(*near)).alias("key"))
+    flips = (0, *(1 << j for j in range(BITS)))
+    near = F.flatten(F.array(*(F.transform(F.array(*(F.lit(m).cast("long") for m in flips)), lambda m, k=k: F.struct(k.bitwiseXOR(m).alias("key"), (m == 0).alias("same"))) for k in keys)))
+    a = fps.select(fp.alias("a"), F.explode(near).alias("n")).select("a", "n.*")
     b = fps.select(fp.alias("b"), F.explode(F.array(*keys)).alias("other"))
+    # counted where the join wants them anyway: the same partitioning and order
+    b = b.withColumn("held", F.count("*").over(Window.partitionBy("other")))
     ca, cb, start = F.col("a"), F.col("b"), F.shiftrightunsigned(F.col("key"), 2 * BITS)
-    chain = [
-        reduce(lambda out, i: out.when(start == i, _differ(ca, cb, i, n)), range(SEGMENTS), F.when(F.lit(False), 0)) <= n * DISTANCE // SEGMENTS
-        for n in (3,)
-    ]
-    ok = (F.col("key") == F.col("other")) & (ca < cb) & chain[0] & (F.bit_count(ca.bitwiseXOR(cb)) <= DISTANCE)
-    return a.join(b, ok).select("a", "b")
+    by_start = lambda f: reduce(lambda out, i: out.when(start == i, f(i)), range(SEGMENTS), F.when(F.lit(False), f(0)))
+    chain = by_start(lambda i: _differ(ca, cb, i, 3)) <= 3 * DISTANCE // SEGMENTS
+    true_link = (ca < cb) & chain & (F.bit_count(ca.bitwiseXOR(cb)) <= DISTANCE)
+    found = a.hint("merge").join(b.where(f"held <= {hot}"), (F.col("key") == F.col("other")) & true_link).select("a", "b")
+    split = written(b.where(f"held > {hot}").select("b", "other"))
+    if split.isEmpty():
+        discard(split)
+        return found
+    # what the first two segments leave of the third one's budget: 2 bits, or 1 after a difference
+    third = lambda x: by_start(lambda i: _segment(x, i + 2))
+    one, two = ([m for m in range(1 << BITS) if m.bit_count() <= n] for n in (1, 2))
+    asked = a.join(split.select(F.col("other").alias("key")).distinct().hint("merge"), "key", "left_semi")
+    masks = F.when(F.col("same"), F.array(*map(F.lit, two))).otherwise(F.array(*map(F.lit, one)))
+    asked = asked.select("a", "key", F.explode(masks).alias("m")).select("a", "key", third(ca).bitwiseXOR(F.col("m").cast("long")).alias("third"))
+    held = split.select("b", F.col("other").alias("key")).select("b", "key", third(cb).alias("third"))
+    return found.unionByName(asked.hint("merge").join(held, ["key", "third"]).where(true_link).select("a", "b"))
 
 
 def _salt(*of: str) -> Column:
@@ -173,14 +203,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: tuple[int, int] | None = None) -> DataFrame:
     """One row of each group: the one with the smallest id (null last), then the smallest text key.
 
-    A group without any id is a component of its own fingerprint.
+    A group is what links within 3 bits reach; with jaccard (a fraction of whole numbers), what pairs of
+    texts reach whose sets of five-word shingles are that similar or more.  A group without any id is a
+    component of its own fingerprint.
     """
+    if jaccard:
+        from .similar import deduplicated as by_sets
+
+        return by_sets(df, id_col, text_col, jaccard)
     rows = near_duplicates(df, id_col, text_col)
     own = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
-    keys = rows.groupBy("component_id", own.alias("own"), F.col(id_col).alias("id"), F.col("text_key").alias("k")).agg(F.count("*").alias("n"))
+    keys = rows.groupBy("component_id", own.alias("own"), column(id_col).alias("id"), F.col("text_key").alias("k")).agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")).alias("first")
     winners = keys.groupBy("component_id", "own").agg(first).select("first.id", "first.k", "first.n", F.lit(1).alias("copies"))
     return pick(df, winners, id_col, text_col)

@@ -1,17 +1,22 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with prefix filtering.
+"""Near-duplicates by similarity of shingle sets: SimHash with pigeonring filtering, then what lies beyond its bits.
 
 Two texts link when the sets of their five-word shingles have Jaccard similarity 0.8 or more; a group
 is what links reach.  Shingles are 64-bit hashes of lower-cased words; a shorter text is one shingle.
+Texts with one set of shingles are one node.
 
-Search.  All shingles have one fixed order.  A text of n shingles shows its first n - ceil(0.8 n) + 1:
-two texts at 0.8 share 0.8 of the larger set, so that they share one of those they show.  Pairs whose
-sizes, or places of the shared shingle, rule 0.8 out are dropped; the rest are compared as whole sets.
-No pair is lost, whatever the order is.  It puts common shingles last (by counts in a fixed number of
-buckets), so that passages which many texts hold make few candidates.
+Fingerprints of sets at 0.8 differ in about 10 of 64 bits and in up to 17, more than any chain of segments
+can prune by.  So the search has three steps, each of which compares only what no link has joined yet:
 
-Skew.  Texts with one set of shingles are one node.  Each node is first compared with its smallest
-candidate; pairs that these links join already need no comparison, so that the sets of a large group of
-near copies are not compared pair by pair.
+1. simhash.links on the sets' fingerprints: pairs within 3 bits.
+2. Hubs.  All shingles have one fixed order, common ones last.  A text of n shingles shows its first
+   n - ceil(0.8 n) + 1: two texts at 0.8 share 0.8 of the larger set, so that they share one of those they
+   show.  Each text is compared with one hub of each shingle it shows, the text that shows it first: in a
+   family of copies that were changed apart, the one that was changed least.  Hubs cost a row a shingle
+   shown, whatever the family's size, and join the family.
+3. The rest: pairs of texts that still are apart and show one shingle, unless sizes or the shingle's places
+   rule 0.8 out.  No pair is lost, whatever the order is.
+
+All pairs found are held against whole sets before they link.
 
 Defined results: null and blank texts are one group; else as in simhash.deduplicated.
 """
@@ -23,8 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import as_bytes, discard, pick, small_batches, text_key, written
+from . import simhash
+from .common import as_bytes, column, discard, pick, small_batches, text_key, written
 from .simhash import SEED, components
 
 SHINGLE = 5
@@ -54,20 +61,31 @@ def node(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view("<i8"))
 
 
-def shown(n: int) -> int:
+def print_of(grams: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of a set."""
+    if not len(grams):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(grams), simhash.CHUNK):
+        ones += simhash.majority(grams[lo : lo + simhash.CHUNK])
+    return simhash.folded(ones, len(grams))
+
+
+def shown(n: int, least: tuple[int, int] = LEAST) -> int:
     """How many shingles a text of n shows."""
-    return n - (LEAST[0] * n + LEAST[1] - 1) // LEAST[1] + 1 if n else 0
+    return n - (least[0] * n + least[1] - 1) // least[1] + 1 if n else 0
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+    return least[1] * both >= least[0] * (len(a) + len(b) - both)
 
 
 def _nodes(batches):
     for b in batches:
-        names = [node(shingles(t)) for t in b.column("raw").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64())], names=["id", "k", "node"])
+        sets = [shingles(t) for t in b.column("raw").to_pylist()]
+        names, prints = pa.array(map(node, sets), pa.int64()), pa.array(map(print_of, sets), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names, prints], names=["id", "k", "node", "fp"])
 
 
 def _buckets(batches):
@@ -79,9 +97,9 @@ def _buckets(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bucket", "n"])
 
 
-def _prefixes(counts: np.ndarray):
+def _prefixes(counts: np.ndarray, least: tuple[int, int]):
     def run(batches):
-        seen = set()
+        seen = set()  # names only, of one task's texts
         for b in batches:
             parts = []
             for t in b.column("raw").to_pylist():
@@ -89,7 +107,7 @@ def _prefixes(counts: np.ndarray):
                 name = node(g)
                 if len(g) and name not in seen:
                     seen.add(name)
-                    first = g[np.lexsort((g, counts[(g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))[: shown(len(g))]]
+                    first = g[np.lexsort((g, counts[(g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))[: shown(len(g), least)]]
                     parts.append((name, len(g), first))
             if parts:
                 sizes = [len(p[2]) for p in parts]
@@ -110,65 +128,99 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "grams"])
 
 
-def _compared(batches):
-    for b in batches:
-        of = lambda c: (np.frombuffer(x, "<u8") for x in b.column(c).to_pylist())  # noqa: E731, B023
-        near = [similar(x, y) for x, y in zip(of("x"), of("y"))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+def _compared(least: tuple[int, int]):
+    def run(batches):
+        for b in batches:
+            of = lambda c: (np.frombuffer(x, "<u8") for x in b.column(c).to_pylist())  # noqa: E731, B023
+            near = [similar(x, y, least) for x, y in zip(of("x"), of("y"))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
 
 
-def candidates(raw: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes, all at 0.8 among them, of the texts in column raw."""
+def shows(raw: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """gram, node, n, at: each shingle that the texts in column raw show, with its place, of those that two texts show."""
     rows = raw.mapInArrow(_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most 2^17
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in rows:
         counts[r["bucket"]] = r["n"]
-    shows = written(raw.mapInArrow(_prefixes(counts), "node long, n int, at int, gram long"))
-    a, b = (shows.select(F.col("gram").alias(f"{s}g"), F.col("node").alias(s), F.col("n").cast("long").alias(f"{s}n"), F.col("at").alias(f"{s}at")) for s in "ab")
-    num, den = LEAST
-    # the first shared shingle leaves at most the shorter rest to share
-    most = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
-    ok = (F.col("ag") == F.col("bg")) & (F.col("a") < F.col("b")) & (den * F.col("an") >= num * F.col("bn")) & (den * F.col("bn") >= num * F.col("an"))
-    ok &= (num + den) * most >= num * (F.col("an") + F.col("bn"))
-    out = written(a.hint("merge").join(b, ok).select("a", "b").distinct())
-    discard(shows)
+    every = written(raw.mapInArrow(_prefixes(counts, least), "node long, n int, at int, gram long"))
+    shared = every.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
+    out = written(every.join(shared.hint("merge"), "gram").distinct())
+    discard(every)
+    return out
+
+
+def _possible(least: tuple[int, int]):
+    """Whether sizes an, bn and places aat, bat of a shared shingle leave the similarity asked for possible."""
+    num, den = least
+    a, b = F.col("an").cast("long"), F.col("bn").cast("long")
+    most = F.least(a - F.col("aat"), b - F.col("bat"))  # the shingle is the first one shared, or an earlier one makes the pair
+    return (den * a >= num * b) & (den * b >= num * a) & ((num + den) * most >= num * (a + b))
+
+
+def _sided(held: DataFrame, side: str) -> DataFrame:
+    return held.select("gram", *(F.col(c).alias(side + c) for c in held.columns if c != "gram"))
+
+
+def hubs(held: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Pairs (a, b) of each node and the hubs of the shingles it shows."""
+    first = held.groupBy("gram").agg(F.min(F.struct("at", "node", "n")).alias("h")).select("gram", F.col("h.node").alias("bnode"), F.col("h.n").alias("bn"), F.col("h.at").alias("bat"))
+    both = _sided(held, "a").join(first.hint("merge"), "gram").where((F.col("anode") != F.col("bnode")) & _possible(least))
+    return both.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
+
+
+def apart(held: DataFrame, found: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Pairs (a, b), a < b, all at the similarity asked for among them, that the components found (node, root) do not join."""
+    rooted = held.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    rooted = written(rooted.join(several.hint("merge"), "gram"))
+    a, b = _sided(rooted, "a"), _sided(rooted, "b")
+    both = a.hint("merge").join(b, "gram").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _possible(least))
+    out = written(both.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
+    discard(rooted)
     return out
 
 
-def links(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of nodes at 0.8 or more that reach what all such pairs reach.  nodes: id, k, node of df's rows."""
-    pairs = candidates(df.select(as_bytes(text_col).alias("raw")))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one text of each node that a candidate names
+def links(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Pairs (a, b) of similar nodes that reach what all such pairs reach.  nodes: id, k, node, fp of df's rows."""
+    held = shows(df.select(as_bytes(column(text_col)).alias("raw")), least)
+    of_print = nodes.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    near = simhash.links(of_print.select("fp"))
+    ends = near.join(of_print.select(F.col("fp").alias("a"), F.col("low").alias("x")).hint("merge"), "a").join(of_print.select(F.col("fp").alias("b"), F.col("low").alias("y")).hint("merge"), "b").select("x", "y")
+    alike = nodes.join(of_print.where("low <> high").hint("merge"), "fp").where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct()
+    by_print = ends.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    early = written(by_print.unionByName(hubs(held, least)).distinct())
+
+    # the sets of the nodes that show a shared shingle or have a near fingerprint, from one text of each
+    wanted = held.select("node").unionByName(early.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     one = nodes.groupBy("node").agg(F.min(F.struct("k", F.col("id").isNull().alias("none"), "id")).alias("one"))
     one = one.join(wanted.hint("merge"), "node").select("node", F.col("one.k").alias("k"), F.col("one.id").alias("id"))
-    texts = df.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_k"), as_bytes(text_col).alias("raw"))
-    held = texts.join(one.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_k") == F.col("k"))).select("node", "raw")
-    sets = written(held.dropDuplicates(["node"]).mapInArrow(_sets, "node long, grams binary"))  # rows alike in id and text
+    texts = df.select(column(id_col).alias("t_id"), text_key(column(text_col)).alias("t_k"), as_bytes(column(text_col)).alias("raw"))
+    kept = texts.join(one.hint("merge"), F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_k") == F.col("k"))).select("node", "raw")
+    sets = written(kept.dropDuplicates(["node"]).mapInArrow(_sets, "node long, grams binary"))  # rows alike in id and text
 
     def compared(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("node").alias(n), F.col("grams").alias(c)) for n, c in (("a", "x"), ("b", "y")))
         both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_compared, "a long, b long")
+        return written(both.mapInArrow(_compared(least), "a long, b long"))
 
-    first = written(compared(pairs.groupBy("b").agg(F.min("a").alias("a"))))
+    first = compared(early)
     reached = written(components(first))
-    root = lambda s: reached.select(F.col("node").alias(s), F.col("root").alias(f"{s}r"))
-    rest = pairs.join(root("a").hint("merge"), "a", "left").join(root("b").hint("merge"), "b", "left")
-    apart = F.coalesce("ar", "a") != F.coalesce("br", "b")
-    more = written(compared(rest.where(apart).select("a", "b")))
-    for t in (pairs, sets, reached):
+    rest = apart(held, reached, least)
+    more = compared(rest)
+    for t in (held, early, sets, reached, rest):
         discard(t)
-    return first.unionByName(more).select("a", "b")
+    return first.unionByName(more)
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
     """One row of each group: the one with the smallest id (null last), then the smallest text key."""
     small_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
-    raw = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), as_bytes(text_col).alias("raw"))
-    nodes = written(raw.mapInArrow(_nodes, f"id {kind}, k long, node long"))
-    found = components(links(df, nodes, id_col, text_col))
+    kind = df.schema[id_col].dataType
+    raw = df.select(column(id_col).alias("id"), text_key(column(text_col)).alias("k"), as_bytes(column(text_col)).alias("raw"))
+    nodes = written(raw.mapInArrow(_nodes, StructType().add("id", kind).add("k", "long").add("node", "long").add("fp", "long")))
+    found = components(links(df, nodes, id_col, text_col, least))
     keys = nodes.groupBy("node", "id", "k").agg(F.count("*").alias("n"))
     low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")).alias("first")
     classes = keys.groupBy("node").agg(low)
