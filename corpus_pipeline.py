@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import bpe, mixing, pii, quality, similar
-from scrivano.llm.common import read, written
+from scrivano.llm import bpe, mixing, pii, quality, simhash
+from scrivano.llm.common import discard_since, read, scratch_mark, written
 from scrivano.llm.queries import TOKENIZER
 
 
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles have Jaccard similarity 0.8 or more: the one with the smallest id."""
-    return similar.deduplicated(docs)
+    return simhash.deduplicated(docs, jaccard=(4, 5))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    mark = scratch_mark()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        discard_since(spark, mark, docs)  # the stage before, and what this one wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
