@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import column, fresh, small_batches
 
@@ -227,7 +227,7 @@ def load(path: str) -> bytes:
 
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with ids_col, an array<int>, in place of a column of that name."""
-    return _mapped(df.drop(ids_col), tokenizer, text_col, lambda a, ids: [np.frombuffer(ids, "<i4")], [(ids_col, pa.list_(pa.int32()), "array<int>")])
+    return _mapped(df.drop(ids_col), tokenizer, text_col, lambda a, ids: [np.frombuffer(ids, "<i4")], [(ids_col, pa.list_(pa.int32()), ArrayType(IntegerType()))])
 
 
 def digests(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:

@@ -112,7 +112,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         for i in range(SEGMENTS)
     ]
     flips = (0, *(1 << j for j in range(BITS)))
-    near = F.flatten(F.array(*(F.transform(F.array(*(F.lit(m).cast("long") for m in flips)), lambda m, k=k: F.struct(k.bitwiseXOR(m).alias("key"), (m == 0).alias("same"))) for k in keys)))
+    near = F.array(*(F.struct(k.bitwiseXOR(F.lit(m).cast("long")).alias("key"), F.lit(m == 0).alias("same")) for k in keys for m in flips))
     a = fps.select(fp.alias("a"), F.explode(near).alias("n")).select("a", "n.*")
     b = fps.select(fp.alias("b"), F.explode(F.array(*keys)).alias("other"))
     # counted where the join wants them anyway: the same partitioning and order
