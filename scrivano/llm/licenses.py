@@ -1,15 +1,20 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of every text is compared with short templates: statements, and first sentences of
-licence files.  Weights are term counts times the inverse frequency of the term among all lines of
-the corpus, counted for the templates' terms (their number is fixed); a term of no template weighs
-as one never seen, so other text lowers a line's cosine.  Lines without a template term are skipped:
-their cosine is zero.  The best line decides a file's own licence.
-
-A licence file is one whose licence lines hold half of its words or more, or that is named so.  A
-directory has the licence that most of its licence files have.  A file without one inherits that of
-the nearest directory above it: each directory is joined by path with its ancestors, then files
-with their directory, salted, as one directory may hold a third of all files.
+Units.  Of each text these are compared with the templates: every line, every paragraph of several lines,
+the header (the comment lines it begins with), and the whole text, as licence files are.  A line without
+letters or figures ends a paragraph; marks of comments are no terms.  So a notice may be one sentence,
+wrapped, or a file.
+
+Vectors.  A unit's vector has the templates' terms alone, counted, by their inverse frequency among the
+templates.  Terms of no template count in another way: a unit must hold at least SHARE of its terms, and
+two of them, from the templates; a text as a whole FILE_SHARE.  So a verdict rests on the text and the templates, not on how large the
+corpus is.  The best unit decides a file's own licence.  A text none of whose terms could give any template
+the least cosine (Cauchy-Schwarz, over all its known terms) is not cut into units; it has no such unit.
+
+A licence file is one that as a whole is a template's text, or that is named so.  A directory has the
+licence that most of its licence files have.  A file without one inherits that of the nearest directory
+above it: each directory is joined by path with its ancestors, then files with their directory; both joins
+are salted, as the top directory is above all others, and one directory may hold a third of all files.
 
 Defined results: null or blank text has no licence of its own and may inherit; a null path is the
 top directory; ties go to the first licence by name; repeated rows get repeated results; an empty
@@ -21,43 +26,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words, written
-
-#: Licence names and short public statements of each.
-TEMPLATES = (
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution ShareAlike 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Released under the ISC License."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Proprietary", "All rights reserved."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
+from .common import column, let, written
+from .licence_texts import TEMPLATES
+
 #: Words without weight.
 COMMON = tuple("the a an of and or to in is this that are for with by be under on as it at you not any".split())
 LICENCE_NAME = "(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
-LEAST = 0.7
+#: Lines of a header: marks that begin a comment.
+COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--|\"\"\")"
+SOLID = "[A-Za-z0-9]"
+LEAST = 0.75
+#: Least share of known terms in a unit, and in a text as a whole, which makes it a licence file.
 SHARE = 0.5
+FILE_SHARE = 0.8
+KNOWN = 2
 SALTS = 16
 SEPARATORS = "[^a-z0-9.+-]+"
 
@@ -66,77 +52,87 @@ def _terms_of(text: str) -> list[str]:
     return [t for t in (x.strip(".+-") for x in re.split(SEPARATORS, text.lower())) if t and t not in COMMON]
 
 
-def vocabulary(templates=TEMPLATES) -> list[str]:
-    return sorted({t for _, text in templates for t in _terms_of(text)})
+def vectors(templates=TEMPLATES) -> tuple[list[str], list[list[float]]]:
+    """The templates' terms in order, and of each term its weight in each template, whose vectors have length 1; terms' own weights come last."""
+    counts = [Counter(_terms_of(text)) for _, text in templates]
+    vocab = sorted(set().union(*counts))
+    idf = {t: math.log((1 + len(templates)) / (1 + sum(t in c for c in counts))) + 1 for t in vocab}
+    norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for c in counts]
+    return vocab, [[*(c[t] * idf[t] / norm for c, norm in zip(counts, norms)), idf[t]] for t in vocab]
 
 
-def terms(line: Column) -> Column:
-    """Terms of a line, without common words; letters other than a to z separate."""
-    parts = F.transform(F.split(F.lower(line), SEPARATORS), lambda t: F.btrim(t, F.lit(".+-")))
+def terms(text: Column) -> Column:
+    """Terms of a text, without common words; letters other than a to z separate."""
+    parts = F.transform(F.split(F.lower(text), SEPARATORS), lambda t: F.btrim(t, F.lit(".+-")))
     return F.filter(parts, lambda t: (t != "") & ~t.isin(*COMMON))
 
 
-def inverse_frequencies(lines: DataFrame, vocab: list[str]) -> tuple[dict[str, float], float]:
-    """Weight of each term of the vocabulary, and of a term never seen, over all lines."""
-    total = lines.agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n")).first()["n"]
-    one = lines.select(F.explode("lines").alias("l")).select(F.explode(F.array_distinct("l.known")).alias("term"))
-    found = {r["term"]: r["n"] for r in one.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most len(vocab) rows
-    weight = lambda n: math.log((1 + total) / (1 + n)) + 1
-    return {t: weight(found.get(t, 0)) for t in vocab}, weight(0)
-
-
-def _literal(weights: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for t in sorted(weights) for x in (t, weights[t])))
-
-
-def scores(idf: dict[str, float], unseen: float, templates=TEMPLATES):
-    """Column -> Column: of a line (known terms, other), the best (score, licence)."""
-    vectors = []
-    for name, text in templates:
-        v = {t: n * idf[t] for t, n in Counter(_terms_of(text)).items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append((name, {t: x / norm for t, x in v.items()}))
-    weight, maps = _literal(idf), [_literal(m) for _, m in vectors]
-
-    def dot(v: Column, m: Column) -> Column:
-        return F.aggregate(v, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
-
-    def best(line: Column) -> Column:
-        def of(v: Column) -> Column:
-            norm = F.sqrt(F.aggregate(v, line["other"] * F.lit(unseen * unseen), lambda a, x: a + x["w"] * x["w"]))
-            # by score, then the first licence by name
-            cos = [F.struct((dot(v, m) / norm).alias("score"), F.lit(-k).alias("k")) for k, m in enumerate(maps)]
-            return F.greatest(*cos)
-
-        kinds = F.array_distinct(line["known"])
-        counted = F.transform(kinds, lambda t: F.struct(t.alias("t"), (F.size(F.filter(line["known"], lambda x: x == t)) * F.try_element_at(weight, t)).alias("w")))
-        return let(counted, of)
-
-    return best, [name for name, _ in vectors]
-
-
-def own(df: DataFrame, path: Column, text_col: str, keep: list[str], vocab: list[str], templates=TEMPLATES) -> DataFrame:
-    """keep, path, licence, score and is_file of each row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-
-    def line(l: Column) -> Column:
-        return let(terms(l), lambda t: let(F.filter(t, lambda x: x.isin(*vocab)), lambda k: F.struct(k.alias("known"), (F.size(t) - F.size(k)).cast("double").alias("other"), F.size(words(l)).alias("words"))))
-
-    # a line without any of these letters' words is not compared; the test is the vocabulary itself
-    any_known = "(?<![a-z0-9])(" + "|".join(re.escape(t) for t in vocab) + ")(?![a-z0-9])"
-    rows = F.split(text, "\n", -1)
-    near = F.filter(rows, lambda l: F.lower(l).rlike(any_known))
-    lines = F.filter(F.transform(near, line), lambda x: F.size(x["known"]) > 0)
-    found = written(df.select(*keep, F.coalesce(path, F.lit("")).alias("_path"), F.size(rows).alias("n_lines"), F.size(words(text)).alias("n_words"), F.when(F.lower(text).rlike(any_known), lines).otherwise(F.array().cast("array<struct<known:array<string>,other:double,words:int>>")).alias("lines")))
-    best, names = scores(*inverse_frequencies(found.select("n_lines", "lines"), vocab), templates)
-    judged = found.select(*keep, "_path", "n_words", F.transform("lines", lambda l: F.struct(best(l).alias("b"), l["words"].alias("words"))).alias("l"))
-    hits = F.filter("l", lambda x: x["b"]["score"] >= LEAST)
-    judged = judged.select(*keep, "_path", "n_words", hits.alias("h"))
-    top = F.array_max(F.transform("h", lambda x: F.struct(F.round(x["b"]["score"], 4).alias("score"), x["b"]["k"].alias("k"))))
-    licence = F.get(F.array(*map(F.lit, names)), -top["k"])
+def units(text: Column) -> Column:
+    """Array of the lines, paragraphs of several lines and header of a text."""
+
+    def of(lines: Column) -> Column:
+        solid = F.transform(lines, lambda l: F.when(l.rlike(SOLID), l).otherwise(""))
+        paragraphs = F.filter(F.split(F.array_join(solid, "\n"), "\n\n+"), lambda p: p.contains("\n"))
+        prose = F.array_position(F.transform(lines, lambda l: l.rlike(COMMENT) | ~l.rlike(SOLID)), False)
+        header = F.array_join(F.slice(lines, F.lit(1), F.when(prose > 0, prose - 1).otherwise(F.size(lines)).cast("int")), "\n")
+        return F.concat(F.filter(lines, lambda l: l.rlike(SOLID)), paragraphs, F.array(header))
+
+    return let(F.split(text, "\n", -1), of)
+
+
+class Scorer:
+    """Columns that compare texts with templates."""
+
+    def __init__(self, templates=TEMPLATES):
+        self.names = [name for name, _ in templates]
+        self.vocab, weights = vectors(templates)
+        self.words = F.array(*map(F.lit, self.vocab))
+        self.weights = F.array(*(F.array(*map(F.lit, w)) for w in weights))
+
+    def known(self, found: Column) -> Column:
+        return F.filter(found, lambda t: t.isin(*self.vocab))
+
+    def _row(self, term: Column) -> Column:
+        return F.get(self.weights, (F.array_position(self.words, term) - 1).cast("int"))
+
+    def possible(self, text: Column) -> Column:
+        """Whether the terms of a text leave any of its units a chance: the length of each template's part that they make up."""
+        rows = F.transform(F.array_distinct(self.known(terms(text))), self._row)
+        length = lambda r: F.transform(F.sequence(F.lit(0), F.lit(len(self.names) - 1)), lambda k: F.aggregate(r, F.lit(0.0), lambda a, x: a + F.get(x, k) * F.get(x, k)))
+        return let(rows, lambda r: (F.size(r) >= KNOWN) & (F.coalesce(F.array_max(length(r)), F.lit(0.0)) >= LEAST * LEAST * (1 - 1e-9)))
+
+    def best(self, unit: Column, share: float = SHARE) -> Column:
+        """struct(score, k) of the template most like a unit, k negative so that the first one wins a tie; null below LEAST."""
+        last = F.lit(len(self.names))
+
+        def counted(s: Column) -> Column:
+            """(weights, count) of each different term of a sorted array."""
+            begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+            return let(begins, lambda b: F.transform(b, lambda i, j: F.struct(self._row(F.get(s, i)).alias("x"), (F.coalesce(F.get(b, j + 1), F.size(s)) - i).cast("double").alias("n"))))
+
+        def cosine(v: Column) -> Column:
+            norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, t: a + F.pow(t["n"] * F.get(t["x"], last), F.lit(2.0))))
+            dot = lambda k: F.aggregate(v, F.lit(0.0), lambda a, t: a + t["n"] * F.get(t["x"], last) * F.get(t["x"], k))
+            every = let(norm, lambda n: F.transform(F.sequence(F.lit(0), last - 1), lambda k: F.struct(F.round(dot(k) / n, 4).alias("score"), (-k).alias("k"))))
+            return F.when(F.size(v) >= KNOWN, let(F.array_max(every), lambda b: F.when(b["score"] >= LEAST, b)))
+
+        def judged(t: Column) -> Column:
+            found = lambda k: F.when((F.size(k) > 0) & (F.size(k) >= share * F.size(t)), let(F.array_sort(k), lambda s: let(counted(s), cosine)))
+            return let(self.known(t), found)
+
+        return let(terms(unit), judged)
+
+
+def own(df: DataFrame, path: Column, text_col: str, keep: list[str], templates=TEMPLATES) -> DataFrame:
+    """keep, _path, licence, score and is_file of each row: one projection."""
+    text, scorer = F.coalesce(column(text_col), F.lit("")), Scorer(templates)
+    none = F.lit(None).cast("struct<score:double,k:int>")
+    found = F.when(scorer.possible(text), F.struct(F.array_max(F.transform(units(text), lambda u: scorer.best(u))).alias("part"), scorer.best(text, FILE_SHARE).alias("whole"))).otherwise(F.struct(none.alias("part"), none.alias("whole")))
+    judged = df.select(*map(column, keep), F.coalesce(path, F.lit("")).alias("_path"), found.alias("_found"))
+    top = F.greatest("_found.part", "_found.whole")  # nulls are skipped
+    licence = F.get(F.array(*map(F.lit, scorer.names)), -top["k"])
     named = F.element_at(F.split("_path", "/"), -1).rlike(LICENCE_NAME)
-    share = F.aggregate("h", F.lit(0), lambda a, x: a + x["words"]) >= SHARE * F.col("n_words")
-    return judged.select(*keep, "_path", licence.alias("licence"), top["score"].alias("score"), (licence.isNotNull() & (named | share)).alias("is_file"))
+    return judged.select(*keep, "_path", licence.alias("licence"), top["score"].alias("score"), (licence.isNotNull() & (named | F.col("_found.whole").isNotNull())).alias("is_file"))
 
 
 def _parent(path: Column) -> Column:
@@ -150,7 +146,7 @@ def scan(df: DataFrame, path: Column, text_col: str = "text", keep: list[str] |
     licensed_by is the directory that a licence is inherited from; score is of the file's own.
     """
     keep = keep or ["doc_id"]
-    files = written(own(df, path, text_col, keep, vocabulary(templates), templates).withColumn("_dir", _parent(F.col("_path"))))
+    files = written(own(df, path, text_col, keep, templates).withColumn("_dir", _parent(F.col("_path"))))
     votes = files.where("is_file").groupBy("_dir", "licence").agg(F.count("*").alias("n"))
     stated = votes.groupBy("_dir").agg(F.max_by("licence", F.struct("n", F.transform(F.split("licence", ""), lambda c: -F.ascii(c)))).alias("theirs"))
     dirs = files.select("_dir").distinct()
@@ -158,7 +154,10 @@ def scan(df: DataFrame, path: Column, text_col: str = "text", keep: list[str] |
     parts = F.split("_dir", "/")
     above = F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), F.array(F.lit("")))
     up = dirs.select("_dir", F.explode(F.array_distinct(above)).alias("by"))
-    nearest = up.join(stated.withColumnRenamed("_dir", "by"), "by").groupBy("_dir").agg(F.max_by(F.struct("by", "theirs"), F.length("by")).alias("from"))
+    # the top directory is above all others: each row of stated goes to SALTS tasks
+    up = up.withColumn("_part", F.pmod(F.xxhash64("_dir"), F.lit(SALTS)).cast("int"))
+    stated = stated.select(F.col("_dir").alias("by"), "theirs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    nearest = up.join(stated.hint("merge"), ["by", "_part"]).groupBy("_dir").agg(F.max_by(F.struct("by", "theirs"), F.length("by")).alias("from"))
     nearest = nearest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = files.withColumn("_salt", F.pmod(F.xxhash64("_path", *keep), F.lit(SALTS)).cast("int"))
     out = salted.join(nearest.hint("merge"), ["_dir", "_salt"], "left")

@@ -71,29 +71,28 @@ def _terms(text: str) -> str:
 
 
 _TEMPLATES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+_COMMENT, _SOLID = _quoted(licenses.COMMENT), _quoted(licenses.SOLID)
 OP10 = f"""WITH template(k, name, body) AS (VALUES {_TEMPLATES}),
 wanted AS (SELECT k, name, term, count(*) AS n FROM (SELECT k, name, unnest({_terms('body')}) AS term FROM template) x GROUP BY k, name, term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM template)) / (1 + count(*))) + 1 AS w FROM wanted GROUP BY term),
+vector AS (SELECT k, name, wanted.term, wanted.n * w / sqrt(sum(wanted.n * w * wanted.n * w) OVER (PARTITION BY k)) AS x FROM wanted JOIN idf ON wanted.term = idf.term),
 d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'),
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'),
          coalesce(CAST(doc_id // 10000 AS VARCHAR), 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none')) AS dir FROM documents),
-l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(generate_series(1, len(string_split(t, chr(10))))) AS i FROM d),
-total AS (SELECT count(*) AS n FROM l),
-lt AS (SELECT r, i, term, count(*) AS n FROM (SELECT r, i, unnest({_terms('line')}) AS term FROM l) x GROUP BY r, i, term),
-idf AS (
-  SELECT v.term, ln((1 + (SELECT n FROM total)) / (1 + count(lt.r))) + 1 AS w
-  FROM (SELECT DISTINCT term FROM wanted) v LEFT JOIN lt ON lt.term = v.term GROUP BY v.term),
-vector AS (SELECT k, name, wanted.term, wanted.n * w / sqrt(sum(wanted.n * w * wanted.n * w) OVER (PARTITION BY k)) AS x FROM wanted JOIN idf ON wanted.term = idf.term),
-near AS (
-  SELECT r, i, sqrt(sum(CASE WHEN w IS NULL THEN n * pow(ln(1 + (SELECT n FROM total)) + 1, 2) ELSE n * w * n * w END)) AS norm
-  FROM lt LEFT JOIN idf ON lt.term = idf.term GROUP BY r, i HAVING count(w) > 0),
-scored AS (SELECT lt.r, lt.i, k, name, sum(lt.n * w * x) / any_value(norm) AS score FROM near JOIN lt ON lt.r = near.r AND lt.i = near.i JOIN idf ON idf.term = lt.term JOIN vector ON vector.term = lt.term GROUP BY lt.r, lt.i, k, name),
-hit AS (SELECT * FROM scored WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY score DESC, k) = 1),
+part AS (
+  SELECT r, unnest(list_concat(ls, list_filter(regexp_split_to_array(array_to_string(list_transform(ls, lambda l: CASE WHEN regexp_matches(l, {_SOLID}) THEN l ELSE '' END), chr(10)), '\n\n+'), lambda p: contains(p, chr(10))),
+         [array_to_string(ls[1:coalesce(nullif(list_position(list_transform(ls, lambda l: regexp_matches(l, {_COMMENT}) OR NOT regexp_matches(l, {_SOLID})), false), 0), len(ls) + 1) - 1], chr(10))])) AS u FROM d),
+unit AS (SELECT row_number() OVER () AS i, r, whole, {_terms('u')} AS ts FROM (SELECT r, false AS whole, u FROM part UNION ALL SELECT r, true, t FROM d) x),
 held AS (
-  SELECT hit.r, sum(len(list_filter(regexp_split_to_array(line, '{_WHITE}+'), lambda x: x <> ''))) AS n FROM hit JOIN l ON l.r = hit.r AND l.i = hit.i GROUP BY hit.r),
-own AS (SELECT r, name AS licence, round(score, 4) AS score FROM hit QUALIFY row_number() OVER (PARTITION BY r ORDER BY round(score, 4) DESC, k) = 1),
-file AS (
-  SELECT d.r, doc_id, dir, licence, score, licence IS NOT NULL AND held.n >= {licenses.SHARE} * len(list_filter(regexp_split_to_array(t, '{_WHITE}+'), lambda x: x <> '')) AS stated
-  FROM d LEFT JOIN own ON own.r = d.r LEFT JOIN held ON held.r = d.r),
+  SELECT i, lt.term, lt.n, w FROM (SELECT i, term, count(*) AS n FROM (SELECT i, unnest(ts) AS term FROM unit) y GROUP BY i, term) lt JOIN idf ON idf.term = lt.term),
+near AS (
+  SELECT held.i, sqrt(sum(n * w * n * w)) AS norm FROM held JOIN unit ON unit.i = held.i GROUP BY held.i
+  HAVING sum(n) >= CASE WHEN any_value(whole) THEN {licenses.FILE_SHARE} ELSE {licenses.SHARE} END * any_value(len(ts)) AND count(*) >= {licenses.KNOWN}),
+scored AS (
+  SELECT near.i, k, name, round(sum(n * w * x) / any_value(norm), 4) AS score FROM near JOIN held ON held.i = near.i JOIN vector ON vector.term = held.term GROUP BY near.i, k, name),
+hit AS (SELECT r, whole, k, name, score FROM scored JOIN unit ON unit.i = scored.i WHERE score >= {licenses.LEAST}),
+own AS (SELECT r, name AS licence, score FROM hit QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, k) = 1),
+file AS (SELECT d.r, doc_id, dir, licence, score, EXISTS (SELECT 1 FROM hit WHERE hit.r = d.r AND whole) AS stated FROM d LEFT JOIN own ON own.r = d.r),
 theirs AS (SELECT dir, licence FROM file WHERE stated GROUP BY dir, licence QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, licence) = 1),
 up AS (SELECT dir, unnest(list_append(list_transform(generate_series(1, len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')), '')) AS above FROM (SELECT DISTINCT dir FROM file) x),
 nearest AS (SELECT up.dir, above, licence FROM up JOIN theirs ON theirs.dir = above QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY length(above) DESC) = 1)

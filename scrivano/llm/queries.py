@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 from . import bpe, html_text, licenses, mixing, ogg, pii, quality, secrets, sharding, simhash
 from .common import read
 
+
+
+def _tokenizer() -> str:
+    named = os.environ.get("SCRIVANO_TOKENIZER")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 #: Where the tokenizer file lies; the driver reads it, executors get it by broadcast.
-TOKENIZER = os.environ.get("SCRIVANO_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = _tokenizer()
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

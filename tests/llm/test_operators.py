@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import time
 import unicodedata
 import zlib
@@ -535,3 +536,64 @@ def test_scratch_is_deleted_and_shared(spark):
     assert kept.count() == 3 and len(common._LIVE) == len(before) + 1
     common.discard(kept)
     assert common._LIVE == before
+
+
+def test_licence_texts_and_headers(spark):
+    """Whole texts, wrapped headers in comments, sentences with other words, and prose."""
+    longest = lambda name: max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+    wrapped = lambda name, mark: "\n".join(mark + x for x in textwrap.wrap(longest(name), 60))
+    code = "\nint main() { return 0; }" * 30
+    cases = {
+        "a/LICENSE": ("Copyright (c) 2020 Foo\n\n" + wrapped("MIT", ""), "MIT", "own"), "a/b/x.c": ("int x;", "MIT", "inherited"),
+        "c/h.c": (wrapped("GPL-3.0", " * ") + "\n */" + code, "GPL-3.0", "own"), "c/d.c": ("int x;", "none", "none"), "e/a.py": (wrapped("Apache-2.0", "# ") + code, "Apache-2.0", "own"),
+        "f/bsd2": (wrapped("BSD-2-Clause", "// "), "BSD-2-Clause", "own"), "g/bsd3": (wrapped("BSD-3-Clause", "// "), "BSD-3-Clause", "own"),
+        "h/1": ("Released under the MIT License by Acme\n" + "word other " * 50, "MIT", "own"), "h/2": ("# Licensed under the Apache License, Version 2.0, see NOTICE" + code, "Apache-2.0", "own"),
+        "h/3": ("Copyright 2020 Foo. All rights reserved." + code, "Proprietary", "own"), "h/4": ("x\nReleased under the\nMIT License.\n\ny z w" + code, "MIT", "own"),
+        "h/5": ("She said all of us reserved the right to copy the work, and so on", "none", "none"), "h/6": ("public domain", "none", "none"), "h/7": ("use of the work " * 5000, "none", "none"),
+    }
+    for copies in (1, 40):  # verdicts don't depend on how large the corpus is
+        rows = [(p, t) for p, (t, *_) in cases.items()] + [(f"z/{i}", "Licensed under the terms of some other text " * 3) for i in range(copies)]
+        df = spark.createDataFrame(rows, "p string, text string")
+        got = {r["p"]: (r["licence"], r["origin"]) for r in licenses.scan(df, df["p"], keep=["p"]).collect()}
+        want = {p: (name, origin) for p, (_, name, origin) in cases.items()}
+        want["h/5"] = want["h/6"] = want["h/7"] = got["h/5"]  # of a directory with no licence file, or none at all
+        assert {p: got[p] for p in cases} == want and got["h/5"] == ("none", "none")
+
+
+def brute_cosine(text):
+    """Best (score, licence) of the units of a text, from the definition."""
+    vecs = []
+    counts = [collections.Counter(licenses._terms_of(t)) for _, t in licenses.TEMPLATES]
+    idf = {t: np.log((1 + len(counts)) / (1 + sum(t in c for c in counts))) + 1 for c in counts for t in c}
+    for c in counts:
+        n = sum((k * idf[t]) ** 2 for t, k in c.items()) ** 0.5
+        vecs.append({t: k * idf[t] / n for t, k in c.items()})
+    lines = text.split("\n")
+    solid = [x if re.search("[A-Za-z0-9]", x) else "" for x in lines]
+    head = next((i for i, x in enumerate(lines) if not re.search(licenses.COMMENT, x) and re.search("[A-Za-z0-9]", x)), len(lines))
+    best = (0, None)
+    for u, share in [*((u, 0.5) for u in (*lines, *(p for p in re.split("\n\n+", "\n".join(solid)) if "\n" in p), "\n".join(lines[:head]))), (text, 0.8)]:
+        ts = licenses._terms_of(u)
+        known = collections.Counter(t for t in ts if t in idf)
+        if len(known) < 2 or sum(known.values()) < share * len(ts):
+            continue
+        norm = sum((k * idf[t]) ** 2 for t, k in known.items()) ** 0.5
+        for (name, _), v in zip(licenses.TEMPLATES, vecs):
+            s = round(sum(k * idf[t] * v.get(t, 0) for t, k in known.items()) / norm, 4)
+            if s > best[0]:
+                best = (s, name)
+    return best if best[0] >= licenses.LEAST else (None, None)
+
+
+def test_licences_are_the_definition(spark):
+    rng = random.Random(11)
+    pool = [w for _, t in licenses.TEMPLATES for w in t.split()]
+    texts = []
+    for _ in range(250):
+        t = rng.choice(licenses.TEMPLATES)[1].split()
+        t = [rng.choice(pool + ["zebra"]) if rng.random() < 0.1 else w for w in t[: rng.randint(2, 60)]]
+        out = "".join(w + rng.choice([" ", " ", " ", "\n", "\n# ", "\n\n"]) for w in t)
+        texts.append(rng.choice(["", "# ", "other words here\n\n"]) + out + rng.choice(["", "\n\nzebra " * 20]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["licence"]) for r in licenses.own(df, F.lit("x"), "text", ["doc_id"]).collect()}
+    assert got == {i: brute_cosine(t) for i, t in enumerate(texts)} and sum(x[1] is not None for x in got.values()) > 80
