@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,19 +82,19 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
 
 
 def _nodes(batches):
+    """Each text's node and fingerprint; after a task's last text, its counts of shingles by bucket."""
+    counts, kind = np.zeros(1 << BUCKET_BITS, np.int64), pa.null()
+    names = ["id", "k", "node", "fp", "bucket", "n"]
     for b in batches:
-        sets = [shingles(t) for t in b.column("raw").to_pylist()]
-        names, prints = pa.array(map(node, sets), pa.int64()), pa.array(map(print_of, sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names, prints], names=["id", "k", "node", "fp"])
-
-
-def _buckets(batches):
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for b in batches:
-        for t in b.column("raw").to_pylist():
-            np.add.at(counts, (shingles(t) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        kind, sets = b.schema.field(0).type, [shingles(t) for t in b.column("raw").to_pylist()]
+        for g in sets:
+            np.add.at(counts, (g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        made = pa.array(map(node, sets), pa.int64()), pa.array(map(print_of, sets), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())], names=names)
     at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bucket", "n"])
+    if len(at):
+        none = [pa.nulls(len(at), t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array(counts[at])], names=names)
 
 
 def _prefixes(counts: np.ndarray, least: tuple[int, int]):
@@ -138,17 +138,19 @@ def _compared(least: tuple[int, int]):
     return run
 
 
-def shows(raw: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """gram, node, n, at: each shingle that the texts in column raw show, with its place, of those that two texts show."""
-    rows = raw.mapInArrow(_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most 2^17
+def shows(raw: DataFrame, buckets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """gram, node, n, at, hub: each shingle that the texts in column raw show, with its place, of those that two texts show.
+
+    hub (at, node, n) is the text that shows it first.  One shuffle deals out all that is shown; little of it stays.
+    """
+    rows = buckets.groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most 2^17
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in rows:
         counts[r["bucket"]] = r["n"]
-    every = written(raw.mapInArrow(_prefixes(counts, least), "node long, n int, at int, gram long"))
-    shared = every.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
-    out = written(every.join(shared.hint("merge"), "gram").distinct())
-    discard(every)
-    return out
+    every = raw.mapInArrow(_prefixes(counts, least), "node long, n int, at int, gram long")
+    same = Window.partitionBy("gram")
+    marked = every.select("*", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"), F.min(F.struct("at", "node", "n")).over(same).alias("hub"))
+    return written(marked.where("low <> high").select("gram", "node", "n", "at", "hub").distinct())
 
 
 def _possible(least: tuple[int, int]):
@@ -165,14 +167,14 @@ def _sided(held: DataFrame, side: str) -> DataFrame:
 
 def hubs(held: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """Pairs (a, b) of each node and the hubs of the shingles it shows."""
-    first = held.groupBy("gram").agg(F.min(F.struct("at", "node", "n")).alias("h")).select("gram", F.col("h.node").alias("bnode"), F.col("h.n").alias("bn"), F.col("h.at").alias("bat"))
-    both = _sided(held, "a").join(first.hint("merge"), "gram").where((F.col("anode") != F.col("bnode")) & _possible(least))
+    both = held.select(*(F.col(c).alias("a" + c) for c in ("node", "n", "at")), *(F.col(f"hub.{c}").alias("b" + c) for c in ("node", "n", "at")))
+    both = both.where((F.col("anode") != F.col("bnode")) & _possible(least))
     return both.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
 
 
 def apart(held: DataFrame, found: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """Pairs (a, b), a < b, all at the similarity asked for among them, that the components found (node, root) do not join."""
-    rooted = held.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = held.drop("hub").join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
     rooted = written(rooted.join(several.hint("merge"), "gram"))
     a, b = _sided(rooted, "a"), _sided(rooted, "b")
@@ -182,9 +184,9 @@ def apart(held: DataFrame, found: DataFrame, least: tuple[int, int] = LEAST) ->
     return out
 
 
-def links(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Pairs (a, b) of similar nodes that reach what all such pairs reach.  nodes: id, k, node, fp of df's rows."""
-    held = shows(df.select(as_bytes(column(text_col)).alias("raw")), least)
+def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text_col: str, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Pairs (a, b) of similar nodes that reach what all such pairs reach.  nodes: id, k, node, fp of df's rows; buckets: counts of their shingles."""
+    held = shows(df.select(as_bytes(column(text_col)).alias("raw")), buckets, least)
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     near = simhash.links(of_print.select("fp"))
     ends = near.join(of_print.select(F.col("fp").alias("a"), F.col("low").alias("x")).hint("merge"), "a").join(of_print.select(F.col("fp").alias("b"), F.col("low").alias("y")).hint("merge"), "b").select("x", "y")
@@ -219,8 +221,10 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     raw = df.select(column(id_col).alias("id"), text_key(column(text_col)).alias("k"), as_bytes(column(text_col)).alias("raw"))
-    nodes = written(raw.mapInArrow(_nodes, StructType().add("id", kind).add("k", "long").add("node", "long").add("fp", "long")))
-    found = components(links(df, nodes, id_col, text_col, least))
+    kinds = StructType().add("id", kind).add("k", "long").add("node", "long").add("fp", "long").add("bucket", "integer").add("n", "long")
+    both = written(raw.mapInArrow(_nodes, kinds))
+    nodes, buckets = both.where("bucket is null").select("id", "k", "node", "fp"), both.where("bucket is not null").select("bucket", "n")
+    found = components(links(df, nodes, buckets, id_col, text_col, least))
     keys = nodes.groupBy("node", "id", "k").agg(F.count("*").alias("n"))
     low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")).alias("first")
     classes = keys.groupBy("node").agg(low)
