@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from . import document_queries, relational, text_queries
+from . import document_queries, package_queries, record_queries, relational, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **relational.QUERIES, **document_queries.QUERIES}
-ORACLE_SQL: dict = {**text_queries.ORACLE_SQL, **relational.ORACLE_SQL, **document_queries.ORACLE_SQL}
+MODULES = (text_queries, relational, document_queries, record_queries, package_queries)
+
+
+def merged(*tables: dict) -> dict:
+    """One table of all; a name that stands in two of them is an error, as one of the two would be lost."""
+    out: dict = {}
+    for t in tables:
+        if both := out.keys() & t.keys():
+            raise ValueError(f"registered twice: {sorted(both)}")
+        out |= t
+    return out
+
+
+QUERIES: dict = merged(*(m.QUERIES for m in MODULES))
+ORACLE_SQL: dict = merged(*(m.ORACLE_SQL for m in MODULES))

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.vocabulary import COMMON_INITIAL, GENERIC, STOP
 from ..operators import layout, replacement, replies, salient, segments, structure, upload_rules
 from ..sources import packages
-from ..sources.tables import scratch, table
+from ..sources.tables import scratch, stored, table
 from ..streaming import progress
 from .text_queries import BLOCKS, EDITS, _list
 
@@ -79,12 +79,29 @@ def reply_items(spark, sf_dir):
     return replies.items(c.select("conv_id", "turn", reply.alias("reply"))).select("conv_id", "turn", "pos", "code")
 
 
-@query(f"""WITH {EDITS}, used AS (SELECT * FROM edits WHERE n = 0 OR ord % 5 = 0),
-coded AS (SELECT doc_id, ord, n, CASE WHEN n = 1 THEN 'overlapping_edits' END AS code FROM used)
-SELECT doc_id, ord, n, code, bool_and(code IS NULL) OVER (PARTITION BY doc_id) AS applies FROM coded""")
+_FAULTY = """CASE ord % 9 WHEN 1 THEN proposed || chr(9) ELSE proposed END AS proposed, CASE ord % 9 WHEN 2 THEN length(text) WHEN 4 THEN -1 ELSE start END AS start,
+  CASE ord % 9 WHEN 2 THEN length(text) + 3 ELSE stop END AS stop, CASE ord % 9 WHEN 3 THEN original || 'x' ELSE original END AS original"""
+
+
+@query(f"""WITH {EDITS}, faulty AS (SELECT doc_id, ord, text, n, {_FAULTY} FROM edits),
+every AS (SELECT * FROM faulty UNION ALL SELECT doc_id, ord, text, 2, proposed, start, stop, original FROM faulty WHERE n = 0 AND ord % 9 = 5),
+coded AS (
+  SELECT *, lag(stop) OVER (PARTITION BY doc_id, ord ORDER BY start, stop, n) AS before, row_number() OVER (PARTITION BY doc_id, ord, start, stop, proposed ORDER BY n) AS copy FROM every),
+judged AS (
+  SELECT doc_id, ord, n, CASE WHEN copy > 1 THEN 'duplicate_edit' WHEN regexp_matches(proposed, '[\\x00-\\x1f\\x7f]') THEN 'invalid_characters' WHEN start < 0 OR start >= stop OR stop > length(text) THEN 'range_out_of_bounds'
+    WHEN start < before THEN 'overlapping_edits' WHEN text[start + 1:stop] <> original THEN 'text_mismatch' END AS code FROM coded)
+SELECT doc_id, ord, n, code, bool_and(code IS NULL) OVER (PARTITION BY doc_id) AS applies FROM judged""")
 def edit_failures(spark, sf_dir):
-    e = B.edits(B.blocks(table(spark, sf_dir, "documents")))
-    return R.failures(e.where("n = 0 or ord % 5 = 0"))
+    """All edits, some of them at fault: signs, ranges, copies, other originals, overlaps."""
+    o = F.col("ord") % 9
+    e = B.edits(B.blocks(table(spark, sf_dir, "documents"))).withColumns({
+        "proposed": F.when(o == 1, F.concat("proposed", F.lit("\t"))).otherwise(F.col("proposed")),
+        "start": F.when(o == 2, F.length("text")).when(o == 4, -1).otherwise(F.col("start")),
+        "end": F.when(o == 2, F.length("text") + 3).otherwise(F.col("end")),
+        "original": F.when(o == 3, F.concat("original", F.lit("x"))).otherwise(F.col("original")),
+    })
+    copies = e.where((F.col("n") == 0) & (o == 5)).withColumn("n", F.lit(2))
+    return R.failures(e.unionByName(copies))
 
 
 @query()
@@ -98,13 +115,13 @@ def word_diffs(spark, sf_dir):
 
 
 @query("""SELECT c.conv_id, c.turn, d.doc_id IS NOT NULL AND
-  contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(substr(c.text, 1, 12), '\\s+', ' ', 'g'))) AS found
+  contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(c.text, '\\s+', ' ', 'g'))) AS found
   FROM conversations c LEFT JOIN documents d ON c.conv_id = d.doc_id""")
 def evidence_matches(spark, sf_dir):
     """Quotes against the place they name, white space aside: equal ids, and the text contains the quote."""
     plain = lambda c: F.btrim(F.regexp_replace(c, r"\s+", " "))
     c, d = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"))
-    found = F.col("doc_id").isNotNull() & plain(F.col("source")).contains(plain(F.substring("text", 1, 12)))
+    found = F.col("doc_id").isNotNull() & plain(F.col("source")).contains(plain(F.col("text")))
     return c.join(d, F.col("conv_id") == F.col("doc_id"), "left").select("conv_id", "turn", F.coalesce(found, F.lit(False)).alias("found"))
 
 
@@ -153,10 +170,7 @@ def segment_rewrites(spark, sf_dir):
 def feature_inventory(spark, sf_dir):
     """Counts of features over the editable parts of all documents' packages, and the notes they call for."""
     # The scan is read several times; from a table it costs one pass over the packages.
-    parts = packages.members(packages.packed(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    out = scratch(spark)
-    parts.write.parquet(out)
-    parts = spark.read.schema(parts.schema).parquet(out)
+    parts = stored(packages.members(packages.packed(table(spark, sf_dir, "documents"), "doc_id", "text")))
     editable = packages.editable_parts(parts, packages.relationships(parts), packages.content_types(parts))
     counts = structure.inventory(parts, editable)
     return counts.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "sections", F.size(structure.notes()).alias("notes"))

@@ -1,6 +1,5 @@
-"""Relational plans: one statement each, in SQL that Spark and DuckDB read alike.
+"""Relational plans: DataFrame operations in Spark, and for each a DuckDB statement written on its own.
 
-{name} stands for a table: Spark binds a DataFrame, DuckDB reads its view of the same name.
 The driver's tables stand in for logs, decisions and findings; see README.
 """
 
@@ -8,8 +7,13 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import evaluation
 from ..sources.tables import table
 
+#: DuckDB statements; {name} stands for the table's view.
 STATEMENTS = {
     # Latest finalization: newest first, ties by the later key.
     "latest_finalization": """
@@ -141,15 +145,203 @@ STATEMENTS = {
         SELECT text, count(*) AS n FROM {documents} GROUP BY text HAVING count(*) > 1""",
 }
 
-NAMES = {k: sorted(set(re.findall(r"\{(\w+)\}", s))) for k, s in STATEMENTS.items()}
 
+QUERIES: dict = {}
+
+
+def plan(*names: str):
+    """Register a function of the named tables under its own name."""
+
+    def keep(f):
+        def run(spark, sf_dir):
+            return f(*(table(spark, sf_dir, n) for n in names))
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        return f
+
+    return keep
+
+
+def latest(df: DataFrame, keys: list[str], order: list, *kept: str) -> DataFrame:
+    """The first row of each group in an order, of columns kept: an aggregate, so no group is sorted."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*kept), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def _count_if(c):
+    return F.count_if(F.coalesce(c, F.lit(False)))
+
+
+@plan("orders")
+def latest_finalization(o):
+    first = o.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("r"))
+    return first.select("o_custkey", "r.*")
+
+
+@plan("conversations")
+def best_attempt(c):
+    marks = F.length("text") - F.length(F.replace("text", F.lit("?"), F.lit("")))
+    rows = c.select("conv_id", "turn", F.length("text").cast("long").alias("valid"), marks.alias("rejected"))
+    return latest(rows, ["conv_id"], [-F.col("valid"), F.col("rejected"), F.col("turn")], "turn", "valid")
+
+
+@plan("orders")
+def decision_counts_zero_filled(o):
+    n = o.groupBy().pivot("o_orderstatus", ["F", "O", "P", "X"]).agg(F.count(F.lit(1)))
+    return n.select(F.inline(F.array(*(F.struct(F.lit(x).alias("status"), F.coalesce(F.col(x), F.lit(0)).alias("n")) for x in "FOPX"))))
+
+
+@plan("events")
+def session_state(e):
+    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("n_events"))
+
+
+@plan("events")
+def stale_revision_rejects(e):
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = e.withColumn("revision", F.sum((F.col("event_type") == "purchase").cast("long")).over(before))
+    return rows.where((F.col("revision") % 7) != (F.col("event_id") % 7)).select("event_id", "user_id", "revision")
+
+
+@plan("events")
+def analysis_progress(e):
+    signup = F.max(F.when(F.col("event_type") == "signup", F.col("event_id"))).over(Window.partitionBy("user_id"))
+    run = e.withColumn("started", signup).where("event_id > started")
+    return run.groupBy("user_id", F.col("event_type").alias("step")).agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
+
+
+@plan("events")
+def idempotent_dedup(e):
+    return e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@plan("events")
+def expired_sessions(e):
+    by = e.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("ts").alias("last"))
+    now = by.agg(F.max("last").alias("now"))  # one row, from the groups
+    return by.join(F.broadcast(now)).where(F.expr("last < now - INTERVAL '1' HOUR")).select("user_id", "n_events")
+
+
+@plan("events")
+def upper_median_by_group(e):
+    return evaluation.upper_medians(e, "event_type", "value")
+
+
+@plan("labels", "documents")
+def label_agreement(l, d):
+    rows = l.join(d.select("doc_id", "n_chars"), "doc_id").withColumn("yes", F.col("n_chars") >= 60)
+    return rows.groupBy("quality").agg(F.count("*").alias("n"), _count_if(F.col("yes")).alias("accepted"), _count_if(F.col("yes") == (F.col("quality") == 1)).alias("agreed"))
+
+
+@plan("labels", "documents")
+def judge_metrics(l, d):
+    rows = l.join(d.select("doc_id", "text"), "doc_id").withColumn("flagged", F.col("text").rlike("pathetic|moron|loser"))
+    toxic = F.col("toxic") == 1
+    return rows.agg(F.count("*").alias("n"), _count_if(toxic & F.col("flagged")).alias("hits"), _count_if((F.col("toxic") == 0) & F.col("flagged")).alias("false_alarms"), _count_if(toxic).alias("positives"))
+
+
+@plan("events")
+def threshold_sweep(e):
+    steps = lambda name, *values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    # rows are counted by what the thresholds can tell apart before they meet the 27 settings
+    kinds = e.groupBy((F.when(F.col("value") > 100, 100).when(F.col("value") > 50, 50).when(F.col("value") > 10, 10).otherwise(0)).alias("v"), (F.col("event_id") % 10).alias("i"), (F.col("user_id") % 10).alias("u")).agg(F.count("*").alias("k"))
+    settings = kinds.select("*", steps("a", 10, 50, 100)).select("*", steps("b", 2, 4, 6)).select("*", steps("c", 1, 3, 5))
+    hit = (F.col("v") >= F.col("a")) & (F.col("i") >= F.col("b")) & (F.col("u") >= F.col("c"))
+    return settings.groupBy("a", "b", "c").agg(F.sum(F.when(hit, F.col("k")).otherwise(0)).alias("flagged"), F.sum("k").alias("n"))
+
+
+@plan("orders", "lineitem")
+def gate_status(o, l):
+    rank = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), 2).when(F.col("l_discount") > 0.09, 1)
+    found = l.select(F.col("l_orderkey").alias("case_id"), rank.alias("rank")).where("rank is not null").groupBy("case_id").agg(F.max("rank").alias("worst"), F.count("*").alias("findings"))
+    every = o.select(F.col("o_orderkey").alias("case_id")).join(found, "case_id", "left")
+    status = F.when(F.col("worst") == 2, "FAIL").when(F.col("worst") == 1, "REVIEW_REQUIRED").otherwise("PASS")
+    return every.select("case_id", status.alias("status"), F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+@plan("lineitem")
+def delivery_decision(l):
+    fails = (F.col("l_quantity") > 49) | (F.col("l_tax") > 0.075) & (F.col("l_returnflag") == "R")
+    by = l.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.bool_or(fails).alias("fail"), F.bool_or(F.col("l_discount") > 0.08).alias("review"))
+    return by.select("case_id", F.when(F.col("fail"), "FAIL").when(F.col("review"), "REVIEW_REQUIRED").otherwise("PASS").alias("decision"))
+
+
+@plan("part")
+def part_diff(p):
+    k = F.col("p_partkey")
+    a = p.where(k % 50 != 1).select(k.alias("part"), F.col("p_size").alias("a"))
+    b = p.where(k % 60 != 2).select(k.alias("part"), (F.col("p_size") + (k % 40 == 3).cast("int")).alias("b"))
+    both = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), "part", "full")
+    code = F.when(F.col("in_a").isNull(), "part_added").when(F.col("in_b").isNull(), "part_removed").when(F.col("a") != F.col("b"), "unexpected_part_change")
+    return both.select("part", code.alias("code")).where("code is not null")
+
+
+@plan("orders", "lineitem")
+def accepted_without_verdict(o, l):
+    return o.join(l.where("l_linestatus = 'F'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@plan("orders", "lineitem")
+def accepted_and_rejected(o, l):
+    return o.where("o_orderstatus = 'O'").join(l.where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+@plan("part")
+def graphics_bag(p):
+    n = p.groupBy(F.col("p_size").alias("size")).agg(F.count("*").alias("n_before"), F.count_if(F.col("p_partkey") % 17 != 0).alias("n_after"))
+    return n.where("n_before <> n_after")
+
+
+@plan("events")
+def redacted_log_view(e):
+    return e.select("event_id", "event_type", F.format_string("<redacted:%d chars>", F.length("props")).alias("props"))
+
+
+@plan("lineitem", "part")
+def context_split(l, p):
+    known = p.where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
+    inside = l.join(known, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", F.lit(None).cast("string").alias("code"))
+    outside = l.join(known, "l_partkey", "left_anti").select("l_orderkey", "l_linenumber", F.lit("not_in_context").alias("code"))
+    return inside.unionByName(outside)
+
+
+@plan("events")
+def lease_conflicts(e):
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.where("event_type = 'click'").withColumn("before", before).where("ts < before + INTERVAL '5' MINUTE").select("event_id", "user_id")
+
+
+@plan("events")
+def first_of_kind(e):
+    return e.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@plan("events")
+def usage_sums(e):
+    n = lambda kind: F.nullif(F.count_if(F.col("event_type") == kind), F.lit(0))
+    return e.groupBy("user_id").agg(n("error").alias("errors"), n("view").alias("views"))
+
+
+@plan("lineitem")
+def rejection_histogram(l):
+    code = F.when(F.col("l_quantity") > 40, "over_limit").when(F.col("l_discount") == 0, "no_change").when(F.col("l_returnflag") == "R", "duplicate_proposal")
+    return l.select(code.alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@plan("orders")
+def paired_property_changes(o):
+    k = F.col("o_orderkey")
+    after = o.select("o_orderkey", F.when(k % 31 != 1, F.col("o_orderstatus")).alias("s"), F.when(k % 37 == 1, "X").otherwise(F.col("o_orderpriority")).alias("p"))
+    both = o.join(after, "o_orderkey")
+    change = F.when(~F.col("o_orderstatus").eqNullSafe(F.col("s")), "status").when(~F.col("o_orderpriority").eqNullSafe(F.col("p")), "priority")
+    return both.select("o_orderkey", change.alias("property")).where("property is not null")
 
-def _query(name: str):
-    def run(spark, sf_dir):
-        return spark.sql(STATEMENTS[name], **{t: table(spark, sf_dir, t) for t in NAMES[name]})
 
-    run.__name__ = name
-    return run
+@plan("documents")
+def duplicate_sources(d):
+    # texts are counted by digest, so that none is shuffled whole; one of each that repeats is fetched by its digest
+    twice = d.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
+    return d.select("doc_id", "text").dropDuplicates(["doc_id"]).join(twice, "doc_id").select("text", "n")
 
 
 def _duck(sql: str) -> str:
@@ -157,5 +349,5 @@ def _duck(sql: str) -> str:
     return sql.replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")
 
 
-QUERIES = {k: _query(k) for k in STATEMENTS}
 ORACLE_SQL = {k: _duck(s) for k, s in STATEMENTS.items()}
+assert QUERIES.keys() == ORACLE_SQL.keys()

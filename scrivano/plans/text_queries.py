@@ -119,11 +119,11 @@ def keyword_coverage(spark, sf_dir):
     return hits.select("doc_id", "item_id", "matched", "considered", F.bround(100 * F.col("matched") / F.col("considered")).cast("int").alias("percent"))
 
 
-@query(f"WITH {BLOCKS} SELECT doc_id, ord FROM (SELECT doc_id, ord, length(text) AS n, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS used FROM blocks WHERE trim(text) <> '') t WHERE used <= 2000")
+@query(f"WITH {BLOCKS} SELECT doc_id, ord FROM (SELECT doc_id, ord, length(text) AS n, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS used FROM blocks WHERE trim(text) <> '') t WHERE used <= 24000")
 def context_budget_cut(spark, sf_dir):
     order = Window.partitionBy("doc_id").orderBy("ord")
     b = B.blocks(table(spark, sf_dir, "documents")).where("editable")
-    return b.withColumn("used", F.sum(F.length("text") + 1).over(order) - 1).where("used <= 2000").select("doc_id", "ord")
+    return b.withColumn("used", F.sum(F.length("text") + 1).over(order) - 1).where("used <= 24000").select("doc_id", "ord")
 
 
 @query(f"""WITH {BLOCKS} SELECT doc_id, ord, last_value(label IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM (
@@ -139,7 +139,7 @@ TAGS = {"paragraphs": "<p[ >]", "links": "<a ", "items": "<li[ >]", "headings":
 
 
 @query("SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS {n}" for n, p in TAGS.items()) + " FROM pages")
-def feature_inventory(spark, sf_dir):
+def page_tag_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *(F.regexp_count("html", F.lit(p)).cast("long").alias(n) for n, p in TAGS.items()))
 
 

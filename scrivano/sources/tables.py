@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of scratch tables made by this process.
+_LIVE: list[str] = []
+
+
 def scratch(spark) -> str:
-    """A new folder in the shared folder of the cluster; a temporary one only where none is named, as in tests."""
+    """A new folder in the shared folder of the cluster; a temporary one only on a single machine that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scrivano-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/scrivano-{uuid.uuid4().hex}"
+    path = f"{base}/scrivano-{uuid.uuid4().hex}"
+    _LIVE.append(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, where several consumers would compute it each."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables, once the results that read them have been used."""
+    sc = spark.sparkContext
+    while _LIVE:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_LIVE.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
