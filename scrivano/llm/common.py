@@ -38,12 +38,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark's switch that deletes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again."""
+    """Cut the lineage: write df to the shared folder and read it again.  The shuffle files of the write go with it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/scrivano-{uuid.uuid4().hex}"
     _LIVE.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
