@@ -110,7 +110,10 @@ COVERAGE_SQL = f"""WITH terms AS (SELECT DISTINCT item_id, regexp_replace(word,
 
 @query(COVERAGE_SQL)
 def keyword_coverage(spark, sf_dir):
-    """Frequent terms of each benchmark item found in each document; pairs without a match are left out."""
+    """Frequent terms of each benchmark item (the third tier alone) found in each document; coverage_estimate has all tiers.
+
+    Pairs without a match are left out.
+    """
     terms = jd_term_frequency(spark, sf_dir).select("item_id", T.normalize_term(F.col("word")).alias("k")).distinct()
     size = terms.groupBy("item_id").agg(F.count("*").alias("considered"))
     tokens = F.array_distinct(F.transform(T.every(F.col("text"), "[^ \\t\\n\\r]+"), T.normalize_term))
