@@ -33,3 +33,26 @@ def items(replies: DataFrame, reply: str = "reply", edit_types=EDIT_TYPES) -> Da
         valid = valid & b
     code = F.when(F.col("bad"), "reply_invalid").when(~valid, "schema_invalid")
     return rows.where("bad or pos is not null").select(*others, "pos", i.alias("item"), code.alias("code"))
+
+
+#: Answers after which a request is tried again, and the waits between tries in seconds.
+RETRIED, FIRST_WAIT, LONGEST_WAIT, SPREAD = (408, 429), 0.5, 8.0, 0.25
+
+
+def retried(status, error):
+    """Whether an attempt failed in a way that may pass: no answer (error timeout or transport), or an answer that says so."""
+    return F.coalesce(error.isin("timeout", "transport"), F.lit(False)) | F.coalesce(status.isin(*RETRIED) | (status >= 500), F.lit(False))
+
+
+def wait(attempt):
+    """Seconds before the try after attempt (1, 2, ...), without the random part of up to SPREAD."""
+    return F.least(F.lit(LONGEST_WAIT), F.lit(FIRST_WAIT) * F.pow(F.lit(2.0), attempt - 1))
+
+
+def outcomes(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """request, tries, status, waited: what became of each request whose attempts (request, n, status, error) are logged; later attempts than
+    the first that is not tried again, or than most, are none of it."""
+    stop = F.min(F.when(~retried(F.col("status"), F.col("error")) | (F.col("n") >= most), F.col("n")))
+    end = attempts.groupBy("request").agg(F.coalesce(stop, F.max("n")).alias("tries"))
+    used = attempts.join(end, "request").where("n <= tries")
+    return used.groupBy("request", "tries").agg(F.max_by("status", "n").alias("status"), F.coalesce(F.sum(F.when(F.col("n") < F.col("tries"), wait(F.col("n")))), F.lit(0.0)).alias("waited"))

@@ -1,12 +1,14 @@
 """Sessions, progress, evaluation, stores and text functions on small cases."""
 
+import base64
+import hmac
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from scrivano.functions import text as T
-from scrivano.operators import evaluation, sessions
+from scrivano.operators import evaluation, replies, sessions, tokens, upload_rules
 from scrivano.plans import catalogue
 from scrivano.sources import stores, tables
 
@@ -106,3 +108,28 @@ def test_no_name_is_registered_twice(spark):
     assert tables.stored(spark.range(2)).count() == 2
     tables.clear_scratch(spark)
     assert not tables._LIVE
+
+
+def test_tokens(spark):
+    """The library's keyed digest; forged, cut, late and odd tokens."""
+    for secret in (b"k", b"long" * 40):
+        df = spark.createDataFrame([("s1", "a1", 100), ("sé", "a?>", 100)], "s string, a string, e long")
+        rows = df.select("s", "a", tokens.signed(F.col("s"), F.col("a"), F.col("e"), secret).alias("t")).collect()
+        for r in rows:
+            body, sig = r.t.split(".")
+            raw = base64.urlsafe_b64decode(body + "=" * (-len(body) % 4))
+            assert json.loads(raw) == {"artifact": r.a, "exp": 100, "session": r.s}
+            assert base64.urlsafe_b64encode(hmac.new(secret, raw, "sha256").digest()).rstrip(b"=").decode() == sig
+    t = rows[0].t
+    odd = [(t, 100), (t, 101), (t[:-2] + "xx", 1), ("e30." + t.split(".")[1], 1), ("nonsense", 1), ("", 1), (None, 1), ("a.b.c", 1)]
+    got = spark.createDataFrame(odd, "t string, now long").select(tokens.checked(F.col("t"), F.col("now"), b"long" * 40).alias("c")).collect()
+    assert [r.c.fault for r in got] == [None, "expired", "bad_signature", "bad_signature", "malformed", "malformed", "malformed", "malformed"]
+    assert (got[0].c.session, got[0].c.artifact, got[1].c.session) == ("s1", "a1", None)
+
+
+def test_retries_and_names(spark):
+    rows = [("a", 1, 503, None), ("a", 2, None, "timeout"), ("a", 3, 200, None), ("b", 1, 400, None), ("b", 2, 200, None), ("c", 1, 429, None), ("c", 2, 500, None), ("c", 3, 500, None), ("c", 4, 200, None)]
+    got = {r.request: (r.tries, r.status, r.waited) for r in replies.outcomes(spark.createDataFrame(rows, "request string, n int, status int, error string")).collect()}
+    assert got == {"a": (3, 200, 1.5), "b": (1, 400, 0.0), "c": (3, 500, 1.5)}
+    names = spark.createDataFrame([("a/b\\cafe\u0301.docx",), (None,), ("x\u200b  y.docx",)], "n string")
+    assert [r[0] for r in names.select(upload_rules.safe_file_name(F.col("n"))).collect()] == ["caf\u00e9.docx", "resume.docx", "x y.docx"]
