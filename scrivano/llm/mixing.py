@@ -70,7 +70,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int
     every = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
     # the common level if all sources before this one have stopped; the first that it leaves below its limit sets it
     level = (share * every["words"] - F.col("most_before")) / (every["w"] - F.col("w_before"))
-    first = s.select((F.col("most") / F.col("w")).alias("stop"), level.alias("level"), "w", "most").where("level * w <= most").agg(F.min_by("level", F.struct("stop", "level"))).first()[0]
+    # (from there on the level only falls, so it is the highest one; sources with the same limit don't matter)
+    first = s.select(level.alias("level"), "w", "most").where("level * w <= most").agg(F.max("level")).first()[0]
     target = F.col("most") if first is None else F.least(F.col("most"), F.lit(float(first)) * F.col("w"))
     return s.select("source", "source_size", target.alias("target"))
 
