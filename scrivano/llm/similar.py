@@ -196,11 +196,14 @@ def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text
 
     # the sets of the nodes that show a shared shingle or have a near fingerprint, from one text of each
     wanted = held.select("node").unionByName(early.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    one = nodes.groupBy("node").agg(F.min(F.struct("k", F.col("id").isNull().alias("none"), "id")).alias("one"))
-    one = one.join(wanted.hint("merge"), "node").select("node", F.col("one.k").alias("k"), F.col("one.id").alias("id"))
+    alike = nodes.groupBy("node", "id", "k").agg(F.count("*").alias("rows"))
+    one = alike.groupBy("node").agg(F.min(F.struct("k", F.col("id").isNull().alias("none"), "id", "rows")).alias("one"))
+    one = one.join(wanted.hint("merge"), "node").select("node", F.col("one.k").alias("k"), F.col("one.id").alias("id"), F.col("one.rows").alias("rows"))
     texts = df.select(column(id_col).alias("t_id"), text_key(column(text_col)).alias("t_k"), as_bytes(column(text_col)).alias("raw"))
-    kept = texts.join(one.hint("merge"), F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_k") == F.col("k"))).select("node", "raw")
-    sets = written(kept.dropDuplicates(["node"]).mapInArrow(_sets, "node long, grams binary"))  # rows alike in id and text
+    kept = texts.join(one.hint("merge"), F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_k") == F.col("k"))).select("node", "raw", "rows")
+    # only rows alike in id and text need a second shuffle, to leave one of them
+    kept = kept.where("rows = 1").select("node", "raw").unionByName(kept.where("rows > 1").select("node", "raw").dropDuplicates(["node"]))
+    sets = written(kept.mapInArrow(_sets, "node long, grams binary"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("node").alias(n), F.col("grams").alias(c)) for n, c in (("a", "x"), ("b", "y")))
