@@ -1,9 +1,14 @@
 """What the plans over packages and layouts read, deal out and store: each thing once."""
 
+import pytest
+
 from scrivano.operators import faults, package_index, segments, structure
+from scrivano.plans import package_queries
 from scrivano.sources import packages
 from scrivano.sources.tables import stored
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_one_reading_gives_what_the_single_ones_give(spark):
     data = faults.sample("Led a team\nShort\n\nImproved <it> & more")
@@ -28,3 +33,24 @@ def test_names_attributes_texts_and_places_count():
     different = ["<a><b/>t</a>", "<a>t<b/></a>", "<a><b>t</b></a>", '<a x="t"><b/></a>', "<a><b><c/></b></a>", "<a><b/><c/></a>", '<a x="1" y=""/>', '<a x="" y="1"/>', '<a xmlns="u"/>', "<a/>"]
     assert len({of(x) for x in different}) == len(different)
     assert of("<a><b>t</b>rest</a>") != of("<a><b>t</b></a>") and structure.canonical(ElementTree.fromstring("<a><b>t</b>rest</a>")[0]) == of("<b>t</b>")
+
+
+def test_documents_of_one_file_are_dealt_out(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def samples(docs, *_):
+        raise Seen(docs.rdd.getNumPartitions())
+
+    monkeypatch.setattr(faults, "samples", samples)
+    with pytest.raises(Seen) as seen:
+        package_queries.delivered(spark, SF)
+    assert seen.value.args[0] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_edits_alone_inject_no_faults(spark, monkeypatch):
+    def faulty(files):
+        raise AssertionError("faults are not asked for")
+
+    monkeypatch.setattr(faults, "faulty", faulty)
+    assert package_queries.edited_packages(spark, SF).count() > 0
