@@ -21,7 +21,15 @@ def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
     both = listed(before).withColumnRenamed("w", "wa").join(listed(after).withColumnRenamed("w", "wb"), "case", "full")
     empty = F.array().cast(both.schema["wa"].dataType)
     both = both.select("case", F.coalesce("wa", empty).alias("wa"), F.coalesce("wb", empty).alias("wb"))
-    both = both.withColumn("m", matching_blocks(F.col("wa")["text"], F.col("wb")["text"]))
+    return paired(both.withColumn("m", matching_blocks(F.col("wa")["text"], F.col("wb")["text"])))
+
+
+def paired(both: DataFrame) -> DataFrame:
+    """The same of case, wa, wb (each side's words that are compared, in order) and m, their matching blocks.
+
+    Rows dealt out by case stay where they are, here and in word_findings().  Spark forgets how rows are dealt where
+    Python runs, so m must be there before.
+    """
     same = F.aggregate("m", F.lit(0), lambda n, x: n + x["n"])
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda k: F.struct(F.get("wa", x["i"] + k).alias("a"), F.get("wb", x["j"] + k).alias("b")))))
     out = both.select("case", (F.size("wa") - same).alias("missing"), (F.size("wb") - same).alias("extra"), F.explode_outer(pairs).alias("p"))
@@ -40,7 +48,7 @@ def word_findings(pairs: DataFrame, first_marked: DataFrame | None = None, posit
     stable = page & near("x0", position) & near("top", position)
     early = F.col("first").isNull() | (F.col("a.ord") < F.col("first"))
     line = Window.partitionBy("case", "a.page", F.bround("a.top", 1)).orderBy("a.ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lead = pairs.where("a is not null").withColumn("la", F.first("a").over(line)).withColumn("lb", F.first("b").over(line))
+    lead = pairs.where("a is not null").withColumns({"la": F.first("a").over(line), "lb": F.first("b").over(line)})
     shift = F.abs((F.col("b.x0") - F.col("lb.x0")) - (F.col("a.x0") - F.col("la.x0")))
     broken = (F.col("b.page") != F.col("lb.page")) | (F.abs(F.col("b.top") - F.col("lb.top")) > position) | (shift > position)
     lines = lead.where(broken).groupBy("case").agg(F.count_distinct("a.page", F.bround("a.top", 1)).alias("broken"))

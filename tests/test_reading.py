@@ -3,7 +3,7 @@
 import pytest
 
 from scrivano.operators import faults, package_index, segments, structure
-from scrivano.plans import package_queries
+from scrivano.plans import catalogue, package_queries
 from scrivano.sources import packages
 from scrivano.sources.tables import stored
 
@@ -54,3 +54,10 @@ def test_edits_alone_inject_no_faults(spark, monkeypatch):
 
     monkeypatch.setattr(faults, "faulty", faulty)
     assert package_queries.edited_packages(spark, SF).count() > 0
+
+
+def test_words_are_not_shuffled(spark):
+    """Texts are dealt out by document, before they become words; windows and counts take them as they lie."""
+    plan = catalogue.QUERIES["layout_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split("Exchange hashpartitioning(")[1] for x in plan.split("\n") if "Exchange hashpartitioning(" in x]
+    assert len(keys) <= 3 and all(k.startswith("case#") and "," not in k.split(", ENSURE")[0].split(", REPARTITION")[0].removesuffix(", 4)") for k in keys), keys
