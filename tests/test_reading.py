@@ -4,7 +4,7 @@ import pytest
 
 from scrivano.operators import faults, package_index, segments, structure
 from scrivano.plans import catalogue, package_queries
-from scrivano.sources import packages
+from scrivano.sources import packages, tables
 from scrivano.sources.tables import stored
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,11 @@ def test_words_are_not_shuffled(spark):
     plan = catalogue.QUERIES["layout_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     keys = [x.split("Exchange hashpartitioning(")[1] for x in plan.split("\n") if "Exchange hashpartitioning(" in x]
     assert len(keys) <= 3 and all(k.startswith("case#") and "," not in k.split(", ENSURE")[0].split(", REPARTITION")[0].removesuffix(", 4)") for k in keys), keys
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    kept, gone = (tables.stored(spark.range(9)) for _ in range(2))
+    tables.discard(gone)
+    assert kept.count() == 9 and not os.path.exists(gone._scratch.removeprefix("file://")) and gone._scratch not in tables._LIVE
