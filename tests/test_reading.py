@@ -69,3 +69,35 @@ def test_discarded_tables_are_gone(spark):
     kept, gone = (tables.stored(spark.range(9)) for _ in range(2))
     tables.discard(gone)
     assert kept.count() == 9 and not os.path.exists(gone._scratch.removeprefix("file://")) and gone._scratch not in tables._LIVE
+
+
+def test_one_scan_gives_what_members_give(spark):
+    data = faults.sample("Led a team\nShort\n\nImproved <it> & more")
+    files = stored(spark.createDataFrame([("p", bytearray(data)), ("cut", bytearray(data[: len(data) // 2]))], "path string, content binary"))
+    scanned, parts = stored(package_index.scan(files)), stored(packages.members(files))
+    rows = lambda d: sorted(map(repr, d.select(*sorted(d.columns)).collect()))
+    for of in (packages.relationships, packages.content_types, structure.styles, lambda m: package_index.index(files, m), lambda m: m.select("path", "ord", "part", "fault", "xml_ok")):
+        assert rows(of(scanned)) == rows(of(parts)) and rows(of(parts))
+    tags = lambda m: {(r.path, r.part): (sorted(map(tuple, r.tags)), r.sections) for r in structure.shapes(m).collect()}
+    assert tags(scanned) == tags(parts)
+
+
+def test_neither_contents_nor_paragraphs_stay(spark):
+    """Once both sides' blocks are stored, no scratch table holds the packages' bytes or the paragraphs they came from."""
+    before = set(tables._LIVE)
+    package_queries._gated(spark, SF)
+    held = {c for path in set(tables._LIVE) - before for c in spark.read.parquet(path).columns if not (c == "content" and spark.read.parquet(path).where("length(content) > 8").isEmpty())}
+    assert not held & {"content", "paragraphs"} and "segments" in held
+
+
+def test_rejected_edit_of_a_block_that_no_accepted_one_touches(spark):
+    """A rejected edit that was put in all the same is found where nothing else of the block was accepted."""
+    from scrivano.operators import gates
+
+    make = lambda text: stored(spark.createDataFrame([("p", bytearray(faults.sample(text)))], "path string, content binary"))
+    sides = [package_index.index(f, stored(package_index.scan(f))) for f in (make("Led a team\nOther"), make("Led a team\nOther words"))]
+    spec = "path string, edit_id string, location_id string, start int, end int, original string, new_text string"
+    at = sides[0].where("ord = 2").first().location_id
+    rejected = spark.createDataFrame([("p", "e", at, 0, 5, "Other", "Other words")], spec)
+    found = gates.content(*sides, rejected.limit(0), rejected, spark.createDataFrame([], "path string, text string"))
+    assert {r.code for r in found.collect()} == {"unintended_text_change", "rejected_edit_present"}
