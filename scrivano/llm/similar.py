@@ -122,18 +122,18 @@ def _prefixes(counts: np.ndarray, least: tuple[int, int]):
     return run
 
 
-def _sets(batches):
-    for b in batches:
-        sets = [shingles(t).tobytes() for t in b.column("raw").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "grams"])
-
-
 def _compared(least: tuple[int, int]):
+    """Pairs (a, b) whose texts x and y are similar.  Rows of one b lie side by side, so its set is made once."""
+
     def run(batches):
+        last, held = None, None
         for b in batches:
-            of = lambda c: (np.frombuffer(x, "<u8") for x in b.column(c).to_pylist())  # noqa: E731, B023
-            near = [similar(x, y, least) for x, y in zip(of("x"), of("y"))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+            near = []
+            for name, x, y in zip(b.column("b").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist()):
+                if held is None or name != last:
+                    last, held = name, shingles(y)
+                near.append(similar(shingles(x), held, least))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -194,7 +194,7 @@ def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text
     by_print = ends.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     early = written(by_print.unionByName(hubs(held, least)).distinct())
 
-    # the sets of the nodes that show a shared shingle or have a near fingerprint, from one text of each
+    # one text of each node that shows a shared shingle or has a near fingerprint: texts take less disk than their sets, which no code can shorten
     wanted = held.select("node").unionByName(early.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     alike = nodes.groupBy("node", "id", "k").agg(F.count("*").alias("rows"))
     one = alike.groupBy("node").agg(F.min(F.struct("k", F.col("id").isNull().alias("none"), "id", "rows")).alias("one"))
@@ -203,10 +203,10 @@ def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text
     kept = texts.join(one.hint("merge"), F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_k") == F.col("k"))).select("node", "raw", "rows")
     # only rows alike in id and text need a second shuffle, to leave one of them
     kept = kept.where("rows = 1").select("node", "raw").unionByName(kept.where("rows > 1").select("node", "raw").dropDuplicates(["node"]))
-    sets = written(kept.mapInArrow(_sets, "node long, grams binary"))
+    whole = written(kept)
 
     def compared(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("node").alias(n), F.col("grams").alias(c)) for n, c in (("a", "x"), ("b", "y")))
+        x, y = (whole.select(F.col("node").alias(n), F.col("raw").alias(c)) for n, c in (("a", "x"), ("b", "y")))
         both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
         return written(both.mapInArrow(_compared(least), "a long, b long"))
 
@@ -214,7 +214,7 @@ def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text
     reached = written(components(first))
     rest = apart(held, reached, least)
     more = compared(rest)
-    for t in (held, early, sets, reached, rest):
+    for t in (held, early, whole, reached, rest):
         discard(t)
     return first.unionByName(more)
 

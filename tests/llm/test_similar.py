@@ -46,3 +46,22 @@ def test_two_words_changed_is_one_group(spark):
     df = spark.createDataFrame([(1, " ".join(base), "en", "s", 1), (2, " ".join(other), "en", "s", 1)], SCHEMA)
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [1]
     assert similar.similar(*(similar.shingles(" ".join(t).encode()) for t in (base, other)))
+
+
+def test_scratch_tables_take_half_of_the_texts_at_most(spark, monkeypatch):
+    """Sets of hashes take more disk than their texts, and nothing shortens them."""
+    from pathlib import Path
+
+    rng, sizes, written = random.Random(3), [], similar.written
+    bases = [[f"w{rng.randrange(4000)}" for _ in range(300)] for _ in range(60)]
+    texts = [" ".join(t) for b in bases for t in (b, b[:150] + ["x"] + b[151:])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+
+    def seen(frame):
+        out = written(frame)
+        sizes.append(sum(p.stat().st_size for p in Path(out._scratch.removeprefix("file://")).glob("*.parquet") if "grams" in out.columns or {"raw", "node"} <= set(out.columns)))
+        return out
+
+    monkeypatch.setattr(similar, "written", seen)
+    assert corpus_pipeline.near_duplicates(spark, df, "").count() == 60
+    assert 0 < max(sizes) < sum(map(len, texts)) / 2  # near copies shorten both
