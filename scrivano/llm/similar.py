@@ -13,8 +13,8 @@ can prune by.  So the search has three steps, each of which compares only what n
    show.  Each text is compared with one hub of each shingle it shows, the text that shows it first: in a
    family of copies that were changed apart, the one that was changed least.  Hubs cost a row a shingle
    shown, whatever the family's size, and join the family.
-3. The rest: pairs of texts that still are apart and show one shingle, unless sizes or the shingle's places
-   rule 0.8 out.  No pair is lost, whatever the order is.
+3. The rest: pairs of texts that still are apart and show one shingle, unless sizes, the shingle's places or
+   the sets' parities rule 0.8 out.  No pair is lost, whatever the order is.
 
 All pairs found are held against whole sets before they link.
 
@@ -23,12 +23,15 @@ Defined results: null and blank texts are one group; else as in simhash.deduplic
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from . import simhash
 from .common import as_bytes, column, discard, pick, small_batches, text_key, written
@@ -38,6 +41,8 @@ SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 BUCKET_BITS = 17
+#: Words of 64 bits that a set's parities take.
+PARITIES = 8
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -71,6 +76,15 @@ def print_of(grams: np.ndarray) -> int:
     return simhash.folded(ones, len(grams))
 
 
+def parity(grams: np.ndarray) -> list[int]:
+    """PARITIES signed words: bit i tells whether the set has an odd number of hashes that fall on i.
+
+    A hash that one set has and another has not changes one bit, so that sets differ in as many hashes as in bits, or more.
+    """
+    odd = np.bincount((grams % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def shown(n: int, least: tuple[int, int] = LEAST) -> int:
     """How many shingles a text of n shows."""
     return n - (least[0] * n + least[1] - 1) // least[1] + 1 if n else 0
@@ -84,16 +98,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
 def _nodes(batches):
     """Each text's node and fingerprint; after a task's last text, its counts of shingles by bucket."""
     counts, kind = np.zeros(1 << BUCKET_BITS, np.int64), pa.null()
-    names = ["id", "k", "node", "fp", "bucket", "n"]
+    names = ["id", "k", "node", "fp", "parity", "bucket", "n"]
     for b in batches:
         kind, sets = b.schema.field(0).type, [shingles(t) for t in b.column("raw").to_pylist()]
         for g in sets:
             np.add.at(counts, (g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-        made = pa.array(map(node, sets), pa.int64()), pa.array(map(print_of, sets), pa.int64())
+        made = pa.array(map(node, sets), pa.int64()), pa.array(map(print_of, sets), pa.int64()), pa.array(map(parity, sets), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())], names=names)
     at = np.flatnonzero(counts)
     if len(at):
-        none = [pa.nulls(len(at), t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
+        none = [pa.nulls(len(at), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array(counts[at])], names=names)
 
 
@@ -153,6 +167,13 @@ def shows(raw: DataFrame, buckets: DataFrame, least: tuple[int, int] = LEAST) ->
     return written(marked.where("low <> high").select("gram", "node", "n", "at", "hub").distinct())
 
 
+def _alike(least: tuple[int, int]):
+    """Whether parities leave the similarity asked for possible: sets of a and b hashes at least num/den alike differ in (den - num) / (den + num) of a + b at most."""
+    num, den = least
+    bits = reduce(add, (F.bit_count(F.col(f"ap{i}").bitwiseXOR(F.col(f"bp{i}"))) for i in range(PARITIES)))
+    return (num + den) * bits <= (den - num) * (F.col("an").cast("long") + F.col("bn").cast("long"))
+
+
 def _possible(least: tuple[int, int]):
     """Whether sizes an, bn and places aat, bat of a shared shingle leave the similarity asked for possible."""
     num, den = least
@@ -172,20 +193,22 @@ def hubs(held: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     return both.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
 
 
-def apart(held: DataFrame, found: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Pairs (a, b), a < b, all at the similarity asked for among them, that the components found (node, root) do not join."""
+def apart(held: DataFrame, found: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Pairs (a, b), a < b, all at the similarity asked for among them, that the components found (node, root) do not join.  nodes: node, parity."""
     rooted = held.drop("hub").join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    rooted = written(rooted.join(several.hint("merge"), "gram"))
+    odd = nodes.groupBy("node").agg(F.first("parity").alias("parity"))  # one set, one parity
+    rooted = rooted.join(several.hint("merge"), "gram").join(odd.hint("merge"), "node")
+    rooted = written(rooted.select(*held.drop("hub").columns, "root", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITIES))))
     a, b = _sided(rooted, "a"), _sided(rooted, "b")
-    both = a.hint("merge").join(b, "gram").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _possible(least))
+    both = a.hint("merge").join(b, "gram").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _possible(least) & _alike(least))
     out = written(both.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
     discard(rooted)
     return out
 
 
 def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text_col: str, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Pairs (a, b) of similar nodes that reach what all such pairs reach.  nodes: id, k, node, fp of df's rows; buckets: counts of their shingles."""
+    """Pairs (a, b) of similar nodes that reach what all such pairs reach.  nodes: id, k, node, fp, parity of df's rows; buckets: counts of their shingles."""
     held = shows(df.select(as_bytes(column(text_col)).alias("raw")), buckets, least)
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     near = simhash.links(of_print.select("fp"))
@@ -212,7 +235,7 @@ def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text
 
     first = compared(early)
     reached = written(components(first))
-    rest = apart(held, reached, least)
+    rest = apart(held, reached, nodes, least)
     more = compared(rest)
     for t in (held, early, whole, reached, rest):
         discard(t)
@@ -224,9 +247,9 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     raw = df.select(column(id_col).alias("id"), text_key(column(text_col)).alias("k"), as_bytes(column(text_col)).alias("raw"))
-    kinds = StructType().add("id", kind).add("k", "long").add("node", "long").add("fp", "long").add("bucket", "integer").add("n", "long")
+    kinds = StructType().add("id", kind).add("k", "long").add("node", "long").add("fp", "long").add("parity", ArrayType(LongType())).add("bucket", "integer").add("n", "long")
     both = written(raw.mapInArrow(_nodes, kinds))
-    nodes, buckets = both.where("bucket is null").select("id", "k", "node", "fp"), both.where("bucket is not null").select("bucket", "n")
+    nodes, buckets = both.where("bucket is null").select("id", "k", "node", "fp", "parity"), both.where("bucket is not null").select("bucket", "n")
     found = components(links(df, nodes, buckets, id_col, text_col, least))
     keys = nodes.groupBy("node", "id", "k").agg(F.count("*").alias("n"))
     low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")).alias("first")

@@ -65,3 +65,15 @@ def test_scratch_tables_take_half_of_the_texts_at_most(spark, monkeypatch):
     monkeypatch.setattr(similar, "written", seen)
     assert corpus_pipeline.near_duplicates(spark, df, "").count() == 60
     assert 0 < max(sizes) < sum(map(len, texts)) / 2  # near copies shorten both
+
+
+def test_parities_differ_in_no_more_bits_than_sets():
+    rng = random.Random(5)
+    for n in (1, 3, 40, 300, 2000):
+        base = [f"w{rng.randrange(900)}" for _ in range(n + 4)]
+        for cuts in (0, 1, 4, n // 2, n):
+            other = [f"x{rng.randrange(900)}" if i < cuts else w for i, w in enumerate(base)]
+            a, b = (similar.shingles(" ".join(t).encode()) for t in (base, other))
+            bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(similar.parity(a), similar.parity(b), strict=True))
+            assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (bits > 0 or cuts == 0 or n > 300)
+    assert similar.parity(similar.shingles(b"")) == [0] * similar.PARITIES
