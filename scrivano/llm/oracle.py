@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets
+from . import lexical, licenses, secrets
 from .quality import STOP_WORDS, THRESHOLDS
 
 _WHITE = "[\\x09-\\x0D\\x20]"
@@ -100,4 +100,46 @@ SELECT doc_id, coalesce(f.licence, n.licence, 'none') AS licence, CASE WHEN f.li
        f.score, CASE WHEN f.licence IS NULL THEN above END AS licensed_by
 FROM file f LEFT JOIN nearest n ON n.dir = f.dir"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6, "op8_secret_scan": OP8, "op10_license_scan": OP10}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _term_list(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_term_list('text')} AS ts FROM documents WHERE text IS NOT NULL),
+total AS (SELECT count(*) AS nd, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS i, item_id, unnest({_term_list('text')}) AS term FROM benchmark) x GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, total GROUP BY term, nd),
+adds AS (SELECT r, doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))) AS x FROM p JOIN w ON w.term = p.term, total),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(times * x) AS BIGINT) AS score FROM q JOIN adds ON adds.term = q.term GROUP BY i, item_id, r, doc_id HAVING sum(times * x) > 0),
+best AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= {lexical.TOP}"""
+
+_ONE = "(SELECT unnest([0, 1, 2, 3, 4]) AS f)"
+_FAILS = "CAST(substr(fails, {} + 1, 1) AS INTEGER)"
+OP13 = f"""WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WHITE}+'), lambda x: x <> '') AS w FROM documents),
+lowest AS (SELECT t, min(doc_id) AS low FROM words GROUP BY t),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+bits AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(len(w) < 50 AS INTEGER) || CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+    || CAST(100 * (length(words.t) - length(regexp_replace(words.t, '[A-Z]', '', 'g'))) > 5 * length(words.t) AS INTEGER) || CAST(regexp_matches(words.t, '[#$%&*|]') AS INTEGER) || CAST(coalesce(words.doc_id > low, false) AS INTEGER) AS fails
+  FROM words JOIN lowest ON lowest.t = words.t LEFT JOIN marks ON marks.doc_id = words.doc_id),
+cell AS (SELECT part, fails, good, toxic, count(*) AS n FROM bits GROUP BY ALL),
+orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM {_ONE} a, {_ONE} b, {_ONE} c, {_ONE} d, {_ONE} e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+told AS (
+  SELECT part, o, step, n, good, toxic, fails, {_FAILS.format('o[step]')} = 1 AS mine, list_sum(list_transform(o[1:step - 1], lambda f: {_FAILS.format('f')})) > 0 AS before
+  FROM cell, steps),
+seen AS (SELECT *, coalesce(before, false) AS gone FROM told),
+by_step AS (
+  SELECT part, o, step, sum(n) FILTER (NOT mine AND NOT gone) AS kept, sum(n) FILTER (mine AND NOT gone) AS removed, sum(n) FILTER (mine AND gone) AS redundant,
+         sum(n) FILTER (mine AND length(replace(fails, '0', '')) = 1) AS unique_fails, sum(n) FILTER (mine AND NOT gone AND good) AS good_lost, sum(n) FILTER (mine AND NOT gone AND toxic) AS toxic_lost
+  FROM seen GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda f: chr(CAST(65 + f AS INTEGER))), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley FROM by_step"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6, "op8_secret_scan": OP8, "op10_license_scan": OP10, "op12_lexical_search": OP12, "op13_filter_audit": OP13}

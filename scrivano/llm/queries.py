@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, licenses, mixing, ogg, pii, quality, secrets, sharding, simhash
+from . import bpe, filter_audit, host_words, html_text, lexical, licenses, mixing, ogg, pii, quality, secrets, sharding, simhash
 from .common import read
 
 
-
-def _tokenizer() -> str:
-    named = os.environ.get("SCRIVANO_TOKENIZER")
-    if named:
-        return named
+def tokenizer() -> str:
+    """Where the tokenizer file lies; the driver reads it, executors get it by broadcast."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Where the tokenizer file lies; the driver reads it, executors get it by broadcast.
-TOKENIZER = _tokenizer()
-
-
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -42,7 +33,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +64,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), document_path()).select("doc_id", "licence", "origin", "score", "licensed_by")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = host_words.lexicon(read(spark, sf_dir, "documents"))
+    return host_words.judged(read(spark, sf_dir, "pages"), counts).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_dedup, op2_html_extraction, op3_source_mixing, op4_sharding, op5_bpe_roundtrip,
         op6_quality_rules, op7_pii, op8_secret_scan, op9_ogg_media, op10_license_scan,
+        op11_url_filter, op12_lexical_search, op13_filter_audit,
     )
 }

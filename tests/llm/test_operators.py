@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scrivano.llm import bpe, common, licenses, mixing, ogg, oracle, pii, quality, secrets, sharding, simhash
-from scrivano.llm.queries import QUERIES, TOKENIZER, document_path
+from scrivano.llm.queries import QUERIES, document_path, tokenizer
+
+TOKENIZER = tokenizer()
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [
