@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scrivano.llm import bpe, mixing, pii, quality, simhash
 from scrivano.llm.common import discard_since, read, scratch_mark, written
-from scrivano.llm.queries import TOKENIZER
+from scrivano.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, ids and n_tokens."""
-    out = bpe.encode(docs.select("doc_id", "source", "lang", "text"), TOKENIZER)
+    out = bpe.encode(docs.select("doc_id", "source", "lang", "text"), tokenizer())
     return out.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
