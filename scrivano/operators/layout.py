@@ -1,39 +1,30 @@
 """Layout comparison of two versions of a document by its words and boxes.
 
-words: case, ord, text, page, x0, top, size, font, color, marked; marked words stand in an edited
-place and are not compared.  One case is one document, which bounds the arrays that the alignment takes.
+words: case, ord, text, page, x0, top, bottom, size, font, color, marked; marked words stand in an edited
+place and are not compared.  boxes: case, page, kind (image or graphic), x0, top, x1, bottom.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.diff import matching_blocks
+from . import alignment
 
 POSITION, SIZE = 0.75, 0.1  # points
 FIELDS = ("text", "page", "x0", "top", "size", "font", "color")
 
 
-def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
-    """case, a and b (structs of FIELDS and ord), missing, extra: matched words; a and b null for a case with none."""
-    listed = lambda d: d.where("not coalesce(marked, false)").groupBy("case").agg(F.array_sort(F.collect_list(F.struct("ord", *FIELDS))).alias("w"))
-    both = listed(before).withColumnRenamed("w", "wa").join(listed(after).withColumnRenamed("w", "wb"), "case", "full")
-    empty = F.array().cast(both.schema["wa"].dataType)
-    both = both.select("case", F.coalesce("wa", empty).alias("wa"), F.coalesce("wb", empty).alias("wb"))
-    return paired(both.withColumn("m", matching_blocks(F.col("wa")["text"], F.col("wb")["text"])))
-
+def aligned(before: DataFrame, after: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> DataFrame:
+    """case, a and b (structs of ord and FIELDS): words that are not marked, each with the other side's; null where that lacks it.
 
-def paired(both: DataFrame) -> DataFrame:
-    """The same of case, wa, wb (each side's words that are compared, in order) and m, their matching blocks.
-
-    Rows dealt out by case stay where they are, here and in word_findings().  Spark forgets how rows are dealt where
-    Python runs, so m must be there before.
+    keep: how what is read several times is kept, as alignment.pairs() takes it.
     """
-    same = F.aggregate("m", F.lit(0), lambda n, x: n + x["n"])
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda k: F.struct(F.get("wa", x["i"] + k).alias("a"), F.get("wb", x["j"] + k).alias("b")))))
-    out = both.select("case", (F.size("wa") - same).alias("missing"), (F.size("wb") - same).alias("extra"), F.explode_outer(pairs).alias("p"))
-    return out.select("case", "missing", "extra", "p.a", "p.b")
+    plain = lambda d: d.where("not coalesce(marked, false)")
+    pairs = alignment.pairs(plain(before), plain(after), keep)
+    return alignment.sides(plain(before), plain(after), pairs, FIELDS)
 
 
 def word_findings(pairs: DataFrame, first_marked: DataFrame | None = None, position: float = POSITION, size: float = SIZE) -> DataFrame:
@@ -48,13 +39,13 @@ def word_findings(pairs: DataFrame, first_marked: DataFrame | None = None, posit
     stable = page & near("x0", position) & near("top", position)
     early = F.col("first").isNull() | (F.col("a.ord") < F.col("first"))
     line = Window.partitionBy("case", "a.page", F.bround("a.top", 1)).orderBy("a.ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lead = pairs.where("a is not null").withColumns({"la": F.first("a").over(line), "lb": F.first("b").over(line)})
+    lead = pairs.where("a is not null and b is not null").withColumns({"la": F.first("a").over(line), "lb": F.first("b").over(line)})
     shift = F.abs((F.col("b.x0") - F.col("lb.x0")) - (F.col("a.x0") - F.col("la.x0")))
     broken = (F.col("b.page") != F.col("lb.page")) | (F.abs(F.col("b.top") - F.col("lb.top")) > position) | (shift > position)
     lines = lead.where(broken).groupBy("case").agg(F.count_distinct("a.page", F.bround("a.top", 1)).alias("broken"))
-    n = lambda c: F.count(F.when(F.col("a").isNotNull() & c, 1))
+    n = lambda c: F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull() & c)
     counts = pairs.groupBy("case").agg(
-        (F.max("missing") + F.max("extra")).alias("unmatched"),
+        F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"),
         n((plain("a") != plain("b")) | ~near("size", size)).alias("fonts"),
         n(~F.col("a.color").eqNullSafe(F.col("b.color"))).alias("colors"),
         n(~stable & early).alias("early"),
@@ -109,3 +100,84 @@ def page_findings(before: DataFrame, after: DataFrame) -> DataFrame:
     rules = (("page_count_changed", "warning", F.abs(F.col("pages_b") - F.col("pages_a"))), ("blank_page_introduced", "error", more("blank")), ("text_outside_page", "warning", more("beyond")))
     rows = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), n.cast("long").alias("n")) for c, s, n in rules))
     return both.select("case", F.explode(rows).alias("f")).select("case", "f.*").where("n > 0")
+
+
+#: Fixed value: the tolerance of vector graphics in points; images are compared in whole points.
+GRAPHICS = 0.5
+
+
+def reflow_tops(pairs: DataFrame, position: float = POSITION) -> DataFrame:
+    """case, page, top: where a page's reflow begins, the least top of words of either side that did not stay in place."""
+    near = lambda f: F.abs(F.col(f"a.{f}") - F.col(f"b.{f}")) <= position
+    moved = pairs.where("a IS NOT NULL AND b IS NOT NULL").where(~((F.col("a.page") == F.col("b.page")) & near("x0") & near("top")))
+    ends = moved.select("case", F.explode(F.array(*(F.struct(F.col(f"{s}.page").alias("page"), F.col(f"{s}.top").alias("top")) for s in ("a", "b")))).alias("e"))
+    return ends.groupBy("case", "e.page").agg(F.min("e.top").alias("top"))
+
+
+def steps(value: Column, step: float) -> Column:
+    """A length in whole steps, halves to the even one."""
+    return F.bround(value / step).cast("long")
+
+
+def box_findings(before: DataFrame, after: DataFrame, pages: DataFrame, reflow: DataFrame, graphics: float = GRAPHICS) -> DataFrame:
+    """case, code, severity, n of the images and graphics of two versions.
+
+    pages: case, a and b, how many pages either side has.  reflow: case, page, top of reflow_tops().
+    Bags of boxes are compared by counting each rounded form on both sides, so no page's boxes meet in one row: images of
+    a case by their sizes, where none is missing; graphics by page, on the pages that both sides have, by place and size
+    where the page did not reflow, else by size alone in double steps.
+    """
+    both = before.withColumn("one", F.lit(1)).unionByName(after.withColumn("one", F.lit(-1)))
+    size = lambda step: (steps(F.col("x1") - F.col("x0"), step).alias("w"), steps(F.col("bottom") - F.col("top"), step).alias("h"))
+    left = F.sum("one").alias("left")  # of one form, how many more there are before
+
+    images = both.where("kind = 'image'")
+    missing = images.groupBy("case").agg(F.greatest(left, F.lit(0)).alias("missing"))
+    sized = images.groupBy("case", *size(1.0)).agg(left).where("left <> 0").groupBy("case").agg(F.sum(F.abs("left")).alias("sized"))
+    pictures = missing.join(sized, "case", "left").select("case", "missing", F.when(F.col("missing") == 0, F.col("sized")).alias("sized"))
+
+    drawn = both.where("kind = 'graphic'").join(pages, "case").where(F.col("page") < F.least("a", "b"))
+    flowed = drawn.join(reflow.select("case", "page", F.lit(True).alias("flowed")), ["case", "page"], "left").withColumn("flowed", F.coalesce("flowed", F.lit(False)))
+    place = [F.when(~F.col("flowed"), steps(F.col(c), graphics)).alias(f"k{c}") for c in ("x0", "top", "x1", "bottom")]
+    sizes = [F.when(F.col("flowed"), c).alias(f"k{i}") for i, c in enumerate(size(2 * graphics))]
+    changed = flowed.groupBy("case", "page", "flowed", *place, *sizes).agg(left).where("left <> 0").select("case", "page", "flowed").distinct()
+    shapes = changed.groupBy("case").agg(F.count_if(~F.col("flowed")).alias("still"), F.count_if("flowed").alias("flowed"))
+
+    rules = (("image_missing", "error", "missing"), ("image_size_changed", "warning", "sized"), ("graphics_changed", "warning", "still"), ("graphics_changed_on_reflowed_page", "info", "flowed"))
+    rows = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.col(n).cast("long").alias("n")) for c, s, n in rules))
+    found = pictures.join(shapes, "case", "full").select("case", F.explode(rows).alias("f")).select("case", "f.*")
+    return found.where("n > 0")
+
+
+def edited_lines(before: DataFrame, after: DataFrame) -> DataFrame:
+    """case, code, severity, n: cases whose edited places fill another number of lines, with the number they fill now."""
+    both = marked_lines(before).withColumnRenamed("lines", "a").join(marked_lines(after).withColumnRenamed("lines", "b"), "case", "full").na.fill(0, ["a", "b"])
+    return both.where("a <> b").select("case", F.lit("edited_text_line_count_changed").alias("code"), F.lit("info").alias("severity"), F.col("b").alias("n"))
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """words with nth, their place in the case from 0: places in a page by a window, pages' places by their counts.
+
+    No case is sorted as a whole: what is sorted is a page, and of a case the counts of its pages.
+    """
+    upto = F.coalesce(F.sum("n").over(Window.partitionBy("case").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = words.groupBy("case", "page").agg(F.count("*").alias("n")).select("case", "page", upto.alias("start"))
+    own = F.row_number().over(Window.partitionBy("case", "page").orderBy("ord")) - 1
+    return words.withColumn("own", own).join(starts, ["case", "page"]).withColumn("nth", F.col("start") + F.col("own")).drop("own", "start")
+
+
+#: Fixed value: how far a word of the marked copy may lie from the plain copy's.
+RENDERED = 0.01
+
+
+def render_findings(plain: DataFrame, marked: DataFrame, position: float = RENDERED) -> DataFrame:
+    """case, code, severity, n: words that two renderings of one text, without and with marks, do not have in one place.
+
+    The n-th word is held against the n-th word; words beyond the shorter list count too.
+    """
+    of = lambda d, s: numbered(d).select("case", "nth", F.struct("text", "page", "x0", "top").alias(s))
+    near = lambda f: F.abs(F.col(f"p.{f}") - F.col(f"m.{f}")) <= position
+    same = (F.col("p.text") == F.col("m.text")) & (F.col("p.page") == F.col("m.page")) & near("x0") & near("top")
+    off = of(plain, "p").join(of(marked, "m"), ["case", "nth"], "full").where(~F.coalesce(same, F.lit(False)))
+    return off.groupBy("case").agg(F.count("*").alias("n")).select("case", F.lit("marker_render_inconsistent").alias("code"), F.lit("warning").alias("severity"), "n")
+

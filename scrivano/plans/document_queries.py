@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.diff import matching_blocks, word_diff
 from ..operators import blocks as B
 from ..operators import edit_rules as R
 from ..functions import text as T
 from ..functions.vocabulary import COMMON_INITIAL, GENERIC, STOP
-from ..operators import layout, replacement, replies, salient, segments, structure, upload_rules
+from ..operators import replacement, replies, salient, segments, structure, upload_rules
 from ..sources import packages
 from ..sources.tables import scratch, stored, table
 from ..streaming import progress
@@ -48,33 +47,6 @@ def upload_verdicts(spark, sf_dir):
     return upload_rules.verdicts(files).select(F.col("path").cast("long").alias("doc_id"), "code")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) AS i FROM documents),
-c AS (SELECT doc_id, count(*) FILTER (i % 89 = 3) AS f, count(*) FILTER (i % 97 = 5) AS k, count(*) FILTER (i >= 40) AS m,
-             CASE WHEN doc_id % 3 = 0 THEN 0 ELSE count(*) FILTER (i >= 40) END AS e FROM w WHERE NOT (doc_id % 3 = 0 AND i = 30) GROUP BY doc_id)
-SELECT doc_id, code, severity, n FROM (
-  SELECT doc_id, 'font_changed' AS code, 'warning' AS severity, f AS n FROM c UNION ALL SELECT doc_id, 'text_color_changed', 'warning', k FROM c
-  UNION ALL SELECT doc_id, 'shift_before_edit', 'warning', e FROM c UNION ALL SELECT doc_id, 'vertical_reflow', 'info', CASE WHEN e = 0 THEN m ELSE 0 END FROM c) t WHERE n > 0""")
-def layout_findings(spark, sf_dir):
-    """Words of all documents set ten to a line, against a version with other fonts and colours and lines moved down."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case"), "text")
-    num = lambda c: c.cast("double")
-    marked = lambda o: (F.col("case") % 3 == 0) & (o == 30)
-
-    def word(t, o, font, color, down=F.lit(0)):
-        place = {"page": F.floor(o / 600).cast("int"), "x0": num(o % 10 * 50), "top": num(F.floor(o / 10) % 60 * 12) + down, "size": F.lit(10.0), "font": font, "color": color}
-        return F.struct(o.alias("ord"), t.alias("text"), *(c.alias(n) for n, c in place.items()))
-
-    before = lambda t, o: word(t, o, F.lit("AB+Serif"), F.lit("black"))
-    after = lambda t, o: word(t, o, F.when(o % 89 == 3, "Sans").otherwise("CD+Serif"), F.when(o % 97 == 5, "red").otherwise("black"), F.when(o >= 40, 12).otherwise(0))
-    compared = lambda side: F.filter(F.transform(F.split("text", " ", -1), side), lambda w: ~marked(w["ord"]))
-    plain = F.filter(F.split("text", " ", -1), lambda t, o: ~marked(o))  # both sides' texts
-    # texts are dealt out once, with their matches, before they become words of many fields
-    dealt = d.withColumn("m", matching_blocks(plain, plain)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "case")
-    words = d.select("case", F.posexplode(F.split("text", " ", -1)).alias("ord", "text")).withColumn("marked", marked(F.col("ord")))
-    found = layout.word_findings(layout.paired(dealt.select("case", compared(before).alias("wa"), compared(after).alias("wb"), "m")), layout.first_marked(words))
-    return found.select(F.col("case").alias("doc_id"), "code", "severity", "n")
-
-
 @query("""SELECT conv_id, turn, CASE WHEN turn = 3 THEN NULL ELSE 0 END AS pos, CASE WHEN turn = 3 THEN 'reply_invalid'
   WHEN length(text) NOT BETWEEN 1 AND 600 OR turn > 5 THEN 'schema_invalid' END AS code FROM conversations""")
 def reply_items(spark, sf_dir):
@@ -113,16 +85,6 @@ def edit_failures(spark, sf_dir):
     return R.failures(e.unionByName(copies))
 
 
-@query()
-def word_diffs(spark, sf_dir):
-    """Changed blocks with their differences; tests hold the function against difflib."""
-    e = B.edits(B.blocks(table(spark, sf_dir, "documents")))
-    taken = R.greedy(e)
-    new = R.applied(taken).join(taken.select("doc_id", "ord", "text"), ["doc_id", "ord"])
-    parts = word_diff(F.col("text"), F.col("new_text"))
-    return new.select("doc_id", "ord", F.transform(parts, lambda p: F.concat_ws(":", p["op"], p["text"])).alias("parts"))
-
-
 @query("""SELECT c.conv_id, c.turn, d.doc_id IS NOT NULL AND
   contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(c.text, '\\s+', ' ', 'g'))) AS found
   FROM conversations c LEFT JOIN documents d ON c.conv_id = d.doc_id""")
