@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches
+from .common import column, discard, small_batches, written
 
 ALLOW, BLOCK = "allow", "block"
-#: A lexicon's words, the most frequent first: this bounds what is broadcast (under 2 MB).
+#: The most words that a lexicon has, which bounds what is broadcast (under 2 MB).
 LEXICON_WORDS = 50_000
 LONGEST = 20
 #: The share of the examples' words in the unigram model.
@@ -108,14 +108,28 @@ def longest_rule(host: Column, path: Column, rules: Iterable[Rule]) -> Column:
     return out
 
 
+#: Frequencies are told apart in this many steps from one power of two to the next.
+STEPS = 8
+
+
 def lexicon(docs: DataFrame, text_col: str = "text", n_words: int = LEXICON_WORDS) -> list[tuple[str, int]]:
-    """The n_words most frequent words of a to z in all texts, with their counts; ties by the word.
+    """The most frequent words of a to z in all texts, with their counts: n_words at most, which bounds the result.
 
-    Counted by one aggregation over whole texts; n_words bounds the result.
+    All words down to one frequency are taken, the least at which there are not more than n_words; it is looked for in
+    STEPS from each power of two to the next, so words of one frequency never part and nothing is sorted as a whole.
     """
     words = docs.select(F.explode(F.split(F.translate(F.coalesce(column(text_col), F.lit("")), _UPPER, _LOWER), r"[^a-z]+")).alias("w"))
-    found = words.where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
-    return [(r["w"], r["n"]) for r in found.orderBy(F.desc("n"), "w").limit(n_words).collect()]
+    counts = words.where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
+    counts = written(counts.withColumn("step", F.floor(STEPS * F.log2("n")).cast("int")))
+    least, total = None, 0
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):  # STEPS rows for each power of two
+        total += r["n"]
+        if total > n_words:
+            break
+        least = r["step"]
+    found = [] if least is None else [(r["w"], r["n"]) for r in counts.where(F.col("step") >= least).select("w", "n").collect()]
+    discard(counts)
+    return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
 class Splitter:

@@ -260,4 +260,8 @@ def test_bayes_on_held_out_names():
 def test_lexicon_counts_all(spark, odd):
     counts = collections.Counter(w for _, t, _ in ODD for w in re.findall("[a-z]+", (t or "").translate(LOWER)) if 2 <= len(w) <= host_words.LONGEST)
     assert host_words.lexicon(odd) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))
-    assert host_words.lexicon(odd, n_words=2) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:2]
+    for n in (0, 1, 2, 5, 30, 90, len(counts)):
+        got = host_words.lexicon(odd, n_words=n)
+        assert len(got) <= n and got == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: len(got)]
+        assert not got or got[-1][1] > max([c for w, c in counts.items() if (w, c) not in got], default=0)
+    assert len(host_words.lexicon(odd, n_words=5)) >= 2
