@@ -8,7 +8,7 @@ from ..operators import blocks as B
 from ..operators import edit_rules as R
 from ..functions import text as T
 from ..functions.vocabulary import COMMON_INITIAL, GENERIC, STOP
-from ..operators import replacement, replies, salient, segments, structure, upload_rules
+from ..operators import replacement, replies, salient, segments, structure, substrings, upload_rules
 from ..sources import packages
 from ..sources.tables import scratch, stored, table
 from ..streaming import progress
@@ -166,6 +166,15 @@ def salient_terms(spark, sf_dir):
     return salient.salient_terms(table(spark, sf_dir, "benchmark"), "item_id")
 
 
+@query("""WITH q AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+[-.,;] [\\pL\\pN]+')) AS term FROM benchmark) b)
+SELECT doc_id, term FROM documents JOIN q ON contains(lower(text), term)""")
+def phrases_held(spark, sf_dir):
+    """The documents that hold phrases of the benchmark items across a sign, as they stand."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(T.every(F.lower("text"), r"[\p{L}\p{N}]+[-.,;] [\p{L}\p{N}]+")).alias("term"))
+    return substrings.containing(docs, terms, stored, "doc_id")
+
+
 @query(f"""WITH {BLOCKS}, l AS (SELECT doc_id, string_split(text, ' ')[1] AS locator FROM documents)
 SELECT l.doc_id, locator, count(*) FILTER (contains(b.text, locator)) AS n FROM l JOIN blocks b ON b.doc_id = l.doc_id GROUP BY l.doc_id, locator""")
 def located_blocks(spark, sf_dir):
@@ -196,8 +205,10 @@ def coverage_estimate(spark, sf_dir):
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.transform(words, T.normalize_term))).alias("k")).where("k <> ''")
     by_token = tokens.join(terms, "k").select("doc_id", "item_id", "term")
     # a term with a hyphen also counts where the text holds it inside other words
-    dashed = terms.where(F.col("term").contains("-") & (F.col("k") != "")).select("item_id", "term")
-    inside = docs.select("doc_id", F.lower("text").alias("low")).join(dashed, F.col("low").contains(F.lower("term"))).select("doc_id", "item_id", "term")
+    dashed = terms.where(F.col("term").contains("-") & (F.col("k") != "")).select("item_id", "term", F.lower("term").alias("low"))
+    texts = docs.select("doc_id", F.lower("text").alias("text"))
+    held = substrings.containing(texts, dashed, stored, "doc_id", "text", "low")
+    inside = held.join(dashed, "low").select("doc_id", "item_id", "term")
     hits = by_token.unionByName(inside).distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("matched")).join(size, "item_id")
     found = hits.select("doc_id", "item_id", "matched", "considered", F.bround(100 * F.col("matched") / F.col("considered")).cast("int").alias("percent"))
     none = items.select("item_id").join(size, "item_id", "left_anti")
