@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import document_queries, layout_queries, package_queries, record_queries, relational, text_queries
+from . import document_queries, layout_queries, package_queries, record_queries, relational, stream_queries, text_queries
 
-MODULES = (text_queries, relational, document_queries, layout_queries, record_queries, package_queries)
+MODULES = (text_queries, relational, document_queries, layout_queries, record_queries, package_queries, stream_queries)
 
 
 def merged(*tables: dict) -> dict:
