@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import event_store
+from ..sources import event_store, package_source
 from ..sources.tables import scratch, table
 from ..streaming import progress, session_state
 from .record_queries import _FOLD, _KINDS, LEASE
@@ -69,3 +69,18 @@ def event_store_view(spark, sf_dir):
     event_store.append(events.where("event_type NOT IN ('view', 'click')"), folder, 1)
     event_store.append(events.where("event_type NOT IN ('view', 'click')"), folder, 1)  # a batch that is run again
     return event_store.folded(spark, folder, view, events.schema)
+
+
+@query("""SELECT doc_id, part, octet_length(encode(body)) AS size, sha256(body) AS digest FROM (
+  SELECT doc_id, 'text.txt' AS part, coalesce(text, '') AS body FROM documents
+  UNION ALL SELECT doc_id, 'about.xml', '<about lang="' || coalesce(lang, '') || '"/>' FROM documents) d""")
+def package_members(spark, sf_dir):
+    """Every document written as a package of three members by the sink, two of which are read again by the source."""
+    d = table(spark, sf_dir, "documents")
+    member = lambda n, part, body: F.struct(F.lit(n).alias("ord"), F.lit(part).alias("part"), F.coalesce(body, F.lit("")).cast("binary").alias("content"))
+    about = F.concat(F.lit('<about lang="'), F.coalesce("lang", F.lit("")), F.lit('"/>'))
+    parts = d.select(F.col("doc_id").cast("string").alias("path"), F.inline(F.array(member(0, "about.xml", about), member(1, "media/picture.bin", F.repeat("text", 3)), member(2, "text.txt", F.col("text")))))
+    folder = scratch(spark)
+    package_source.write(parts, folder)
+    found = package_source.members(spark, folder, ["text.txt"], [".xml"])
+    return found.select(F.col("path").cast("long").alias("doc_id"), "part", F.col("actual").alias("size"), F.sha2("content", 256).alias("digest"))
