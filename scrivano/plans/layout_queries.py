@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.diff import word_diff
 from ..operators import blocks as B
 from ..operators import edit_rules as R
-from ..operators import layout
+from ..operators import layout, raster
 from ..sources.tables import stored, table
 from .text_queries import GREEDY
 
@@ -183,3 +185,39 @@ def render_findings(spark, sf_dir):
     marked = plain.where(~((F.col("many") % 4 == 0) & (F.col("ord") == F.col("many") - 1)))
     marked = marked.withColumns({"x0": F.col("x0") + F.when(n % 23 == 21, 0.02).otherwise(0.005), "text": F.when(n % 29 == 27, F.concat("text", F.lit("x"))).otherwise(F.col("text"))})
     return layout.render_findings(plain, marked).select(F.col("case").alias("doc_id"), "code", "severity", "n")
+
+
+#: A text's bytes as levels of a page 64 pixels wide; where a place of ten by six begins with an o, all of it is other in the second version.
+_PIXELS = """h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, h || repeat('20', CAST((64 - (len(h) // 2) % 64) % 64 AS INTEGER)) AS h FROM h),
+l AS (SELECT doc_id, regexp_extract_all(h, '..') AS v FROM g),
+lead AS (SELECT doc_id, unnest(generate_series(0, len(v) // 64 - 1)) AS y, v FROM l),
+px AS (SELECT doc_id, y, x FROM (SELECT doc_id, y, unnest(range(0, 64)) AS x, v FROM lead) a WHERE v[(y // 6 * 6) * 64 + x // 10 * 10 + 1] = '6F'),
+block AS (SELECT a.doc_id, a.y, a.x FROM px a JOIN px b ON a.doc_id = b.doc_id AND b.y = a.y AND b.x = a.x + 1 JOIN px c ON a.doc_id = c.doc_id AND c.y = a.y + 1 AND c.x = a.x JOIN px d ON a.doc_id = d.doc_id AND d.y = a.y + 1 AND d.x = a.x + 1),
+m AS (SELECT DISTINCT doc_id, y + dy AS y, x + dx AS x FROM block, (SELECT unnest([0, 1]) AS dy) e, (SELECT unnest([0, 1]) AS dx) f),
+top AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.doc_id = m.doc_id AND (n.y = m.y - 1 AND n.x BETWEEN m.x - 1 AND m.x + 1 OR n.y = m.y AND n.x = m.x - 1))),
+r AS (SELECT doc_id, y, x, y * 64 + x AS root FROM top UNION SELECT m.doc_id, m.y, m.x, r.root FROM r JOIN m ON m.doc_id = r.doc_id AND m.y BETWEEN r.y - 1 AND r.y + 1 AND m.x BETWEEN r.x - 1 AND r.x + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_PIXELS}, own AS (SELECT doc_id, y, x, min(root) AS root FROM r GROUP BY doc_id, y, x), size AS (SELECT doc_id, root, count(*) AS n FROM own GROUP BY doc_id, root)
+SELECT doc_id, count(*) AS regions, CAST(sum(n) AS BIGINT) AS pixels FROM size WHERE n >= {raster.LEAST_AREA} GROUP BY doc_id""")
+def raster_regions(spark, sf_dir):
+    """Every text as the levels of a page, against a version changed in places; small changes of level do not count."""
+    kind = "case string, page int, width int, height int, before binary, after binary"
+
+    def drawn(frames):
+        for f in frames:
+            rows = []
+            for case, text in zip(f["case"], f["text"]):
+                raw = bytes(text)
+                v = np.frombuffer(raw + b" " * (-len(raw) % 64), np.uint8).reshape(-1, 64)
+                y, x = np.indices(v.shape)
+                other = np.where(v[y // 6 * 6, x // 10 * 10] == ord("o"), v + 100, np.where(v == ord("e"), v + 20, v)).astype(np.uint8)
+                rows.append((case, 0, 64, len(v), np.repeat(v, 3).tobytes(), np.repeat(other, 3).tobytes()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    none = lambda t: F.lit(None).cast(t)
+    pages = d.mapInPandas(drawn, kind).withColumns({"expected": none("array<struct<x0:int,y0:int,x1:int,y1:int>>"), "cut": none("int"), "start": none("int"), "shift": none("int")})
+    found = raster.regions(pages, tile=48, keep=stored)
+    return found.groupBy(F.col("case").cast("long").alias("doc_id")).agg(F.count("*").alias("regions"), F.sum("area").alias("pixels"))
