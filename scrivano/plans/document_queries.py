@@ -47,17 +47,30 @@ def upload_verdicts(spark, sf_dir):
     return upload_rules.verdicts(files).select(F.col("path").cast("long").alias("doc_id"), "code")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn = 3 THEN NULL ELSE 0 END AS pos, CASE WHEN turn = 3 THEN 'reply_invalid'
-  WHEN length(text) NOT BETWEEN 1 AND 600 OR turn > 5 THEN 'schema_invalid' END AS code FROM conversations""")
+_PROPOSAL = """SELECT conv_id, turn, {0} AS pos, concat_ws(';', CASE WHEN length(text) = 0 THEN 'proposals.{0}.original_text:string_too_short' WHEN length(text) > 600 THEN 'proposals.{0}.original_text:string_too_long' END,
+    CASE WHEN 2 * length(text) > 800 THEN 'proposals.{0}.proposed_text:string_too_long' END, CASE WHEN length(text) % 4 = 0 THEN 'proposals.{0}.edit_type:enum' END, {1}
+    CASE WHEN turn > 5 THEN 'proposals.{0}.confidence:less_than_equal' END, CASE WHEN length(text) % 7 = 0 THEN 'proposals.{0}.note:extra_forbidden' END) AS problems FROM conversations WHERE turn % 6 {2}"""
+
+
+@query(f"""SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, CASE WHEN pos IS NULL THEN 'reply_invalid' WHEN problems <> '' THEN 'schema_invalid' END AS code, problems FROM (
+  {_PROPOSAL.format(0, '', 'IN (0, 1, 2, 5)')} UNION ALL {_PROPOSAL.format(1, "'proposals.1.reason:missing',", '= 5')} UNION ALL SELECT conv_id, turn, NULL, '' FROM conversations WHERE turn % 6 = 3) r""")
 def reply_items(spark, sf_dir):
-    """Turns as replies with one proposal each, some fenced, some without JSON, some out of bounds."""
+    """Turns as replies with proposals: bare, fenced, amid prose with braces, without JSON, without proposals, and two of them."""
     c = table(spark, sf_dir, "conversations")
-    lit = F.lit
-    evidence = F.array(F.struct(lit("loc_1").alias("location_id"), lit("q").alias("quote")))
-    item = F.struct(lit("loc_1").alias("location_id"), F.col("text").alias("original_text"), lit("").alias("proposed_text"), lit("clarity").alias("edit_type"), lit("r").alias("reason"), evidence.alias("supporting_evidence"), (F.col("turn") / 5).alias("confidence"))
-    body = F.to_json(F.struct(F.array(item).alias("proposals")))
-    reply = F.when(F.col("turn") == 3, "I cannot.").when(F.col("turn") % 2 == 1, F.concat(lit("```json\n"), body, lit("\n```"))).otherwise(body)
-    return replies.items(c.select("conv_id", "turn", reply.alias("reply"))).select("conv_id", "turn", "pos", "code")
+    lit, n, kind = F.lit, F.length("text"), F.col("turn") % 6
+    evidence = F.array(F.struct(lit("loc_1").alias("location_id"), F.col("role").alias("quote")))
+    fields = {
+        "location_id": lit("loc_1"), "original_text": F.col("text"), "proposed_text": F.repeat("text", 2), "edit_type": F.when(n % 4 == 0, "other").otherwise("clarity"), "reason": lit("r"),
+        "supporting_evidence": evidence, "confidence": F.col("turn") / 5, "note": F.when(n % 7 == 0, "n"),
+    }
+    item = lambda *without: F.to_json(F.struct(*(c.alias(f) for f, c in fields.items() if f not in without)))
+    body = F.concat(lit('{"proposals": ['), item(), F.when(kind == 5, F.concat(lit(", "), item("reason"))).otherwise(""), lit("]}"))
+    reply = (
+        F.when(kind == 3, "I cannot {do} that.").when(kind == 4, "{}").when(kind == 1, F.concat(lit("<think>{}</think>```json\n"), body, lit("\n```")))
+        .when(kind == 2, F.concat(lit("Here it is: "), body, lit(" and {that} is all"))).otherwise(body)
+    )
+    told = F.array_join(F.transform("problems", lambda p: F.concat(p["path"], lit(":"), p["problem"])), ";")
+    return replies.items(c.select("conv_id", "turn", reply.alias("reply"))).select("conv_id", "turn", "pos", "code", told.alias("problems"))
 
 
 _FAULTY = """CASE ord % 9 WHEN 1 THEN proposed || chr(9) ELSE proposed END AS proposed, CASE ord % 9 WHEN 2 THEN length(text) WHEN 4 THEN -1 ELSE start END AS start,

@@ -81,6 +81,44 @@ def test_reply_items(spark, change, code):
     assert got == [(1, 0, code), (1, 1, None), (2, 0, code), (2, 1, None), (3, None, "reply_invalid")]
 
 
+def read(spark, *texts):
+    rows = replies.items(spark.createDataFrame(list(enumerate(texts)), "id int, reply string")).collect()
+    return {(r.id, r.pos): (r.code, [f"{p.path}: {p.problem}" for p in r.problems]) for r in rows}
+
+
+def test_replies_in_what_surrounds_them(spark):
+    """Prose and braces about the object, signs after it, texts with braces and quotes in it, and what is no reply."""
+    odd = ITEM | {"original_text": 'a } { "quoted\\" \n \U0001f600 \\\\'}
+    text = json.dumps({"alignment_summary": "", "proposals": [odd]})
+    good = [text, f"Here it is: {text} {{hope}} that", f"{text}<|im_end|>", f"```\n{text}\n```", f"``` {text} ```", f"<think>{{</think> a <think>}}</think>\n {text}", json.dumps({"proposals": [odd]}, ensure_ascii=False)]
+    assert read(spark, *good) == {(i, 0): (None, []) for i in range(len(good))}
+    bad = ["no JSON", "[1]", '{"proposals": 3}', '{"proposals": [] ', f"[{text}]", "{'proposals': []}", '{"a": } ' + text, None, "", "{"]
+    assert read(spark, *bad) == {(i, None): ("reply_invalid", []) for i in range(len(bad))}
+    assert read(spark, "{}", 'none: {"proposals": []} of them') == {}
+    long = json.dumps({"proposals": [ITEM | {"original_text": "\\n\"{" * 100} for _ in range(70)]})
+    assert list(read(spark, "so: " + long * 3)) == [(0, i) for i in range(replies.MOST)]
+
+
+def test_problems_by_path(spark):
+    batch = {
+        "gaps_without_evidence": ["g"],
+        "proposals": [
+            "text", {}, ITEM | {"reason": 4, "note": 1}, ITEM | {"supporting_evidence": [{"location_id": "l" * 41, "quote": ""}, 3, {"quote": "q", "more": 1}]}, ITEM | {"supporting_evidence": [{}] * 5},
+            ITEM | {"confidence": "0.5"}, ITEM | {"confidence": "x"}, ITEM | {"confidence": -1}, ITEM | {"confidence": []}, ITEM | {"edit_type": None, "original_text": None},
+        ],
+    }
+    got = {k[1]: v[1] for k, v in read(spark, json.dumps(batch)).items()}
+    at = lambda i, *told: [f"proposals.{i}.{t}" for t in told]
+    assert got == {
+        0: ["proposals.0: model_type"], 1: at(1, *(f"{f}: missing" for f in replies.FIELDS[:-1])), 2: at(2, "reason: string_type", "note: extra_forbidden"),
+        3: at(3, "supporting_evidence.0.location_id: string_too_long", "supporting_evidence.0.quote: string_too_short", "supporting_evidence.1: model_type", "supporting_evidence.2.location_id: missing", "supporting_evidence.2.more: extra_forbidden"),
+        4: at(4, "supporting_evidence: too_long"), 5: [], 6: at(6, "confidence: float_parsing"), 7: at(7, "confidence: greater_than_equal"), 8: at(8, "confidence: float_type"), 9: at(9, "original_text: string_type", "edit_type: enum"),
+    }
+    own = [{"alignment_summary": 3}, {"alignment_summary": "a" * 1501}, {"gaps_without_evidence": ["a", 1]}, {"gaps_without_evidence": ["a"] * 21}, {"more": 1, "proposals": [ITEM]}]
+    told = ["alignment_summary: string_type", "alignment_summary: string_too_long", "gaps_without_evidence.1: string_type", "gaps_without_evidence: too_long", "more: extra_forbidden"]
+    assert read(spark, *map(json.dumps, own)) == {(i, None): ("schema_invalid", [t]) for i, t in enumerate(told)}
+
+
 @pytest.fixture(scope="module")
 def stream_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("events"))
