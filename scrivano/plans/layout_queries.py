@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.diff import word_diff
 from ..operators import blocks as B
 from ..operators import edit_rules as R
-from ..operators import layout, raster
+from ..operators import calibration, layout, raster
 from ..sources.tables import stored, table
 from .text_queries import GREEDY
 
@@ -187,6 +187,31 @@ def render_findings(spark, sf_dir):
     return layout.render_findings(plain, marked).select(F.col("case").alias("doc_id"), "code", "severity", "n")
 
 
+def _pages(docs: DataFrame, places: dict[str, int], small: int) -> DataFrame:
+    """Texts' bytes as levels of pages 64 pixels wide, and a version of them: what lies in a place of ten by six that begins with one of
+    these letters is so much lighter, other letters e a little."""
+    kind = "case string, page int, width int, height int, before binary, after binary"
+    more = np.zeros(256, np.uint8)
+    for letter, by in places.items():
+        more[ord(letter)] = by
+
+    def drawn(frames):
+        for f in frames:
+            rows = []
+            for case, text in zip(f["case"], f["text"]):
+                raw = bytes(text)
+                v = np.frombuffer(raw + b" " * (-len(raw) % 64), np.uint8).reshape(-1, 64)
+                y, x = np.indices(v.shape)
+                lead = more[v[y // 6 * 6, x // 10 * 10]]
+                other = v + np.where(lead > 0, lead, np.where(v == ord("e"), small, 0)).astype(np.uint8)
+                rows.append((case, 0, 64, len(v), np.repeat(v, 3).tobytes(), np.repeat(other, 3).tobytes()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
+
+    d = docs.select(F.col("doc_id").cast("string").alias("case"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    none = lambda t: F.lit(None).cast(t)
+    return d.mapInPandas(drawn, kind).withColumns({"expected": none("array<struct<x0:int,y0:int,x1:int,y1:int>>"), "cut": none("int"), "start": none("int"), "shift": none("int")})
+
+
 #: A text's bytes as levels of a page 64 pixels wide; where a place of ten by six begins with an o, all of it is other in the second version.
 _PIXELS = """h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT doc_id, h || repeat('20', CAST((64 - (len(h) // 2) % 64) % 64 AS INTEGER)) AS h FROM h),
@@ -203,21 +228,58 @@ r AS (SELECT doc_id, y, x, y * 64 + x AS root FROM top UNION SELECT m.doc_id, m.
 SELECT doc_id, count(*) AS regions, CAST(sum(n) AS BIGINT) AS pixels FROM size WHERE n >= {raster.LEAST_AREA} GROUP BY doc_id""")
 def raster_regions(spark, sf_dir):
     """Every text as the levels of a page, against a version changed in places; small changes of level do not count."""
-    kind = "case string, page int, width int, height int, before binary, after binary"
-
-    def drawn(frames):
-        for f in frames:
-            rows = []
-            for case, text in zip(f["case"], f["text"]):
-                raw = bytes(text)
-                v = np.frombuffer(raw + b" " * (-len(raw) % 64), np.uint8).reshape(-1, 64)
-                y, x = np.indices(v.shape)
-                other = np.where(v[y // 6 * 6, x // 10 * 10] == ord("o"), v + 100, np.where(v == ord("e"), v + 20, v)).astype(np.uint8)
-                rows.append((case, 0, 64, len(v), np.repeat(v, 3).tobytes(), np.repeat(other, 3).tobytes()))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
-
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    none = lambda t: F.lit(None).cast(t)
-    pages = d.mapInPandas(drawn, kind).withColumns({"expected": none("array<struct<x0:int,y0:int,x1:int,y1:int>>"), "cut": none("int"), "start": none("int"), "shift": none("int")})
+    pages = _pages(table(spark, sf_dir, "documents"), {"o": 100}, 20)
     found = raster.regions(pages, tile=48, keep=stored)
     return found.groupBy(F.col("case").cast("long").alias("doc_id")).agg(F.count("*").alias("regions"), F.sum("area").alias("pixels"))
+
+
+_LEADS = {"o": 100, "a": 40, "i": 60}
+_LEAD = "CASE v[(y // 6 * 6) * 64 + x // 10 * 10 + 1] " + " ".join(f"WHEN '{ord(c):02X}' THEN {by}" for c, by in _LEADS.items()) + " END"
+#: As above, by level: the difference of a place's pixels, round the end of the scale where they pass it.
+_LEVELS = """h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, h || repeat('20', CAST((64 - (len(h) // 2) % 64) % 64 AS INTEGER)) AS h FROM h),
+l AS (SELECT doc_id, regexp_extract_all(h, '..') AS v FROM g),
+lead AS (SELECT doc_id, unnest(generate_series(0, len(v) // 64 - 1)) AS y, v FROM l),
+dp AS (SELECT doc_id, y, x, abs((c + b) % 256 - c) AS d FROM (SELECT doc_id, y, x, CAST('0x' || v[y * 64 + x + 1] AS INTEGER) AS c, {lead} AS b FROM (SELECT doc_id, y, unnest(range(0, 64)) AS x, v FROM lead) a) z WHERE b IS NOT NULL),
+px AS (SELECT k, doc_id, y, x FROM dp, (SELECT unnest({levels}) AS k) s WHERE d > k),
+block AS (SELECT a.k, a.doc_id, a.y, a.x FROM px a JOIN px b ON a.k = b.k AND a.doc_id = b.doc_id AND b.y = a.y AND b.x = a.x + 1 JOIN px c ON a.k = c.k AND a.doc_id = c.doc_id AND c.y = a.y + 1 AND c.x = a.x
+  JOIN px d ON a.k = d.k AND a.doc_id = d.doc_id AND d.y = a.y + 1 AND d.x = a.x + 1),
+m AS (SELECT DISTINCT k, doc_id, y + dy AS y, x + dx AS x FROM block, (SELECT unnest([0, 1]) AS dy) e, (SELECT unnest([0, 1]) AS dx) f),
+top AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.k = m.k AND n.doc_id = m.doc_id AND (n.y = m.y - 1 AND n.x BETWEEN m.x - 1 AND m.x + 1 OR n.y = m.y AND n.x = m.x - 1))),
+r AS (SELECT k, doc_id, y, x, y * 64 + x AS root FROM top UNION SELECT m.k, m.doc_id, m.y, m.x, r.root FROM r JOIN m ON m.k = r.k AND m.doc_id = r.doc_id AND m.y BETWEEN r.y - 1 AND r.y + 1 AND m.x BETWEEN r.x - 1 AND r.x + 1),
+own AS (SELECT k, doc_id, y, x, min(root) AS root FROM r GROUP BY k, doc_id, y, x), size AS (SELECT k, doc_id, root, count(*) AS n FROM own GROUP BY k, doc_id, root),
+largest AS (SELECT k, doc_id, max(n) AS n FROM size GROUP BY k, doc_id)""".format(lead=_LEAD, levels=[*calibration.LEVELS])
+
+
+@query(f"""WITH RECURSIVE {_LEVELS},
+w AS (SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS o, unnest(ws) AS w FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS ws FROM documents) t),
+put AS (SELECT doc_id, o, w, CASE WHEN doc_id % 5 = 0 AND length(w) % 9 = 8 THEN length(w) % 4 * 0.5 + 0.2 ELSE 0 END AS dx FROM w),
+gone AS (SELECT doc_id, min(o) AS first FROM put WHERE length(w) % 11 = 10 GROUP BY doc_id),
+moved AS (
+  SELECT z.doc_id, max(dx) FILTER (first IS NULL OR o < first) AS early, max(abs(dx - dx0)) AS wrapped FROM (SELECT *, first_value(dx) OVER (PARTITION BY doc_id, o // 10 ORDER BY o) AS dx0 FROM put WHERE length(w) % 11 <> 10) z
+  LEFT JOIN gone ON gone.doc_id = z.doc_id GROUP BY z.doc_id),
+cases AS (SELECT l.doc_id, quality = 0 OR toxic = 1 AS faulty, early, wrapped FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN moved ON moved.doc_id = l.doc_id),
+grid AS (SELECT * FROM (SELECT unnest({[*calibration.POSITIONS]}) AS position) p, (SELECT unnest({[*calibration.LEVELS]}) AS level) v, (SELECT unnest({[*calibration.AREAS]}) AS area) a),
+told AS (
+  SELECT position, level, area, faulty, coalesce(early > position, false) OR coalesce(wrapped > position, false) OR coalesce(n >= area, false) AS flagged
+  FROM cases CROSS JOIN grid LEFT JOIN largest ON largest.doc_id = cases.doc_id AND k = level)
+SELECT CAST(position AS DOUBLE) AS position, level, area, count(*) FILTER (faulty AND flagged) AS tp, count(*) FILTER (faulty AND NOT flagged) AS fn, count(*) FILTER (NOT faulty AND flagged) AS fp, count(*) FILTER (NOT faulty AND NOT flagged) AS tn
+FROM told GROUP BY position, level, area""")
+def calibration_grid(spark, sf_dir):
+    """Labelled documents as cases: words a little out of place, regions of other levels; what each of 27 settings catches."""
+    d = table(spark, sf_dir, "documents")
+    w = d.select(F.col("doc_id").alias("case"), F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("ord", "text")).withColumn("marked", F.length("text") % 11 == 10)
+    before = _set(w, F.lit("f"), F.lit("k"))
+    n = F.length("text")
+    after = before.withColumn("x0", F.col("x0") + F.when((F.col("case") % 5 == 0) & (n % 9 == 8), n % 4 * 0.5 + 0.2).otherwise(0))
+    found = layout.aligned(before, after, stored)
+    cases = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("faulty"), F.lit(False).alias("fixed"))
+    cases = cases.join(calibration.deviations(found, layout.first_marked(before)), "case", "left").withColumn("still", F.lit(None).cast("double"))
+    pages = _pages(d, _LEADS, 20)
+    sizes = None
+    for level in calibration.LEVELS:
+        own = raster.regions(pages, tile=48, level=level, least=1, keep=stored).groupBy(F.col("case").cast("long").alias("case")).agg(F.max("area").alias("area")).withColumn("level", F.lit(level))
+        sizes = own if sizes is None else sizes.unionByName(own)
+    # nothing reflows here, so that every tolerance sees the same pixels
+    areas = sizes.select("case", F.explode(F.array(*map(F.lit, calibration.POSITIONS))).alias("position"), "level", "area")
+    return calibration.sweep(cases, areas).select("position", "level", "area", "tp", "fn", "fp", "tn")
