@@ -151,3 +151,13 @@ def session_view(sessions: DataFrame, proposals: DataFrame, events: DataFrame, f
     for t in (n(proposals, "proposals"), n(events, "events"), n(artifacts, "artifacts"), latest):
         out = out.join(t, "session_id", "left")
     return out.na.fill(0, ["proposals", "events", "artifacts", "finalizations"])
+
+
+def edit_specs(wanted: DataFrame, proposals: DataFrame) -> DataFrame:
+    """session_id, n, edit_id, location_id, start, end, original_text, new_text of wanted edits (session_id, n, edit_id); an edit that its
+    session does not have ends the query with an error that names it."""
+    own = proposals.select("session_id", "edit_id", "location_id", "start", "end", F.col("original").alias("original_text"), F.col("proposed").alias("new_text"), F.lit(True).alias("known"))
+    both = wanted.select("session_id", "n", "edit_id").join(own, ["session_id", "edit_id"], "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown edit "), F.coalesce(F.col("edit_id").cast("string"), F.lit("null"))))
+    sure = F.when(F.col("known"), F.col("location_id")).otherwise(unknown.cast("string"))
+    return both.select("session_id", "n", "edit_id", sure.alias("location_id"), "start", "end", "original_text", "new_text")

@@ -197,12 +197,16 @@ def located_blocks(spark, sf_dir):
     return found.select("doc_id", "locator", "n")
 
 
-@query(f"""WITH terms AS (SELECT item_id, term, regexp_replace(lower(term), '[^a-z0-9+#]', '', 'g') AS k FROM ({ORACLE_SQL["salient_terms"]}) s),
+_HITS = f"""WITH ranked AS ({ORACLE_SQL["salient_terms"]}),
+  terms AS (SELECT item_id, term, regexp_replace(lower(term), '[^a-z0-9+#]', '', 'g') AS k FROM ranked),
   size AS (SELECT item_id, count(*) AS n FROM terms GROUP BY item_id),
   tokens AS (SELECT DISTINCT doc_id, regexp_replace(lower(w), '[^a-z0-9+#]', '', 'g') AS k FROM (
     SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{T.WORD}')) FROM documents) x),
   hit AS (SELECT t.doc_id, item_id, term FROM tokens t JOIN terms ON t.k = terms.k WHERE t.k <> ''
-    UNION SELECT doc_id, item_id, term FROM documents JOIN terms ON contains(term, '-') AND k <> '' AND contains(lower(text), lower(term)))
+    UNION SELECT doc_id, item_id, term FROM documents JOIN terms ON contains(term, '-') AND k <> '' AND contains(lower(text), lower(term)))"""
+
+
+@query(f"""{_HITS}
   SELECT doc_id, hit.item_id, count(*) AS matched, max(n) AS considered, CAST(round_even(100.0 * count(*) / max(n), 0) AS INTEGER) AS percent
   FROM hit JOIN size ON size.item_id = hit.item_id GROUP BY doc_id, hit.item_id
   UNION ALL SELECT NULL, item_id, 0, 0, NULL FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM size)""")
@@ -212,18 +216,38 @@ def coverage_estimate(spark, sf_dir):
     A pair that is absent is at 0 percent; an item without terms is one row without document and percent.
     """
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    terms = salient.salient_terms(items, "item_id").select("item_id", "term", T.normalize_term(F.col("term")).alias("k"))
+    terms, hits = _coverage(items, docs)
     size = terms.groupBy("item_id").agg(F.count("*").alias("considered"))
+    hits = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched")).join(size, "item_id")
+    found = hits.select("doc_id", "item_id", "matched", "considered", F.bround(100 * F.col("matched") / F.col("considered")).cast("int").alias("percent"))
+    none = items.select("item_id").join(size, "item_id", "left_anti")
+    zero = F.lit(0).cast("long")
+    return found.unionByName(none.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", zero.alias("matched"), zero.alias("considered"), F.lit(None).cast("int").alias("percent")))
+
+
+def _coverage(items, docs):
+    """(terms: item_id, rank, term, k; hits: doc_id, item_id, term): which of an item's terms a document holds."""
+    terms = stored(salient.salient_terms(items, "item_id").select("item_id", "rank", "term", T.normalize_term(F.col("term")).alias("k")))
     words = F.concat(T.every(F.col("text"), "[^ \\t\\n\\r]+"), T.every(F.col("text"), T.WORD))
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.transform(words, T.normalize_term))).alias("k")).where("k <> ''")
     by_token = tokens.join(terms, "k").select("doc_id", "item_id", "term")
     # a term with a hyphen also counts where the text holds it inside other words
     dashed = terms.where(F.col("term").contains("-") & (F.col("k") != "")).select("item_id", "term", F.lower("term").alias("low"))
     texts = docs.select("doc_id", F.lower("text").alias("text"))
-    held = substrings.containing(texts, dashed, stored, "doc_id", "text", "low")
-    inside = held.join(dashed, "low").select("doc_id", "item_id", "term")
-    hits = by_token.unionByName(inside).distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("matched")).join(size, "item_id")
-    found = hits.select("doc_id", "item_id", "matched", "considered", F.bround(100 * F.col("matched") / F.col("considered")).cast("int").alias("percent"))
-    none = items.select("item_id").join(size, "item_id", "left_anti")
-    zero = F.lit(0).cast("long")
-    return found.unionByName(none.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", zero.alias("matched"), zero.alias("considered"), F.lit(None).cast("int").alias("percent")))
+    inside = substrings.containing(texts, dashed, stored, "doc_id", "text", "low").join(dashed, "low").select("doc_id", "item_id", "term")
+    return terms, by_token.unionByName(inside).distinct()
+
+
+@query(f"""{_HITS}, pair AS (SELECT DISTINCT doc_id, item_id FROM hit)
+  SELECT pair.doc_id, pair.item_id, coalesce(string_agg(r.term, '|' ORDER BY r.rank) FILTER (h.term IS NOT NULL), '') AS matched_terms, coalesce(string_agg(r.term, '|' ORDER BY r.rank) FILTER (h.term IS NULL), '') AS missing_terms
+  FROM pair JOIN ranked r ON r.item_id = pair.item_id LEFT JOIN (SELECT DISTINCT * FROM hit) h ON h.doc_id = pair.doc_id AND h.item_id = pair.item_id AND h.term = r.term GROUP BY pair.doc_id, pair.item_id""")
+def coverage_terms(spark, sf_dir):
+    """The terms of an item that a document holds and those that it lacks, in the item's order; of a pair that is absent all are missing.
+
+    An item's terms are at most salient.LIMIT, and a document meets them as one array, not row by row.
+    """
+    terms, hits = _coverage(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    listed = terms.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("terms"))
+    held = hits.groupBy("doc_id", "item_id").agg(F.collect_set("term").alias("held")).join(listed, "item_id")
+    of = lambda there: F.array_join(F.transform(F.filter("terms", lambda t: F.array_contains("held", t["term"]) == there), lambda t: t["term"]), "|")
+    return held.select("doc_id", "item_id", of(True).alias("matched_terms"), of(False).alias("missing_terms"))

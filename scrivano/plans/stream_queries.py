@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
+from ..operators import edit_rules as R
+from ..operators import observed, sessions, upload_rules
 from ..sources import event_store, package_source
-from ..sources.tables import scratch, table
+from ..sources.tables import scratch, stored, table
 from ..streaming import progress, session_state
 from .record_queries import _FOLD, _KINDS, LEASE
+from .text_queries import GREEDY
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -84,3 +88,41 @@ def package_members(spark, sf_dir):
     package_source.write(parts, folder)
     found = package_source.members(spark, folder, ["text.txt"], [".xml"])
     return found.select(F.col("path").cast("long").alias("doc_id"), "part", F.col("actual").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+@query(f"""WITH {GREEDY} SELECT step, what, CAST(value AS BIGINT) AS value FROM (
+  SELECT 'read' AS step, 'rows' AS what, count(*) AS value FROM documents UNION ALL SELECT 'read', 'characters', sum(length(text)) FROM documents
+  UNION ALL SELECT 'blocks', 'rows', count(*) FROM blocks UNION ALL SELECT 'blocks', 'editable', count(*) FILTER (trim(text) <> '') FROM blocks
+  UNION ALL SELECT 'edits', 'rows', count(*) FROM edits UNION ALL SELECT 'taken', 'rows', count(*) FROM taken) x""")
+def observed_counts(spark, sf_dir):
+    """What passes each step from documents to edits taken, counted while the one action runs that stores them."""
+    told = []
+    steps = observed.Steps(lambda name, counts: told.append((name, counts)))
+    d = steps.step(table(spark, sf_dir, "documents"), "read", characters=F.sum(F.length("text")))
+    b = steps.step(B.blocks(d), "blocks", editable=F.count_if("editable"))
+    taken = steps.step(R.greedy(steps.step(B.edits(b), "edits")), "taken")
+    stored(taken)
+    steps.done()
+    return observed.as_table(spark, told)
+
+
+@query("""SELECT o_custkey AS session_id, o_orderkey AS n, o_orderkey AS edit_id, 'loc_' || o_orderpriority AS location_id, o_orderstatus AS original_text, upper(o_orderpriority) AS new_text FROM orders WHERE o_orderstatus <> 'F'""")
+def edit_specs(spark, sf_dir):
+    """Accepted edits of each session with what their proposals say; one that no proposal has would end the query."""
+    o = table(spark, sf_dir, "orders")
+    own = [F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("edit_id")]
+    proposals = o.select(*own, F.concat(F.lit("loc_"), "o_orderpriority").alias("location_id"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.col("o_orderstatus").alias("original"), F.upper("o_orderpriority").alias("proposed"))
+    wanted = o.where("o_orderstatus <> 'F'").select(*own, F.col("o_orderkey").alias("n"))
+    return sessions.edit_specs(wanted, proposals).select("session_id", "n", "edit_id", "location_id", "original_text", "new_text")
+
+
+@query("""WITH f AS (SELECT doc_id, text AS job, string_split(text, chr(10)) AS ls FROM documents),
+g AS (SELECT doc_id, CASE WHEN trim(coalesce(job, '')) = '' THEN 'job_description' WHEN length(job) > 20000 THEN 'job_description' WHEN length(ls[1]) > 300 THEN 'company_details' WHEN length(ls[len(ls)]) > 200 THEN 'candidate_notes' END AS field,
+  length(job) > 20000 AS long FROM f)
+SELECT doc_id, 'input_too_long' AS code, field, CASE field WHEN 'job_description' THEN CASE WHEN long THEN 20000 END WHEN 'company_details' THEN 300 ELSE 200 END AS "limit" FROM g WHERE field IS NOT NULL""")
+def input_faults(spark, sf_dir):
+    """Documents as the texts that come with an upload: the whole text, its first and its last line, against limits."""
+    lines = F.split("text", "\n", -1)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("job_description"), F.get(lines, F.lit(0)).alias("company_details"), F.element_at(lines, -1).alias("candidate_notes"))
+    fault = upload_rules.input_fault({"job_description": 20_000, "company_details": 300, "candidate_notes": 200})
+    return d.select("doc_id", fault.alias("f")).where("f IS NOT NULL").select("doc_id", "f.*")
