@@ -14,7 +14,8 @@ can prune by.  So the search has three steps, each of which compares only what n
    family of copies that were changed apart, the one that was changed least.  Hubs cost a row a shingle
    shown, whatever the family's size, and join the family.
 3. The rest: pairs of texts that still are apart and show one shingle, unless sizes, the shingle's places or
-   the sets' parities rule 0.8 out.  No pair is lost, whatever the order is.
+   the sets' parities rule 0.8 out.  The shingle's largest group does not meet itself.  No pair is lost,
+   whatever the order is.
 
 All pairs found are held against whole sets before they link.
 
@@ -41,6 +42,8 @@ SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 BUCKET_BITS = 17
+#: A bucket with more than this share of all shingles holds one that very many texts have: its rows are salted.
+HOT_SHARE, SALTS = 1024, 16
 #: Words of 64 bits that a set's parities take.
 PARITIES = 8
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -112,6 +115,8 @@ def _nodes(batches):
 
 
 def _prefixes(counts: np.ndarray, least: tuple[int, int]):
+    hot = counts > max(counts.sum() // HOT_SHARE, 1)
+
     def run(batches):
         seen = set()  # names only, of one task's texts
         for b in batches:
@@ -125,13 +130,17 @@ def _prefixes(counts: np.ndarray, least: tuple[int, int]):
                     parts.append((name, len(g), first))
             if parts:
                 sizes = [len(p[2]) for p in parts]
+                grams = np.concatenate([p[2] for p in parts])
+                names = np.repeat(np.array([p[0] for p in parts], np.int64), sizes)
+                salts = np.where(hot[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], 1 + names % SALTS, 0).astype(np.int32)
                 columns = (
-                    np.repeat(np.array([p[0] for p in parts], np.int64), sizes),
+                    names,
                     np.repeat(np.array([p[1] for p in parts], np.int32), sizes),
                     np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
-                    np.concatenate([p[2] for p in parts]).view("<i8"),
+                    grams.view("<i8"),
+                    salts,
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n", "at", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n", "at", "gram", "salt"])
 
     return run
 
@@ -152,19 +161,28 @@ def _compared(least: tuple[int, int]):
     return run
 
 
-def shows(raw: DataFrame, buckets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """gram, node, n, at, hub: each shingle that the texts in column raw show, with its place, of those that two texts show.
+def shows(raw: DataFrame, buckets: DataFrame, least: tuple[int, int] = LEAST) -> tuple[DataFrame, list[DataFrame]]:
+    """gram, node, n, at, hub: each shingle that the texts in column raw show, with its place, of those that two texts show; and
+    the tables to discard after it.
 
-    hub (at, node, n) is the text that shows it first.  One shuffle deals out all that is shown; little of it stays.
+    hub (at, node, n) is the text that shows it first.  One shuffle deals out all that is shown; little of it stays.  Rows of a
+    shingle that very many texts have are dealt out by salts, whose ends meet in a few rows before they go back to them.
     """
     rows = buckets.groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most 2^17
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in rows:
         counts[r["bucket"]] = r["n"]
-    every = raw.mapInArrow(_prefixes(counts, least), "node long, n int, at int, gram long")
-    same = Window.partitionBy("gram")
+    every = raw.mapInArrow(_prefixes(counts, least), "node long, n int, at int, gram long, salt int")
+    same = Window.partitionBy("gram", "salt")
     marked = every.select("*", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"), F.min(F.struct("at", "node", "n")).over(same).alias("hub"))
-    return written(marked.where("low <> high").select("gram", "node", "n", "at", "hub").distinct())
+    kept = written(marked.where("salt > 0 OR low <> high").distinct())
+    names = ("gram", "node", "n", "at", "hub")
+    salted = kept.where("salt > 0")
+    ends = salted.groupBy("gram", "salt").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("hub").alias("hub"))
+    whole = ends.groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("hub").alias("hub")).where("low <> high")
+    back = ends.select("gram", "salt").join(whole.select("gram", "hub").hint("merge"), "gram")
+    hot = written(salted.drop("hub").join(back.hint("merge"), ["gram", "salt"]).select(*names))
+    return kept.where("salt = 0").select(*names).unionByName(hot), [kept, hot]
 
 
 def _alike(least: tuple[int, int]):
@@ -193,27 +211,41 @@ def hubs(held: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     return both.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
 
 
+#: Sizes of sets that may be at least num/den alike differ by one step of this scale at most; the scale is a little wider than that.
+def _step(n: str, least: tuple[int, int]):
+    return F.floor(F.log(F.col(n)) / (np.log(least[1] / least[0]) * (1 + 1e-9))).cast("int")
+
+
 def apart(held: DataFrame, found: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Pairs (a, b), a < b, all at the similarity asked for among them, that the components found (node, root) do not join.  nodes: node, parity."""
+    """Pairs (a, b), a < b, all at the similarity asked for among them, that the components found (node, root) do not join.  nodes: node, parity.
+
+    Of a shingle's rows those of its largest component do not meet each other: the rest meet all, by sizes that may be alike.
+    """
     rooted = held.drop("hub").join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    sizes = rooted.groupBy("gram", "root").agg(F.count("*").alias("rows"))
+    several = sizes.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("rows", "root")).alias("most")).where("low <> high")
+    several = several.select("gram", F.col("most.root").alias("largest"))
     odd = nodes.groupBy("node").agg(F.first("parity").alias("parity"))  # one set, one parity
     rooted = rooted.join(several.hint("merge"), "gram").join(odd.hint("merge"), "node")
-    rooted = written(rooted.select(*held.drop("hub").columns, "root", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITIES))))
-    a, b = _sided(rooted, "a"), _sided(rooted, "b")
-    both = a.hint("merge").join(b, "gram").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _possible(least) & _alike(least))
-    out = written(both.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
+    rooted = rooted.withColumns({"outer": F.col("root") != F.col("largest"), "step": _step("n", least)})
+    rooted = written(rooted.select(*held.drop("hub").columns, "root", "outer", "step", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITIES))))
+    a, b = _sided(rooted.where("outer"), "a"), _sided(rooted, "b")
+    near = a.withColumn("bstep", F.explode(F.array(*(F.col("astep") + k for k in (-1, 0, 1)))))
+    once = ~F.col("bouter") | (F.col("anode") < F.col("bnode"))
+    both = near.hint("merge").join(b, ["gram", "bstep"]).where(once & (F.col("aroot") != F.col("broot")) & _possible(least) & _alike(least))
+    out = written(both.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct())
     discard(rooted)
     return out
 
 
 def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text_col: str, least: tuple[int, int] = LEAST) -> DataFrame:
     """Pairs (a, b) of similar nodes that reach what all such pairs reach.  nodes: id, k, node, fp, parity of df's rows; buckets: counts of their shingles."""
-    held = shows(df.select(as_bytes(column(text_col)).alias("raw")), buckets, least)
-    of_print = nodes.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    held, tables = shows(df.select(as_bytes(column(text_col)).alias("raw")), buckets, least)
+    prints = nodes.select("fp", "node").distinct()  # copies are one row before a fingerprint's rows meet
+    of_print = prints.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     near = simhash.links(of_print.select("fp"))
     ends = near.join(of_print.select(F.col("fp").alias("a"), F.col("low").alias("x")).hint("merge"), "a").join(of_print.select(F.col("fp").alias("b"), F.col("low").alias("y")).hint("merge"), "b").select("x", "y")
-    alike = nodes.join(of_print.where("low <> high").hint("merge"), "fp").where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct()
+    alike = prints.join(of_print.where("low <> high").hint("merge"), "fp").where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y"))
     by_print = ends.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     early = written(by_print.unionByName(hubs(held, least)).distinct())
 
@@ -237,7 +269,7 @@ def links(df: DataFrame, nodes: DataFrame, buckets: DataFrame, id_col: str, text
     reached = written(components(first))
     rest = apart(held, reached, nodes, least)
     more = compared(rest)
-    for t in (held, early, whole, reached, rest):
+    for t in (*tables, early, whole, reached, rest):
         discard(t)
     return first.unionByName(more)
 

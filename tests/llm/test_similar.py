@@ -77,3 +77,53 @@ def test_parities_differ_in_no_more_bits_than_sets():
             bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(similar.parity(a), similar.parity(b), strict=True))
             assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (bits > 0 or cuts == 0 or n > 300)
     assert similar.parity(similar.shingles(b"")) == [0] * similar.PARITIES
+
+
+def tables(spark, texts, least=similar.LEAST):
+    """What shows() and apart() are given: raw texts, nodes with parities, counts of buckets."""
+    from scrivano.llm.common import written
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    raw = df.selectExpr("id", "0L AS k", "cast(text AS binary) AS raw")
+    both = written(raw.mapInArrow(similar._nodes, "id long, k long, node long, fp long, parity array<long>, bucket int, n long"))
+    return raw.select("raw"), both.where("bucket IS NULL"), both.where("bucket IS NOT NULL").select("bucket", "n")
+
+
+def test_hubs_of_hot_shingles(spark, monkeypatch):
+    """Salted or not, the same shingles with the same hubs."""
+    base = [f"w{i}" for i in range(20)]
+    texts = [" ".join([*base[:3], f"a{i % 5}", *base[4:15], f"b{i // 5}", *base[16:]]) for i in range(60)] + ["one shingle of five"] * 3
+    got = []
+    for share in (1, 256):
+        monkeypatch.setattr(similar, "HOT_SHARE", share)
+        raw, _, buckets = tables(spark, texts)
+        held, kept = similar.shows(raw, buckets)
+        assert (kept[0].where("salt > 0").count() > 0) == (share > 1)
+        got.append(sorted((r.gram, r.node, r.n, r.at, tuple(r.hub)) for r in held.collect()))
+    assert got[0] == got[1] and got[0]
+
+
+def apart(spark, texts, found):
+    raw, nodes, buckets = tables(spark, texts)
+    held, _ = similar.shows(raw, buckets)
+    return {tuple(r) for r in similar.apart(held, found, nodes.select("node", "parity")).collect()}
+
+
+def test_a_family_does_not_meet_itself(spark):
+    """All of one component but one text apart: the pairs are of that text alone, and no pair is lost."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:50], f"x{i}", *base[51:]]) for i in range(40)]
+    names = [similar.node(similar.shingles(t.encode())) for t in texts]
+    lone = names[-1]
+    joined = spark.createDataFrame([(n, min(names[:-1])) for n in names[:-1]], "node long, root long")
+    assert apart(spark, texts, joined) == {(min(n, lone), max(n, lone)) for n in names[:-1]}
+    # nothing joined yet: all pairs
+    assert apart(spark, texts, spark.createDataFrame([], "node long, root long")) == {(min(a, b), max(a, b)) for i, a in enumerate(names) for b in names[:i]}
+
+
+def test_sizes_that_may_be_alike_are_one_step_apart(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(a, b) for a in range(1, 400) for b in range(a, min(a * 5 // 4, 500) + 1) if 5 * a >= 4 * b]
+    d = spark.createDataFrame(rows, "a int, b int").select((similar._step("b", similar.LEAST) - similar._step("a", similar.LEAST)).alias("d"))
+    assert d.agg(F.max("d"), F.min("d")).first() == (1, 0)
