@@ -1,7 +1,7 @@
 """Public texts of licences, statements and headers, by licence name, as templates.
 
 Whole texts stand here for the short licences; of the long ones the notice that their authors ask to put at
-the head of each file, and the opening that names the document.
+the head of each file, and in OPENINGS the first sentences of the document, which name it and its version.
 """
 
 _DISCLAIMER = (
@@ -115,3 +115,32 @@ TEMPLATES = (
     ("Unlicense", f"{_UNLICENSE} {_DISCLAIMER}"),
     ("Zlib", _ZLIB),
 )
+
+
+_FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_BOSTON = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_CC = (
+    "Creative Commons Corporation (Creative Commons) is not a law firm and does not provide legal services or legal advice. Distribution of Creative Commons public licenses does not "
+    "create a lawyer-client or other relationship. Creative Commons makes its licenses and related information available on an as-is basis."
+)
+
+#: What whole licence files begin with.
+OPENINGS = (
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF} Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. Licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    ("Artistic-1.0", "The Artistic License Preamble The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications."),
+    ("CC-BY-4.0", f"Attribution 4.0 International {_CC}"),
+    ("CC-BY-NC-4.0", f"Attribution-NonCommercial 4.0 International {_CC}"),
+    ("CC-BY-SA-4.0", f"Attribution-ShareAlike 4.0 International {_CC}"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN AS-IS BASIS. CREATIVE COMMONS MAKES NO WARRANTIES REGARDING THE USE OF THIS DOCUMENT"),
+    ("GFDL-1.2", f"GNU Free Documentation License Version 1.2, November 2002 Copyright (C) 2000,2001,2002 Free Software Foundation, Inc. {_BOSTON} {_FSF} 0. PREAMBLE The purpose of this License is to make"),
+    ("GFDL-1.3", f"GNU Free Documentation License Version 1.3, 3 November 2008 Copyright (C) 2000, 2001, 2002, 2007, 2008 Free Software Foundation, Inc. <https://fsf.org/> {_FSF} 0. PREAMBLE The purpose of this License is to make a manual, textbook, or other functional"),
+    ("GPL-1.0", f"GNU GENERAL PUBLIC LICENSE Version 1, February 1989 Copyright (C) 1989 Free Software Foundation, Inc. {_BOSTON} {_FSF} Preamble The license agreements of most software companies try"),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., {_BOSTON} {_FSF} Preamble The licenses for most software are designed to take"),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses"),
+    ("LGPL-2.0", f"GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1991 Free Software Foundation, Inc. {_BOSTON} {_FSF} [This is the first released version of the library GPL. It is numbered"),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_BOSTON} {_FSF} [This is the first released version of the Lesser GPL."),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions. 1.0.1. Commercial Use means distribution or otherwise making the Covered Code available to a third party. 1.1. Contributor means each entity that creates or contributes to the creation of Modifications. 1.2. Contributor Version means the combination of the Original Code, prior Modifications used by a Contributor"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. Contributor Version means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution."),
+)

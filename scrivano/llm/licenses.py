@@ -3,15 +3,21 @@
 Units.  Of each text these are compared with the templates: every line, every paragraph of several lines,
 the header (the comment lines it begins with), and the whole text, as licence files are.  A line without
 letters or figures ends a paragraph; marks of comments are no terms.  So a notice may be one sentence,
-wrapped, or a file.
+wrapped, or a file.  The opening, a text's first OPENING terms however it is wrapped, is compared with the
+openings of whole licences: those that are too long to be a template are known by what they begin with, and
+their versions by the terms that only one of them has.
+
+What says most decides: the opening, then the whole text, then paragraphs and the header, then lines; last
+comes a mere reservation of rights, which stands in most other licences too.  Of one rank the best score wins.
 
 Vectors.  A unit's vector has the templates' terms alone, counted, by their inverse frequency among the
 templates.  Terms of no template count in another way: a unit must hold at least SHARE of its terms, and
 two of them, from the templates; a text as a whole FILE_SHARE.  So a verdict rests on the text and the templates, not on how large the
-corpus is.  The best unit decides a file's own licence.  A text none of whose terms could give any template
+corpus is.  A text none of whose terms could give any template
 the least cosine (Cauchy-Schwarz, over all its known terms) is not cut into units; it has no such unit.
 
-A licence file is one that as a whole is a template's text, or that is named so.  A directory has the
+A licence file is one that as a whole is a template's text, that opens as one, or that is named so; a mere reservation
+of rights makes none.  A directory has the
 licence that most of its licence files have.  A file without one inherits that of the nearest directory
 above it: each directory is joined by path with its ancestors, then files with their directory; both joins
 are salted, as the top directory is above all others, and one directory may hold a third of all files.
@@ -31,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, let, written
-from .licence_texts import TEMPLATES
+from .licence_texts import OPENINGS, TEMPLATES
 
 #: Words without weight.
 COMMON = tuple("the a an of and or to in is this that are for with by be under on as it at you not any".split())
@@ -44,6 +50,10 @@ LEAST = 0.75
 SHARE = 0.5
 FILE_SHARE = 0.8
 KNOWN = 2
+#: Terms of an opening, and the parts of a text among which they are looked for.
+OPENING, PARTS = 40, 120
+#: Fixed value: the template that reserves rights and grants none.
+RESERVED = "Proprietary"
 SALTS = 16
 SEPARATORS = "[^a-z0-9.+-]+"
 
@@ -67,15 +77,28 @@ def terms(text: Column) -> Column:
     return F.filter(parts, lambda t: (t != "") & ~t.isin(*COMMON))
 
 
+def opening(text: Column) -> Column:
+    """The first OPENING terms among a text's first PARTS parts."""
+    parts = F.slice(F.split(F.lower(text), SEPARATORS, PARTS + 1), 1, PARTS)
+    trimmed = F.transform(parts, lambda t: F.btrim(t, F.lit(".+-")))
+    return F.slice(F.filter(trimmed, lambda t: (t != "") & ~t.isin(*COMMON)), 1, OPENING)
+
+
+#: Ranks of units, the one that says most last.
+RESERVE, LINE, BLOCK, WHOLE, OPENED = range(5)
+
+
 def units(text: Column) -> Column:
-    """Array of the lines, paragraphs of several lines and header of a text."""
+    """Array of struct(text, rank): the lines, paragraphs of several lines and header of a text."""
 
     def of(lines: Column) -> Column:
         solid = F.transform(lines, lambda l: F.when(l.rlike(SOLID), l).otherwise(""))
         paragraphs = F.filter(F.split(F.array_join(solid, "\n"), "\n\n+"), lambda p: p.contains("\n"))
         prose = F.array_position(F.transform(lines, lambda l: l.rlike(COMMENT) | ~l.rlike(SOLID)), False)
         header = F.array_join(F.slice(lines, F.lit(1), F.when(prose > 0, prose - 1).otherwise(F.size(lines)).cast("int")), "\n")
-        return F.concat(F.filter(lines, lambda l: l.rlike(SOLID)), paragraphs, F.array(header))
+        ranked = lambda texts, rank: F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(rank).alias("rank")))
+        head = F.array(F.struct(header.alias("text"), F.when(header.contains("\n"), BLOCK).otherwise(LINE).alias("rank")))
+        return F.concat(ranked(F.filter(lines, lambda l: l.rlike(SOLID)), LINE), ranked(paragraphs, BLOCK), head)
 
     return let(F.split(text, "\n", -1), of)
 
@@ -101,8 +124,14 @@ class Scorer:
         length = lambda r: F.transform(F.sequence(F.lit(0), F.lit(len(self.names) - 1)), lambda k: F.aggregate(r, F.lit(0.0), lambda a, x: a + F.get(x, k) * F.get(x, k)))
         return let(rows, lambda r: (F.size(r) >= KNOWN) & (F.coalesce(F.array_max(length(r)), F.lit(0.0)) >= LEAST * LEAST * (1 - 1e-9)))
 
+    def ranked(self, best: Column, rank: Column | int) -> Column:
+        """struct(rank, score, k, name) of what best() gives; a reservation of rights has the lowest rank."""
+        name = F.get(F.array(*map(F.lit, self.names)), -best["k"])
+        rank = F.lit(rank) if isinstance(rank, int) else rank
+        return F.when(best.isNotNull(), F.struct(F.when(name == RESERVED, RESERVE).otherwise(rank).alias("rank"), best["score"].alias("score"), best["k"].alias("k"), name.alias("name")))
+
     def best(self, unit: Column, share: float = SHARE) -> Column:
-        """struct(score, k) of the template most like a unit, k negative so that the first one wins a tie; null below LEAST."""
+        """struct(score, k) of the template most like a unit's terms, k negative so that the first one wins a tie; null below LEAST."""
         last = F.lit(len(self.names))
 
         def counted(s: Column) -> Column:
@@ -120,19 +149,22 @@ class Scorer:
             found = lambda k: F.when((F.size(k) > 0) & (F.size(k) >= share * F.size(t)), let(F.array_sort(k), lambda s: let(counted(s), cosine)))
             return let(self.known(t), found)
 
-        return let(terms(unit), judged)
+        return let(unit, judged)
 
 
-def own(df: DataFrame, path: Column, text_col: str, keep: list[str], templates=TEMPLATES) -> DataFrame:
+def own(df: DataFrame, path: Column, text_col: str, keep: list[str], templates=TEMPLATES, openings=OPENINGS) -> DataFrame:
     """keep, _path, licence, score and is_file of each row: one projection."""
-    text, scorer = F.coalesce(column(text_col), F.lit("")), Scorer(templates)
-    none = F.lit(None).cast("struct<score:double,k:int>")
-    found = F.when(scorer.possible(text), F.struct(F.array_max(F.transform(units(text), lambda u: scorer.best(u))).alias("part"), scorer.best(text, FILE_SHARE).alias("whole"))).otherwise(F.struct(none.alias("part"), none.alias("whole")))
-    judged = df.select(*map(column, keep), F.coalesce(path, F.lit("")).alias("_path"), found.alias("_found"))
-    top = F.greatest("_found.part", "_found.whole")  # nulls are skipped
-    licence = F.get(F.array(*map(F.lit, scorer.names)), -top["k"])
+    text, scorer, opener = F.coalesce(column(text_col), F.lit("")), Scorer(templates), Scorer([(name, " ".join(_terms_of(t)[:OPENING])) for name, t in openings])
+    none = F.lit(None).cast("struct<rank:int,score:double,k:int,name:string>")
+    part = F.array_max(F.transform(units(text), lambda u: let(scorer.best(terms(u["text"])), lambda b: scorer.ranked(b, u["rank"]))))
+    whole = let(scorer.best(terms(text), FILE_SHARE), lambda b: scorer.ranked(b, WHOLE))
+    begun = let(opener.best(opening(text)), lambda b: opener.ranked(b, OPENED))
+    found = F.when(scorer.possible(text), F.struct(part.alias("part"), whole.alias("whole"))).otherwise(F.struct(none.alias("part"), none.alias("whole")))
+    judged = df.select(*map(column, keep), F.coalesce(path, F.lit("")).alias("_path"), found.alias("_found"), begun.alias("_begun"))
+    top = F.greatest("_found.part", "_found.whole", "_begun")  # nulls are skipped
     named = F.element_at(F.split("_path", "/"), -1).rlike(LICENCE_NAME)
-    return judged.select(*keep, "_path", licence.alias("licence"), top["score"].alias("score"), (licence.isNotNull() & (named | F.col("_found.whole").isNotNull())).alias("is_file"))
+    stated = F.coalesce(F.col("_found.whole.rank") == WHOLE, F.lit(False)) | F.col("_begun").isNotNull()
+    return judged.select(*keep, "_path", top["name"].alias("licence"), top["score"].alias("score"), (top.isNotNull() & (named | stated)).alias("is_file"))
 
 
 def _parent(path: Column) -> Column:

@@ -70,29 +70,45 @@ def _terms(text: str) -> str:
     return f"list_filter({parts}, lambda x: x <> '' AND x NOT IN ({', '.join(map(_quoted, licenses.COMMON))}))"
 
 
-_TEMPLATES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+def _values(templates) -> str:
+    return ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(templates))
+
+
 _COMMENT, _SOLID = _quoted(licenses.COMMENT), _quoted(licenses.SOLID)
-OP10 = f"""WITH template(k, name, body) AS (VALUES {_TEMPLATES}),
-wanted AS (SELECT k, name, term, count(*) AS n FROM (SELECT k, name, unnest({_terms('body')}) AS term FROM template) x GROUP BY k, name, term),
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM template)) / (1 + count(*))) + 1 AS w FROM wanted GROUP BY term),
-vector AS (SELECT k, name, wanted.term, wanted.n * w / sqrt(sum(wanted.n * w * wanted.n * w) OVER (PARTITION BY k)) AS x FROM wanted JOIN idf ON wanted.term = idf.term),
-d AS (
+
+
+def _scored(at: str, values: str, wanted: str) -> str:
+    """Relations of one set of templates: their vectors, and of the units (i, r, ts, share) the score of each template that reaches the least one."""
+    return f"""template{at}(k, name, body) AS (VALUES {values}),
+wanted{at} AS (SELECT k, name, term, count(*) AS n FROM (SELECT k, name, unnest({wanted}) AS term FROM template{at}) x GROUP BY k, name, term),
+idf{at} AS (SELECT term, ln((1 + (SELECT count(*) FROM template{at})) / (1 + count(*))) + 1 AS w FROM wanted{at} GROUP BY term),
+vector{at} AS (SELECT k, name, wanted{at}.term, wanted{at}.n * w / sqrt(sum(wanted{at}.n * w * wanted{at}.n * w) OVER (PARTITION BY k)) AS x FROM wanted{at} JOIN idf{at} ON wanted{at}.term = idf{at}.term),
+held{at} AS (SELECT i, lt.term, lt.n, w FROM (SELECT i, term, count(*) AS n FROM (SELECT i, unnest(ts) AS term FROM unit{at}) y GROUP BY i, term) lt JOIN idf{at} ON idf{at}.term = lt.term),
+near{at} AS (
+  SELECT held{at}.i, sqrt(sum(n * w * n * w)) AS norm FROM held{at} JOIN unit{at} ON unit{at}.i = held{at}.i GROUP BY held{at}.i
+  HAVING sum(n) >= any_value(share) * any_value(len(ts)) AND count(*) >= {licenses.KNOWN}),
+hit{at} AS (
+  SELECT r, CASE WHEN name = '{licenses.RESERVED}' THEN {licenses.RESERVE} ELSE rank END AS rank, k, name, score FROM (
+    SELECT near{at}.i, k, name, round(sum(n * w * x) / any_value(norm), 4) AS score FROM near{at} JOIN held{at} ON held{at}.i = near{at}.i JOIN vector{at} ON vector{at}.term = held{at}.term GROUP BY near{at}.i, k, name) s
+  JOIN unit{at} ON unit{at}.i = s.i WHERE score >= {licenses.LEAST})"""
+
+
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(lower({{}}), '{licenses.SEPARATORS}')[1:{licenses.PARTS}], lambda x: trim(x, '.+-')), lambda x: x <> '' AND x NOT IN ({', '.join(map(_quoted, licenses.COMMON))}))[1:{licenses.OPENING}]"
+_OPENING = _terms("body") + f"[1:{licenses.OPENING}]"
+OP10 = f"""WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'),
          coalesce(CAST(doc_id // 10000 AS VARCHAR), 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none')) AS dir FROM documents),
-part AS (
-  SELECT r, unnest(list_concat(ls, list_filter(regexp_split_to_array(array_to_string(list_transform(ls, lambda l: CASE WHEN regexp_matches(l, {_SOLID}) THEN l ELSE '' END), chr(10)), '\n\n+'), lambda p: contains(p, chr(10))),
-         [array_to_string(ls[1:coalesce(nullif(list_position(list_transform(ls, lambda l: regexp_matches(l, {_COMMENT}) OR NOT regexp_matches(l, {_SOLID})), false), 0), len(ls) + 1) - 1], chr(10))])) AS u FROM d),
-unit AS (SELECT row_number() OVER () AS i, r, whole, {_terms('u')} AS ts FROM (SELECT r, false AS whole, u FROM part UNION ALL SELECT r, true, t FROM d) x),
-held AS (
-  SELECT i, lt.term, lt.n, w FROM (SELECT i, term, count(*) AS n FROM (SELECT i, unnest(ts) AS term FROM unit) y GROUP BY i, term) lt JOIN idf ON idf.term = lt.term),
-near AS (
-  SELECT held.i, sqrt(sum(n * w * n * w)) AS norm FROM held JOIN unit ON unit.i = held.i GROUP BY held.i
-  HAVING sum(n) >= CASE WHEN any_value(whole) THEN {licenses.FILE_SHARE} ELSE {licenses.SHARE} END * any_value(len(ts)) AND count(*) >= {licenses.KNOWN}),
-scored AS (
-  SELECT near.i, k, name, round(sum(n * w * x) / any_value(norm), 4) AS score FROM near JOIN held ON held.i = near.i JOIN vector ON vector.term = held.term GROUP BY near.i, k, name),
-hit AS (SELECT r, whole, k, name, score FROM scored JOIN unit ON unit.i = scored.i WHERE score >= {licenses.LEAST}),
-own AS (SELECT r, name AS licence, score FROM hit QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, k) = 1),
-file AS (SELECT d.r, doc_id, dir, licence, score, EXISTS (SELECT 1 FROM hit WHERE hit.r = d.r AND whole) AS stated FROM d LEFT JOIN own ON own.r = d.r),
+piece AS (
+  SELECT r, unnest(list_concat(list_transform(ls, lambda l: {{'u': l, 'rank': {licenses.LINE}}}), list_transform(list_filter(regexp_split_to_array(array_to_string(list_transform(ls, lambda l: CASE WHEN regexp_matches(l, {_SOLID}) THEN l ELSE '' END), chr(10)), '\n\n+'), lambda p: contains(p, chr(10))), lambda p: {{'u': p, 'rank': {licenses.BLOCK}}}),
+         list_transform([array_to_string(ls[1:coalesce(nullif(list_position(list_transform(ls, lambda l: regexp_matches(l, {_COMMENT}) OR NOT regexp_matches(l, {_SOLID})), false), 0), len(ls) + 1) - 1], chr(10))], lambda h: {{'u': h, 'rank': CASE WHEN contains(h, chr(10)) THEN {licenses.BLOCK} ELSE {licenses.LINE} END}}))) AS p FROM d),
+unit AS (SELECT row_number() OVER () AS i, r, rank, share, {_terms('u')} AS ts FROM (
+  SELECT r, p.rank AS rank, {licenses.SHARE} AS share, p.u AS u FROM piece UNION ALL SELECT r, {licenses.WHOLE}, {licenses.FILE_SHARE}, t FROM d) x),
+unit_o AS (SELECT r AS i, r, {licenses.OPENED} AS rank, {licenses.SHARE} AS share, {_PARTS.format('t')} AS ts FROM d),
+{_scored('', _values(licenses.TEMPLATES), _terms('body'))},
+{_scored('_o', _values(licenses.OPENINGS), _OPENING)},
+every AS (SELECT * FROM hit UNION ALL SELECT * FROM hit_o),
+own AS (SELECT r, name AS licence, score FROM every QUALIFY row_number() OVER (PARTITION BY r ORDER BY rank DESC, score DESC, k) = 1),
+file AS (SELECT d.r, doc_id, dir, licence, score, EXISTS (SELECT 1 FROM every WHERE every.r = d.r AND rank >= {licenses.WHOLE}) AS stated FROM d LEFT JOIN own ON own.r = d.r),
 theirs AS (SELECT dir, licence FROM file WHERE stated GROUP BY dir, licence QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, licence) = 1),
 up AS (SELECT dir, unnest(list_append(list_transform(generate_series(1, len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')), '')) AS above FROM (SELECT DISTINCT dir FROM file) x),
 nearest AS (SELECT up.dir, above, licence FROM up JOIN theirs ON theirs.dir = above QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY length(above) DESC) = 1)

@@ -565,28 +565,64 @@ def test_licence_texts_and_headers(spark):
 
 
 def brute_cosine(text):
-    """Best (score, licence) of the units of a text, from the definition."""
-    vecs = []
-    counts = [collections.Counter(licenses._terms_of(t)) for _, t in licenses.TEMPLATES]
-    idf = {t: np.log((1 + len(counts)) / (1 + sum(t in c for c in counts))) + 1 for c in counts for t in c}
-    for c in counts:
-        n = sum((k * idf[t]) ** 2 for t, k in c.items()) ** 0.5
-        vecs.append({t: k * idf[t] / n for t, k in c.items()})
-    lines = text.split("\n")
-    solid = [x if re.search("[A-Za-z0-9]", x) else "" for x in lines]
-    head = next((i for i, x in enumerate(lines) if not re.search(licenses.COMMENT, x) and re.search("[A-Za-z0-9]", x)), len(lines))
-    best = (0, None)
-    for u, share in [*((u, 0.5) for u in (*lines, *(p for p in re.split("\n\n+", "\n".join(solid)) if "\n" in p), "\n".join(lines[:head]))), (text, 0.8)]:
-        ts = licenses._terms_of(u)
+    """(score, licence) of what says most about a text, from the definition."""
+
+    def nearest(templates, ts, share):
+        counts = [collections.Counter(t) for _, t in templates]
+        idf = {t: np.log((1 + len(counts)) / (1 + sum(t in c for c in counts))) + 1 for c in counts for t in c}
         known = collections.Counter(t for t in ts if t in idf)
         if len(known) < 2 or sum(known.values()) < share * len(ts):
-            continue
+            return
         norm = sum((k * idf[t]) ** 2 for t, k in known.items()) ** 0.5
-        for (name, _), v in zip(licenses.TEMPLATES, vecs):
-            s = round(sum(k * idf[t] * v.get(t, 0) for t, k in known.items()) / norm, 4)
-            if s > best[0]:
-                best = (s, name)
-    return best if best[0] >= licenses.LEAST else (None, None)
+        for n, ((name, _), c) in enumerate(zip(templates, counts)):
+            length = sum((k * idf[t]) ** 2 for t, k in c.items()) ** 0.5
+            score = round(sum(k * idf[t] * c[t] * idf[t] / length for t, k in known.items()) / norm, 4)
+            if score >= licenses.LEAST:
+                yield score, -n, name
+
+    whole = [(n, licenses._terms_of(t)) for n, t in licenses.TEMPLATES]
+    lines = text.split("\n")
+    solid = [x if re.search("[A-Za-z0-9]", x) else "" for x in lines]
+    head = next((i for i, x in enumerate(lines) if not re.search(licenses.COMMENT, x) and re.search("[A-Za-z0-9]", x)), len(lines))
+    units = [(u, 0.5, 1) for u in lines] + [(p, 0.5, 2) for p in re.split("\n\n+", "\n".join(solid)) if "\n" in p] + [("\n".join(lines[:head]), 0.5, 2 if head > 1 else 1), (text, 0.8, 3)]
+    found = [(0 if name == "Proprietary" else rank, score, n, name) for u, share, rank in units for score, n, name in nearest(whole, licenses._terms_of(u), share)]
+    parts = (x.strip(".+-") for x in re.split(licenses.SEPARATORS, text.lower())[: licenses.PARTS])
+    begun = [t for t in parts if t and t not in licenses.COMMON][: licenses.OPENING]
+    found += [(4, score, n, name) for score, n, name in nearest([(n, licenses._terms_of(t)[: licenses.OPENING]) for n, t in licenses.OPENINGS], begun, 0.5)]
+    return max(found)[1::2] if found else (None, None)
+
+
+#: The public licence files that this system has, with what they are.
+PUBLIC = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_public_licence_files(spark):
+    """As they are, wrapped anew, in comments, with a line before them; each is a licence file that its directory inherits."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    files = {n: (folder / n).read_text(errors="replace") for n in PUBLIC if (folder / n).is_file()}
+    if not files:
+        pytest.skip("no licence files here")
+    shapes = {
+        "plain": lambda t: t, "wrapped": lambda t: "\n".join(textwrap.wrap(" ".join(t.split()), 50)), "one line": lambda t: " ".join(t.split()), "comment": lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */",
+        "before": lambda t: "Acme tools\n\n" + t,
+    }
+    rows = [(f"{n}/{s}/{'x' if s != 'plain' else 'terms.txt'}", of(t)) for n, t in files.items() for s, of in shapes.items()] + [(f"{n}/plain/src/main.c", "int x;") for n in files]
+    df = spark.createDataFrame(rows, "p string, text string")
+    got = {r["p"]: (r["licence"], r["origin"]) for r in licenses.scan(df, df["p"], keep=["p"]).collect()}
+    assert got == {p: (PUBLIC[p.split("/")[0]], "inherited" if p.endswith("main.c") else "own") for p, _ in rows}
+
+
+def test_reserved_rights_say_least(spark):
+    """A reservation of rights beside a grant, and alone: it names no licence file."""
+    rows = [("a/1", "All rights reserved.\nReleased under the MIT License."), ("b/1", "All rights reserved."), ("b/2", "x y z"), ("c/1", "# All rights reserved."), ("d/LICENSE", "All rights reserved."), ("d/2", "x y z")]
+    df = spark.createDataFrame(rows, "p string, text string")
+    got = {r["p"]: (r["licence"], r["origin"]) for r in licenses.scan(df, df["p"], keep=["p"]).collect()}
+    assert got == {"a/1": ("MIT", "own"), "b/1": ("Proprietary", "own"), "b/2": ("none", "none"), "c/1": ("Proprietary", "own"), "d/LICENSE": ("Proprietary", "own"), "d/2": ("Proprietary", "inherited")}
 
 
 def test_licences_are_the_definition(spark):
@@ -598,6 +634,9 @@ def test_licences_are_the_definition(spark):
         t = [rng.choice(pool + ["zebra"]) if rng.random() < 0.1 else w for w in t[: rng.randint(2, 60)]]
         out = "".join(w + rng.choice([" ", " ", " ", "\n", "\n# ", "\n\n"]) for w in t)
         texts.append(rng.choice(["", "# ", "other words here\n\n"]) + out + rng.choice(["", "\n\nzebra " * 20]))
+    for name, t in licenses.OPENINGS:
+        for lost in (0, 0.1, 0.3):
+            texts.append("\n".join(w for w in t.split() if rng.random() >= lost) + "\nzebra" * rng.choice([0, 200]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["score"], r["licence"]) for r in licenses.own(df, F.lit("x"), "text", ["doc_id"]).collect()}
     assert got == {i: brute_cosine(t) for i, t in enumerate(texts)} and sum(x[1] is not None for x in got.values()) > 80
