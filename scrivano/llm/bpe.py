@@ -42,8 +42,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: The tokenizer file is read on the driver and broadcast; larger ones are refused.
 MOST_BYTES = 64 << 20
-#: Entries that the table of arcs and the one of encoded words may have before they start anew.
-MOST_KEPT = 1 << 18
+#: Entries that the tables of arcs and of transitions, and the one of encoded words, may have before they start anew: some
+#: 350 MB of a worker in all.  Smaller ones start anew so often that most of the time goes into filling them.
+MOST_KEPT, MOST_WORDS = 1 << 19, 3 << 18
 #: Longest word kept, in bytes.
 KEPT_WORD = 64
 
@@ -66,7 +67,7 @@ class Words(dict):
         raw = word.encode()
         ids = np.array(self.automaton.encode_word(raw), "<u4").tobytes()
         if len(raw) <= KEPT_WORD:
-            if len(self) >= MOST_KEPT:
+            if len(self) >= MOST_WORDS:
                 self.clear()
             self[word] = ids
         return ids
