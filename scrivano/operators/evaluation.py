@@ -76,23 +76,35 @@ def live_metrics(attempts: DataFrame) -> DataFrame:
     attempts: valid, proposed, accepted, latency_ms.
     """
     n = F.count("*")
-    return attempts.agg(
+    sums = attempts.agg(
         n.alias("runs"), rate(F.count_if("valid"), n).alias("valid_rate"), F.coalesce(F.sum("proposed"), F.lit(0)).alias("proposed"), F.coalesce(F.sum("accepted"), F.lit(0)).alias("accepted"),
-        rate(F.coalesce(F.sum("accepted"), F.lit(0)), F.coalesce(F.sum("proposed"), F.lit(0))).alias("acceptance_rate"), upper_median("latency_ms").alias("latency_ms"),
+        rate(F.coalesce(F.sum("accepted"), F.lit(0)), F.coalesce(F.sum("proposed"), F.lit(0))).alias("acceptance_rate"),
     )
+    middle = upper_medians(attempts.withColumn("all", F.lit(0)), "all", "latency_ms")
+    return sums.withColumn("all", F.lit(0)).join(middle, "all", "left").withColumnRenamed("upper_median", "latency_ms").drop("all")
 
 
-def upper_median(value: str) -> Column:
-    """The element at n div 2 of the sorted values, not interpolated; for groups that one task can hold."""
-    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
+#: Ranges that a group's values are cut into, and how exactly.
+RANGES, ACCURACY = 256, 10_000
 
 
 def upper_medians(df: DataFrame, group: str, value: str) -> DataFrame:
-    """group, upper_median: as above for groups of any size.  Distinct values are counted first; running counts give the place."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(group).orderBy(value)
-    upto = counts.select("*", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy(group)).alias("total"))
-    return upto.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(group).agg(F.min(value).alias("upper_median"))
+    """group, upper_median: the element at n div 2 of a group's sorted values, not interpolated; nulls don't count.
+
+    Distinct values are counted first.  Near quantiles cut them into ranges, whose counts name the range that holds the place;
+    only its values are put in order, so a group of any size is sorted nowhere as a whole.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("n"))
+    cuts = counts.groupBy("g").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], ACCURACY).alias("cuts"))
+    placed = counts.join(cuts, "g").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sizes = placed.groupBy("g", "part").agg(F.sum("n").alias("rows"))
+    order = Window.partitionBy("g").orderBy("part")
+    before = sizes.select("g", "part", (F.sum("rows").over(order) - F.col("rows")).alias("before"), "rows", F.floor(F.sum("rows").over(Window.partitionBy("g")) / 2).alias("place"))
+    held = before.where("before <= place AND place < before + rows")
+    own = placed.join(held.select("g", "part", "before", "place"), ["g", "part"])
+    upto = own.select("g", "v", "place", (F.col("before") + F.sum("n").over(Window.partitionBy("g").orderBy("v"))).alias("upto"))
+    return upto.where("upto > place").groupBy(F.col("g").alias(group)).agg(F.min("v").alias("upper_median"))
 
 
 def passes_threshold(score: Column, least: float | None) -> Column:

@@ -339,9 +339,10 @@ def paired_property_changes(o):
 
 @plan("documents")
 def duplicate_sources(d):
-    # texts are counted by digest, so that none is shuffled whole; one of each that repeats is fetched by its digest
-    twice = d.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
-    return d.select("doc_id", "text").dropDuplicates(["doc_id"]).join(twice, "doc_id").select("text", "n")
+    # texts are counted by digest; only those that repeat go on, and copies become one before they are dealt out
+    marked = d.where("text IS NOT NULL").select("text", F.sha2("text", 256).alias("digest"))
+    twice = marked.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    return marked.join(twice.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("n")).select("text", "n")
 
 
 def _duck(sql: str) -> str:

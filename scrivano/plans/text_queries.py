@@ -193,7 +193,25 @@ def growth_and_link_rejects(spark, sf_dir):
     return e.select("doc_id", "ord", "n", R.too_long(F.col("original"), F.col("proposed")).alias("too_long"), F.col("proposed").rlike("www\\.").alias("link"))
 
 
-@query()
+def _claims(text: str) -> str:
+    """A text's numeric claims as a list, each once."""
+    number = f"regexp_extract_all(regexp_replace({text}, '([%+])(\\d)', '\\1 \\2', 'g'), '(?:^|[^\\pL\\pN_.])([$€£₹]?\\s?(?:\\d{{1,3}}(?:,\\d{{3}})+|\\d+(?:\\.\\d+)?)(?:\\s?(?:%|percent\\b|[kKmMbB]\\b|x\\b|\\+))?)', 1)"
+    plain = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(m), '[\\s,]', '', 'g'), 'percent$', '%'), '(\\.\\d*?)0+(\\D*)$', '\\1\\2'), '\\.(\\D*)$', '\\1')"
+    words = f"list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z]+'), lambda w: lower(w)), lambda w: w IN {_list(NUMBER_WORDS)})"
+    return f"list_distinct(list_concat(list_transform({number}, lambda m: {plain}), {words}))"
+
+
+_LINK_SQL = R.LINK.replace("'", "''")
+
+
+@query(f"""WITH {EDITS}, c AS (
+  SELECT *, {_claims('original')} AS co, {_claims('proposed')} AS cp, regexp_extract_all(lower(original), '[a-z]+') AS wo, regexp_extract_all(lower(proposed), '[a-z]+') AS wp FROM edits),
+d AS (SELECT *, len(list_filter(cp, lambda x: NOT list_contains(co, x))) AS added, len(list_filter(co, lambda x: NOT list_contains(cp, x))) AS removed,
+  len(list_filter({[*OUTCOME, *LEADERSHIP]}, lambda v: len(list_filter(wp, lambda w: starts_with(w, v))) > 0 AND len(list_filter(wo, lambda w: starts_with(w, v))) = 0)) AS verbs FROM c)
+SELECT doc_id, ord, n, CASE WHEN length(original) = 0 THEN 'empty_target' WHEN instr(text, original) = 0 THEN 'target_not_found' WHEN instr(substring(text, CAST(instr(text, original) + 1 AS INTEGER)), original) > 0 THEN 'ambiguous_target'
+  WHEN trim(proposed) = '' THEN 'empty_replacement' WHEN regexp_matches(proposed, '[\\x00-\\x1f\\x7f\\x{{2028}}\\x{{2029}}]') THEN 'invalid_characters' WHEN proposed = original THEN 'no_change'
+  WHEN length(proposed) - length(original) > least(greatest(40, length(original)), 120) THEN 'too_long' WHEN regexp_matches(proposed, '{_LINK_SQL}') AND NOT regexp_matches(original, '{_LINK_SQL}') THEN 'unsupported_contact_or_link'
+  WHEN removed > 0 AND added > 0 THEN 'changed_number' WHEN added > 0 THEN 'unsupported_number' WHEN verbs > 0 THEN 'accept_confirm' ELSE 'accept' END AS code FROM d""")
 def evidence_rule_codes(spark, sf_dir):
     e = B.edits(B.blocks(table(spark, sf_dir, "documents")))
     return e.select("doc_id", "ord", "n", R.code(e).alias("code"))

@@ -3,6 +3,7 @@
 import base64
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,7 +68,12 @@ def test_evaluation(spark):
     assert evaluation.judge_live(evaluation.judged(s).limit(0)).first().pass_share is None
     v = spark.createDataFrame([("a", x) for x in (5.0, 1.0, 1.0, 9.0)] + [("b", 2.0), ("c", None)], "g string, v double")
     assert {r.g: r.upper_median for r in evaluation.upper_medians(v, "g", "v").collect()} == {"a": 5.0, "b": 2.0}
-    assert {r.g: r.m for r in v.groupBy("g").agg(evaluation.upper_median("v").alias("m")).collect()} == {"a": 5.0, "b": 2.0, "c": None}
+    rng = random.Random(2)
+    rows = [(g, None if rng.random() < 0.1 else float(rng.choice([3, rng.randrange(50), rng.randrange(100_000)]))) for g in ("x", "y", "z") for _ in range({"x": 1, "y": 2500, "z": 2501}[g])]
+    held = {g: sorted(x for h, x in rows if h == g and x is not None) for g in ("x", "y", "z")}
+    assert {r.g: r.upper_median for r in evaluation.upper_medians(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()} == {g: x[len(x) // 2] for g, x in held.items() if x}
+    plan = evaluation.live_metrics(spark.createDataFrame([(True, 1, 1, 2.0)], "valid boolean, proposed int, accepted int, latency_ms double"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
     assert [r[0] for r in spark.createDataFrame([(0.9,), (0.2,), (None,)], "s double").select(evaluation.passes_threshold(F.col("s"), 0.5)).collect()] == [True, False, False]
     d = evaluation.detections(spark.createDataFrame([(1, True, True), (1, True, False), (1, False, True), (1, False, False)], "k int, faulty boolean, flagged boolean"), ["k"]).first()
     assert (d.tp, d.fn, d.fp, d.tn, d.miss_rate, d.false_alarm_rate) == (1, 1, 1, 1, 0.5, 0.5)
