@@ -138,15 +138,18 @@ def stream_activity(spark, sf_dir):
     return _drained(spark, progress.activity(_event_stream(spark, sf_dir, files=None))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {BLOCKS}, s AS (SELECT doc_id, ord, text, unnest(generate_series(0, CAST((length(text) - 1) // 8 AS BIGINT))) AS i FROM blocks WHERE length(text) >= 30)
-SELECT doc_id, ord, string_agg(CASE i WHEN 0 THEN substr(text, 1, 5) || '§§' WHEN 1 THEN '' WHEN 2 THEN substr(text, 22, 3) ELSE substr(text, 8 * i + 1, 8) END, '|' ORDER BY i) AS texts FROM s GROUP BY doc_id, ord""")
+@query(f"""WITH {BLOCKS}, s AS (
+  SELECT doc_id, ord, text, 8 * i AS a, least(8 * i + 8, n) AS b, least(5, n // 2) AS lo, least(21, n) AS hi FROM (SELECT doc_id, ord, text, length(text) AS n, unnest(generate_series(0, CAST((length(text) - 1) // 8 AS BIGINT))) AS i FROM blocks WHERE text <> '') x)
+SELECT doc_id, ord, string_agg(CASE WHEN a >= hi OR b <= lo THEN substr(text, a + 1, b - a) ELSE CASE WHEN a <= lo THEN substr(text, a + 1, lo - a) || '§§' ELSE '' END || CASE WHEN b > hi THEN substr(text, hi + 1, b - hi) ELSE '' END END, '|' ORDER BY a) AS texts FROM s GROUP BY doc_id, ord""")
 def segment_rewrites(spark, sf_dir):
-    """Long blocks in segments of eight characters, [5, 21) replaced by signs that no word of them is like."""
-    b = B.blocks(table(spark, sf_dir, "documents")).where(F.length("text") >= 30)
+    """All blocks in segments of eight characters, [5, 21) or what a short one has of it replaced by signs that no word of them is like."""
+    b = B.blocks(table(spark, sf_dir, "documents")).where("text <> ''")
+    n = F.length("text")
     at = lambda i: i * 8
-    piece = lambda i: F.struct(F.lit("text").alias("kind"), F.substring("text", at(i) + 1, F.lit(8)).alias("text"), at(i).alias("start"), F.least(at(i) + 8, F.length("text")).alias("end"))
-    segs = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 8).cast("int")), piece)
-    out = replacement.replaced(b.select("doc_id", "ord", segs.alias("segments"), F.lit(5).alias("start"), F.lit(21).alias("end"), F.lit("§§").alias("new_text")))
+    piece = lambda i: F.struct(F.lit("text").alias("kind"), F.substring("text", at(i) + 1, F.lit(8)).alias("text"), at(i).alias("start"), F.least(at(i) + 8, n).alias("end"))
+    segs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 8).cast("int")), piece)
+    start, end = F.least(F.lit(5), F.floor(n / 2).cast("int")), F.least(F.lit(21), n)
+    out = replacement.replaced(b.select("doc_id", "ord", segs.alias("segments"), start.alias("start"), end.alias("end"), F.lit("§§").alias("new_text")))
     return out.select("doc_id", "ord", F.array_join("texts.text", "|").alias("texts"))
 
 
