@@ -15,7 +15,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def edits(b: DataFrame) -> DataFrame:
-    """Two edits for a block of four words and more: the second word replaced, and a range that overlaps it."""
+    """Two edits for a block whose second word has room for both (three characters): the word replaced, and a range inside it."""
     words = F.split("text", " ", -1)
     w0, w1 = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     kind = F.col("ord") % 6
@@ -23,7 +23,7 @@ def edits(b: DataFrame) -> DataFrame:
     start = F.length(w0) + 1
     first = F.struct(F.lit(0).alias("n"), start.alias("start"), (start + F.length(w1)).alias("end"), w1.alias("original"), new.alias("proposed"), F.when(F.col("ord") % 4 != 0, (F.col("ord") % 10) / 10.0).alias("confidence"))
     second = F.struct(F.lit(1).alias("n"), (start + 1).alias("start"), (start + 3).alias("end"), F.substring("text", F.length(w0) + 3, F.lit(2)).alias("original"), F.lit("Q7").alias("proposed"), F.lit(0.35).alias("confidence"))
-    usable = b.where((F.size(words) >= 4) & (F.length(w0) > 0) & (F.length(w1) >= 4))
+    usable = b.where((F.size(words) >= 2) & (F.length(w1) >= 3))
     return usable.select("doc_id", "ord", "text", F.explode(F.array(first, second)).alias("e")).select("doc_id", "ord", "text", "e.*")
 
 

@@ -37,7 +37,7 @@ EDITS = (
     BLOCKS
     + """, usable AS (
   SELECT doc_id, ord, text, ws[1] AS w0, ws[2] AS w1, length(ws[1]) + 1 AS s FROM (SELECT *, string_split(text, ' ') AS ws FROM blocks) x
-  WHERE len(ws) >= 4 AND length(ws[1]) > 0 AND length(ws[2]) >= 4),
+  WHERE len(ws) >= 2 AND length(ws[2]) >= 3),
 edits AS (
   SELECT doc_id, ord, text, 0 AS n, s AS start, s + length(w1) AS stop, w1 AS original,
     CASE ord % 6 WHEN 0 THEN w1 || w1 WHEN 1 THEN w1 || ' 25%' WHEN 2 THEN 'led ' || w1 WHEN 3 THEN w1 || ' see www.example.com' WHEN 4 THEN repeat(w1 || ' ', 40) ELSE w1 END AS proposed,
