@@ -13,6 +13,10 @@ follows a sign or a word such as "mail", and is no common word ("look at example
 Kinds: email, ip, card, phone.  A span that the method adds and that overlaps a base span of its
 kind is dropped; base spans stay.
 
+Bounds of what is added, so that a pattern's time grows with the text alone: a local name in words has up to nine parts
+of 64 characters, a domain whose dot stands as it is after "at" has up to nine labels, one with disguised dots up to
+nine groups of nine; labels have up to 63 characters.  Longer disguises are not added.  Base spans have no such bounds.
+
 Defined results: null text is the empty text and has no spans; repeated rows give repeated results;
 texts are read whole, in time that grows with their length; an empty table gives an empty result;
 columns named like the results are replaced, others stay.
@@ -76,7 +80,7 @@ AT = r"(?:at|arroba|chez|ät)"
 DOT = r"(?:dot|punkt|punto|point|pkt)"
 OPEN, SHUT = r"[\[({<]", r"[\])}>]"
 BRACKETED = re.compile(rf"(?<!\s)\s*{OPEN}\s*(?:({AT}|@)|({DOT}|\.))\s*{SHUT}\s*", re.I)
-#: A disguised dot, and the longest name of a label (fixed values of the domain name system: 63 characters, 127 labels).
+#: A disguised dot, and the longest name of a label (fixed value of the domain name system: 63 characters).
 _DOT = rf"(?:\s+{DOT}\s+|\s*{OPEN}\s*(?:{DOT}|\.)\s*{SHUT}\s*)"
 _NAME = r"[A-Za-z0-9-]{1,63}"
 _LOCAL = rf"(?<![\w.%+-])([A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,8}}?)"

@@ -107,6 +107,8 @@ def _differ(a: Column, b: Column, first: int, n: int) -> Column:
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """All pairs (a, b), a < b, of the distinct values in column fp that differ in 1 to 3 bits."""
     fp = F.col("fp")
+    # a row becomes 72 of them: a small table in a few files goes to all tasks first
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keys = [
         F.shiftleft(F.lit(i).cast("long"), 2 * BITS).bitwiseOR(F.shiftleft(_segment(fp, i), BITS)).bitwiseOR(_segment(fp, i + 1))
         for i in range(SEGMENTS)

@@ -640,3 +640,19 @@ def test_licences_are_the_definition(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["score"], r["licence"]) for r in licenses.own(df, F.lit("x"), "text", ["doc_id"]).collect()}
     assert got == {i: brute_cosine(t) for i, t in enumerate(texts)} and sum(x[1] is not None for x in got.values()) > 80
+
+
+def test_bounds_of_added_spans(spark):
+    """What the docstrings say of the longest disguises and secrets that are added: at the bound, and one beyond it."""
+    labels = lambda n: ".".join(f"l{i}" for i in range(n - 1)) + ".com"
+    local = lambda n: " dot ".join(f"p{i}" for i in range(n))
+    texts = [f"mail john.doe at {labels(9)} now", f"mail john.doe at {labels(10)} now", f"mail {local(9)} at host dot com", f"mail {local(10)} at host dot com"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    whole = lambda i, a: f"email:{a}:{len(texts[i]) - (4 if i < 2 else 0)}"
+    assert got[0] == whole(0, 5) and got[1] == "" and got[2] == whole(2, 5) and got[3] == whole(3, 5 + len("p0 dot "))
+    tail = ".eyJ" + "Zx" * 5 + "." + "Zy" * 5
+    texts = ["x eyJ" + "Zq" * 200 + tail + " y", "x eyJ" + "Zq" * 200 + "Z" + tail + " y", "s" * 16 + "://user:Pa55word!x@host", "s" * 20 + "://user:Pa55word!x@host"]
+    rows = [(i, t, "s", "en") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert [got[i].partition(":")[0] for i in range(4)] == ["issued", "", "address", "address"]
+    assert got[3] == f"address:4:{len(texts[3]) - len('host')}"
