@@ -36,15 +36,19 @@ def docx_paragraphs(spark, sf_dir):
     return ps.select(F.col("path").cast("long").alias("doc_id"), "ord", F.substring(F.sha2("text", 256), 1, 16).alias("text_hash"), segments.editable(F.col("segments"), F.col("reason")).alias("editable"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'unsupported_extension' WHEN doc_id % 11 = 1 THEN 'unsupported_mime_type' WHEN doc_id % 5 = 1 THEN 'not_zip' END AS code FROM documents""")
+@query("""SELECT doc_id, CASE WHEN n % 7 = 1 THEN 'unsupported_extension' WHEN n % 11 = 1 THEN 'unsupported_mime_type' WHEN bytes > 10000 THEN 'too_large' WHEN bytes = 0 THEN 'empty_file' WHEN n % 5 = 1 THEN 'not_zip' WHEN n % 13 = 1 THEN 'encrypted_or_legacy' END AS code
+FROM (SELECT doc_id, length(coalesce(text, '')) AS n, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents) d""")
 def upload_verdicts(spark, sf_dir):
-    """The packages of all documents as uploads, some of them at fault."""
-    p = packages.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
-    d = F.col("path").cast("long")
-    cut = F.when(d % 5 == 1, F.substring("content", 2, 1 << 30)).otherwise(F.col("content"))
-    name = F.concat("path", F.when(d % 7 == 1, ".doc").otherwise(".docx"))
-    files = p.select("path", name.alias("file_name"), F.when(d % 11 == 1, "text/html").otherwise("").alias("mime"), F.lit(1).cast("long").alias("length"), cut.alias("content"))
-    return upload_rules.verdicts(files).select(F.col("path").cast("long").alias("doc_id"), "code")
+    """The packages of all documents as uploads, some of them at fault by their texts' lengths; an upload is as long as its text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    p = packages.packed(d, "doc_id", "text").drop("length")
+    told = d.select(F.col("doc_id").cast("string").alias("path"), F.char_length("text").alias("n"), F.octet_length("text").cast("long").alias("length"))
+    p, n = p.join(told, "path"), F.col("n")
+    cut = F.when(n % 5 == 1, F.substring("content", 2, 1 << 30)).when(n % 13 == 1, F.concat(F.unhex(F.lit("D0CF11E0A1B11AE1")), "content")).otherwise(F.col("content"))
+    name = F.concat("path", F.when(n % 7 == 1, ".doc").otherwise(".docx"))
+    files = p.select("path", name.alias("file_name"), F.when(n % 11 == 1, "text/html").otherwise("").alias("mime"), "length", cut.alias("content"))
+    limits = upload_rules.Limits(upload=10_000, uncompressed=1 << 30, ratio=1e9)
+    return upload_rules.verdicts(files, limits).select(F.col("path").cast("long").alias("doc_id"), "code")
 
 
 _PROPOSAL = """SELECT conv_id, turn, {0} AS pos, concat_ws(';', CASE WHEN length(text) = 0 THEN 'proposals.{0}.original_text:string_too_short' WHEN length(text) > 600 THEN 'proposals.{0}.original_text:string_too_long' END,
@@ -153,16 +157,6 @@ def segment_rewrites(spark, sf_dir):
     return out.select("doc_id", "ord", F.array_join("texts.text", "|").alias("texts"))
 
 
-@query("""SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS paragraphs, CAST(0 AS BIGINT) AS tables, CAST(0 AS BIGINT) AS sections, 0 AS notes FROM documents""")
-def feature_inventory(spark, sf_dir):
-    """Counts of features over the editable parts of all documents' packages, and the notes they call for."""
-    # The scan is read several times; from a table it costs one pass over the packages.
-    parts = stored(packages.members(packages.packed(table(spark, sf_dir, "documents"), "doc_id", "text")))
-    editable = packages.editable_parts(parts, *packages.related(parts))
-    counts = structure.inventory(parts, editable)
-    return counts.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "sections", F.size(structure.notes()).alias("notes"))
-
-
 @query(f"""WITH raw AS (SELECT item_id, text, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, text, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS l FROM benchmark) d),
   t AS (SELECT item_id, text, trim(raw, '()[]{{}}"''`,;:!?') AS a, lag(raw) OVER (PARTITION BY item_id ORDER BY pos) AS before FROM raw),
   u AS (SELECT *, CASE WHEN regexp_matches(a, '\\.[A-Za-z]') THEN a ELSE regexp_replace(a, '\\.+$', '') END AS term FROM t),
