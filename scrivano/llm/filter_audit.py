@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, small_batches, written
+from .common import as_bytes, column, discard, small_batches, written
 
 #: The filters in the order of their bits, and their thresholds.
 FILTERS = "ABCDE"
@@ -207,7 +207,9 @@ def masked(docs: DataFrame, labels: DataFrame, part_col: str = "source", id_col:
     both = cells.join(lowest, F.col("digest") == F.col("of")).withColumn("own", own)
     halves = F.array(F.struct("failed", F.col("own").alias("n")), F.struct((F.col("failed") + 16).alias("failed"), (F.col("n") - F.col("own")).alias("n")))
     split = both.select("part", "good", "toxic", F.explode(halves).alias("half")).where("half.n > 0")
-    return split.groupBy("part", F.col("half.failed").alias("failed"), "good", "toxic").agg(F.sum("half.n").alias("n"))
+    out = written(split.groupBy("part", F.col("half.failed").alias("failed"), "good", "toxic").agg(F.sum("half.n").alias("n")))
+    discard(cells)
+    return out
 
 
 def _steps() -> Column:

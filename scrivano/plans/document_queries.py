@@ -8,7 +8,7 @@ from ..operators import blocks as B
 from ..operators import edit_rules as R
 from ..functions import text as T
 from ..functions.vocabulary import COMMON_INITIAL, GENERIC, STOP
-from ..operators import replacement, replies, salient, segments, structure, substrings, upload_rules
+from ..operators import replacement, replies, salient, segments, substrings, upload_rules
 from ..sources import packages
 from ..sources.tables import scratch, stored, table
 from ..streaming import progress
