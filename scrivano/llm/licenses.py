@@ -50,12 +50,13 @@ LEAST = 0.75
 SHARE = 0.5
 FILE_SHARE = 0.8
 KNOWN = 2
-#: Terms of an opening, and the parts of a text among which they are looked for.
+#: Terms of an opening, and the words of a text among which they are looked for.
 OPENING, PARTS = 40, 120
 #: Fixed value: the template that reserves rights and grants none.
 RESERVED = "Proprietary"
 SALTS = 16
-SEPARATORS = "[^a-z0-9.+-]+"
+WORD = "a-z0-9.+-"
+SEPARATORS = f"[^{WORD}]+"
 
 
 def _terms_of(text: str) -> list[str]:
@@ -78,10 +79,10 @@ def terms(text: Column) -> Column:
 
 
 def opening(text: Column) -> Column:
-    """The first OPENING terms among a text's first PARTS parts."""
-    parts = F.slice(F.split(F.lower(text), SEPARATORS, PARTS + 1), 1, PARTS)
-    trimmed = F.transform(parts, lambda t: F.btrim(t, F.lit(".+-")))
-    return F.slice(F.filter(trimmed, lambda t: (t != "") & ~t.isin(*COMMON)), 1, OPENING)
+    """The first OPENING terms among a text's first PARTS words.  The words are cut off first, so that the rest is not looked at."""
+    head = F.regexp_extract(F.lower(text), f"^(?:[^{WORD}]*+[{WORD}]++){{0,{PARTS}}}+", 0)
+    parts = F.transform(F.regexp_extract_all(head, F.lit(f"[{WORD}]+"), F.lit(0)), lambda t: F.btrim(t, F.lit(".+-")))
+    return F.slice(F.filter(parts, lambda t: (t != "") & ~t.isin(*COMMON)), 1, OPENING)
 
 
 #: Ranks of units, the one that says most last.
@@ -160,11 +161,17 @@ def own(df: DataFrame, path: Column, text_col: str, keep: list[str], templates=T
     whole = let(scorer.best(terms(text), FILE_SHARE), lambda b: scorer.ranked(b, WHOLE))
     begun = let(opener.best(opening(text)), lambda b: opener.ranked(b, OPENED))
     found = F.when(scorer.possible(text), F.struct(part.alias("part"), whole.alias("whole"))).otherwise(F.struct(none.alias("part"), none.alias("whole")))
-    judged = df.select(*map(column, keep), F.coalesce(path, F.lit("")).alias("_path"), found.alias("_found"), begun.alias("_begun"))
-    top = F.greatest("_found.part", "_found.whole", "_begun")  # nulls are skipped
-    named = F.element_at(F.split("_path", "/"), -1).rlike(LICENCE_NAME)
-    stated = F.coalesce(F.col("_found.whole.rank") == WHOLE, F.lit(False)) | F.col("_begun").isNotNull()
-    return judged.select(*keep, "_path", top["name"].alias("licence"), top["score"].alias("score"), (top.isNotNull() & (named | stated)).alias("is_file"))
+    where = F.coalesce(path, F.lit(""))
+    named = F.element_at(F.split(where, "/"), -1).rlike(LICENCE_NAME)
+
+    def told(s: Column) -> Column:
+        top = F.greatest(s["part"], s["whole"], s["begun"])  # nulls are skipped
+        stated = F.coalesce(s["whole"]["rank"] == WHOLE, F.lit(False)) | s["begun"].isNotNull()
+        return let(top, lambda t: F.struct(t["name"].alias("licence"), t["score"].alias("score"), (t.isNotNull() & (named | stated)).alias("is_file")))
+
+    every = let(found, lambda f: F.struct(f["part"].alias("part"), f["whole"].alias("whole"), begun.alias("begun")))
+    # as the one row of an array, so that no plan computes it again for each of its fields
+    return df.select(*map(column, keep), where.alias("_path"), F.inline(F.array(let(every, told))))
 
 
 def _parent(path: Column) -> Column:

@@ -93,7 +93,7 @@ hit{at} AS (
   JOIN unit{at} ON unit{at}.i = s.i WHERE score >= {licenses.LEAST})"""
 
 
-_PARTS = f"list_filter(list_transform(regexp_split_to_array(lower({{}}), '{licenses.SEPARATORS}')[1:{licenses.PARTS}], lambda x: trim(x, '.+-')), lambda x: x <> '' AND x NOT IN ({', '.join(map(_quoted, licenses.COMMON))}))[1:{licenses.OPENING}]"
+_PARTS = f"list_filter(list_transform(regexp_extract_all(lower({{}}), '[{licenses.WORD}]+')[1:{licenses.PARTS}], lambda x: trim(x, '.+-')), lambda x: x <> '' AND x NOT IN ({', '.join(map(_quoted, licenses.COMMON))}))[1:{licenses.OPENING}]"
 _OPENING = _terms("body") + f"[1:{licenses.OPENING}]"
 OP10 = f"""WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'),

@@ -586,7 +586,7 @@ def brute_cosine(text):
     head = next((i for i, x in enumerate(lines) if not re.search(licenses.COMMENT, x) and re.search("[A-Za-z0-9]", x)), len(lines))
     units = [(u, 0.5, 1) for u in lines] + [(p, 0.5, 2) for p in re.split("\n\n+", "\n".join(solid)) if "\n" in p] + [("\n".join(lines[:head]), 0.5, 2 if head > 1 else 1), (text, 0.8, 3)]
     found = [(0 if name == "Proprietary" else rank, score, n, name) for u, share, rank in units for score, n, name in nearest(whole, licenses._terms_of(u), share)]
-    parts = (x.strip(".+-") for x in re.split(licenses.SEPARATORS, text.lower())[: licenses.PARTS])
+    parts = (x.strip(".+-") for x in re.findall("[a-z0-9.+-]+", text.lower())[: licenses.PARTS])
     begun = [t for t in parts if t and t not in licenses.COMMON][: licenses.OPENING]
     found += [(4, score, n, name) for score, n, name in nearest([(n, licenses._terms_of(t)[: licenses.OPENING]) for n, t in licenses.OPENINGS], begun, 0.5)]
     return max(found)[1::2] if found else (None, None)
