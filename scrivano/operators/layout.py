@@ -181,3 +181,12 @@ def render_findings(plain: DataFrame, marked: DataFrame, position: float = RENDE
     off = of(plain, "p").join(of(marked, "m"), ["case", "nth"], "full").where(~F.coalesce(same, F.lit(False)))
     return off.groupBy("case").agg(F.count("*").alias("n")).select("case", F.lit("marker_render_inconsistent").alias("code"), F.lit("warning").alias("severity"), "n")
 
+
+def gate(cases: DataFrame, findings: DataFrame) -> DataFrame:
+    """case, status, findings, worst of gate D: failed with an error, to be reviewed with a warning, else passed; worst is the code of the
+    gravest findings that most of them have, ties by name.  cases: case; findings: case, code, severity, n of all of this module and raster's."""
+    rank = F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)
+    grave = F.max(F.struct(rank.alias("rank"), F.col("n").alias("n"), F.transform(F.split("code", ""), lambda c: -F.ascii(c)).alias("order"), "code")).alias("top")
+    found = findings.groupBy("case").agg(F.count("*").alias("findings"), grave)
+    status = F.when(F.col("top.rank") == 2, "FAIL").when(F.col("top.rank") == 1, "REVIEW_REQUIRED").otherwise("PASS")
+    return cases.select("case").join(found, "case", "left").select("case", status.alias("status"), F.coalesce("findings", F.lit(0)).alias("findings"), F.col("top.code").alias("worst"))

@@ -283,3 +283,16 @@ def calibration_grid(spark, sf_dir):
     # nothing reflows here, so that every tolerance sees the same pixels
     areas = sizes.select("case", F.explode(F.array(*map(F.lit, calibration.POSITIONS))).alias("position"), "level", "area")
     return calibration.sweep(cases, areas).select("position", "level", "area", "tp", "fn", "fp", "tn")
+
+
+@query(f"""WITH found AS (SELECT * FROM ({ORACLE_SQL["layout_findings"]}) a UNION ALL SELECT * FROM ({ORACLE_SQL["box_findings"]}) b UNION ALL SELECT * FROM ({ORACLE_SQL["render_findings"]}) c
+  UNION ALL SELECT doc_id, 'unexpected_visual_change', 'warning', regions FROM ({ORACLE_SQL["raster_regions"]}) d),
+ranked AS (SELECT *, CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END AS rank FROM found),
+top AS (SELECT doc_id, rank, code, count(*) OVER (PARTITION BY doc_id) AS findings FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, n DESC, code) = 1)
+SELECT d.doc_id, CASE rank WHEN 2 THEN 'FAIL' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS status, coalesce(findings, 0) AS findings, code AS worst FROM documents d LEFT JOIN top ON top.doc_id = d.doc_id""")
+def visual_gate(spark, sf_dir):
+    """Gate D of every document: findings of words, boxes, renderings and pixels taken together."""
+    found = layout_findings(spark, sf_dir).unionByName(box_findings(spark, sf_dir)).unionByName(render_findings(spark, sf_dir)).withColumnRenamed("doc_id", "case")
+    pixels = raster_regions(spark, sf_dir).select(F.col("doc_id").alias("case"), F.lit("unexpected_visual_change").alias("code"), F.lit("warning").alias("severity"), F.col("regions").alias("n"))
+    cases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case"))
+    return layout.gate(cases, found.unionByName(pixels)).withColumnRenamed("case", "doc_id")

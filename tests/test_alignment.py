@@ -158,3 +158,10 @@ def test_edited_lines(spark):
     after = spark.createDataFrame([w("a", 0, 1.0, True), w("a", 1, 1.04, True), w("b", 0, 9.0, True), w("c", 0, 1.0, False)], WORD)
     assert {(r.case, r.n) for r in layout.edited_lines(before, after).collect()} == {("a", 1), ("c", 0)}
     assert layout.numbered(before).select(F.max("nth")).first()[0] == 1
+
+
+def test_gate(spark):
+    rows = [("a", "x", "info", 9), ("b", "x", "info", 9), ("b", "y", "warning", 1), ("b", "z", "warning", 1), ("c", "y", "warning", 8), ("c", "q", "error", 1), ("c", "r", "error", 2)]
+    cases = spark.createDataFrame([(c,) for c in "abcd"], "case string")
+    got = {tuple(r) for r in layout.gate(cases, spark.createDataFrame(rows, "case string, code string, severity string, n long")).collect()}
+    assert got == {("a", "PASS", 1, "x"), ("b", "REVIEW_REQUIRED", 3, "y"), ("c", "FAIL", 3, "r"), ("d", "PASS", 0, None)}
