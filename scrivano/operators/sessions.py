@@ -2,7 +2,8 @@
 
 An event is a request; whether it takes effect depends on what those before it left behind, so a
 session's events are folded in order.  The fold is one aggregate over a session's sorted array: a
-session is one user's work on one document and has some hundreds of events.
+session is one user's work on one document and has some hundreds of events.  Its log of results is copied with
+each of them, which takes seconds at ten thousand (tested); streaming.session_state keeps no log.
 """
 
 from __future__ import annotations

@@ -149,3 +149,19 @@ def test_a_batch_that_breaks_leaves_nothing(spark, tmp_path):
     assert event_store.stored(spark, folder, rows.schema).count() == 0
     event_store.append(rows.where("k <> 7"), folder, 0)
     assert event_store.stored(spark, folder, rows.schema).count() == 9
+
+
+def test_a_session_of_ten_thousand_requests(spark):
+    """The fold over a table keeps a log of a session's requests, which it copies with each: still seconds at this length, and the same as one by one."""
+    import time
+
+    rng = random.Random(9)
+    rows = [(1, n, BEGIN + datetime.timedelta(seconds=40 * n), rng.choice(KINDS) if n else "create", rng.randrange(4), rng.choice(["PASS", "FAIL"])) for n in range(10_000)]
+    began = time.time()
+    got = batch(spark, rows)
+    assert time.time() - began < 60
+    state, want = session_state.Session(), {}
+    for _, n, ts, kind, expected, decision in rows:
+        r = session_state.Request((ts - datetime.datetime(1970, 1, 1)).total_seconds(), kind, expected, decision)
+        state, want[1, n] = session_state.applied(state, n, r, 300.0)
+    assert got == want
