@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the
 shared folder and reads again as the next stage's docs.  All but the last return the columns of
 documents; the last has one row per document taken, with its token ids.
+
+Defined results of the stages: a null text is an empty one, so the rules reject it; nulls in other columns stay, a null
+source is a source of its own, a null id comes after all others.  Repeated rows are documents each; of a group of
+near-duplicates, repeated rows among them, the one with the smallest id stays, then the one with the smallest text key.
+Texts are read whole, whatever their length.  Other columns pass through, but for the last stage; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
