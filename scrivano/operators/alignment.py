@@ -34,6 +34,30 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"i": i, "j": j} for i, j in lcs.matched(list(x), list(y))] for x, y in zip(a, b)])
 
 
+RUNS = ArrayType(StructType().add("i", IntegerType()).add("j", IntegerType()).add("n", IntegerType()))
+
+
+@F.pandas_udf(RUNS)
+def common_runs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The same as runs: where they begin on both sides, and how long they are."""
+
+    def one(x, y):
+        out: list[dict] = []
+        for i, j in lcs.matched(list(x), list(y)):
+            last = out[-1] if out else None
+            if last and last["i"] + last["n"] == i and last["j"] + last["n"] == j:
+                last["n"] += 1
+            else:
+                out.append({"i": i, "j": j, "n": 1})
+        return out
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+
+# So that no filter on what is made of the runs is pushed below them, where Python cannot run inside it.
+common_runs = common_runs.asNondeterministic()
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def rising(values: pd.Series) -> pd.Series:
     return pd.Series([lcs.rising(list(v)) for v in values])

@@ -27,9 +27,25 @@ def aligned(before: DataFrame, after: DataFrame, keep: Callable[[DataFrame], Dat
     return alignment.sides(plain(before), plain(after), pairs, FIELDS)
 
 
+def paired(both: DataFrame, *more: str) -> DataFrame:
+    """The same of documents that fit a row: case, wa and wb (each side's words that are compared, in order), m (their common runs) and more.
+
+    Rows dealt out by case stay where they are, here and in word_findings().  Spark forgets how rows are dealt where
+    Python runs, so m must be there before.
+    """
+    at = lambda side: F.flatten(F.transform("m", lambda x: F.sequence(x[side], x[side] + x["n"] - 1)))
+    none = lambda side: F.lit(None).cast(both.schema[side].dataType.elementType)
+    alone = lambda side, k: F.transform(F.array_except(F.transform(side, lambda _, i: i), at(k)), lambda i: F.get(side, i))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda k: F.struct(F.get("wa", x["i"] + k).alias("a"), F.get("wb", x["j"] + k).alias("b")))))
+    rows = F.concat(pairs, F.transform(alone("wa", "i"), lambda w: F.struct(w.alias("a"), none("wb").alias("b"))), F.transform(alone("wb", "j"), lambda w: F.struct(none("wa").alias("a"), w.alias("b"))))
+    return both.select("case", *more, F.explode(rows).alias("p")).select("case", *more, "p.a", "p.b")
+
+
 def word_findings(pairs: DataFrame, first_marked: DataFrame | None = None, position: float = POSITION, size: float = SIZE) -> DataFrame:
-    """case, code, severity, n.  first_marked (case, first) is the first edited word's ord; without one, all lie before."""
-    if first_marked is None:
+    """case, code, severity, n.  first_marked (case, first) is the first edited word's ord; without one, all lie before.  Pairs may have first already."""
+    if "first" in pairs.columns:
+        pass
+    elif first_marked is None:
         pairs = pairs.withColumn("first", F.lit(None).cast("int"))
     else:
         pairs = pairs.join(first_marked, "case", "left")
@@ -152,7 +168,12 @@ def box_findings(before: DataFrame, after: DataFrame, pages: DataFrame, reflow:
 def edited_lines(before: DataFrame, after: DataFrame) -> DataFrame:
     """case, code, severity, n: cases whose edited places fill another number of lines, with the number they fill now."""
     both = marked_lines(before).withColumnRenamed("lines", "a").join(marked_lines(after).withColumnRenamed("lines", "b"), "case", "full").na.fill(0, ["a", "b"])
-    return both.where("a <> b").select("case", F.lit("edited_text_line_count_changed").alias("code"), F.lit("info").alias("severity"), F.col("b").alias("n"))
+    return other_lines(both)
+
+
+def other_lines(counts: DataFrame) -> DataFrame:
+    """The same of counts: case, a and b, how many lines edited places fill on either side."""
+    return counts.where("a <> b").select("case", F.lit("edited_text_line_count_changed").alias("code"), F.lit("info").alias("severity"), F.col("b").cast("long").alias("n"))
 
 
 def numbered(words: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.diff import word_diff
 from ..operators import blocks as B
 from ..operators import edit_rules as R
-from ..operators import calibration, layout, raster
+from ..functions.text import let
+from ..operators import alignment, calibration, layout, raster
 from ..sources.tables import stored, table
 from .text_queries import GREEDY
 
@@ -63,9 +64,9 @@ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, half) - 1 AS
   UNION ALL SELECT doc_id, o, 1, '', false, false FROM t WHERE free AND length(w) % 9 = 4) x)"""
 
 
-def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _versions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """case, ord, text, marked of both versions."""
-    w = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case"), F.posexplode(F.split("text", " ", -1)).alias("o", "text"))
+    w = docs.select(F.col("doc_id").alias("case"), F.posexplode(F.split("text", " ", -1)).alias("o", "text"))
     n = F.length("text")
     w = w.withColumn("marked", F.endswith("text", F.lit(",")) & (n % 5 == 0)).withColumn("k", F.count("*").over(Window.partitionBy("case", "text")))
     w = stored(w.withColumn("free", (F.col("k") == 1) & ~F.col("marked")))
@@ -78,18 +79,72 @@ def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return w.select("case", F.col("o").alias("ord"), "text", "marked"), after
 
 
-def _set(words: DataFrame, font: Column, color: Column) -> DataFrame:
-    """Words ten to a line and sixty lines to a page."""
-    o = F.col("ord")
+def _place(o: Column, font: Column, color: Column) -> list[Column]:
+    """Where a word stands: ten to a line and sixty lines to a page."""
     num = lambda c: c.cast("double")
     place = {"page": F.floor(o / 600).cast("int"), "x0": num(o % 10 * 50), "top": num(F.floor(o / 10) % 60 * 12), "size": F.lit(10.0), "font": font, "color": color}
-    return words.select("*", *(c.alias(n) for n, c in place.items()))
+    return [c.alias(n) for n, c in place.items()]
+
+
+def _set(words: DataFrame, font: Column, color: Column) -> DataFrame:
+    return words.select("*", *_place(F.col("ord"), font, color))
+
+
+def _looks(text: Column) -> tuple[Column, Column]:
+    """Font and colour of a word of the second version."""
+    return F.when(F.length(text) % 11 == 3, "Sans").otherwise("CD+Serif"), F.when(text.startswith("r"), "red").otherwise("black")
+
+
+def _rendered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    before, after = _versions(docs)
+    return _set(before, F.lit("AB+Serif"), F.lit("black")), _set(after, *_looks(F.col("text")))
+
 
+def _arrays(text: str) -> tuple[Column, Column]:
+    """Words (text, marked) of both versions of a text that fits a row, as arrays."""
+    words = F.split(text, " ", -1)
+    marked = lambda t: t.endswith(",") & (F.length(t) % 5 == 0)
 
-def _rendered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    before, after = _versions(spark, sf_dir)
-    font, color = F.when(F.length("text") % 11 == 3, "Sans").otherwise("CD+Serif"), F.when(F.startswith("text", F.lit("r")), "red").otherwise("black")
-    return _set(before, F.lit("AB+Serif"), F.lit("black")), _set(after, font, color)
+    def second(ws: Column, once: Column) -> Column:
+        def of(t: Column, o: Column) -> Column:
+            n, new = F.length(t), F.concat(F.lit("§"), o.cast("string"))
+            free = lambda: F.array_contains(once, t) & ~marked(t)
+            own = F.when((n % 14 == 0) & free(), F.lit(None)).when((n % 14 == 7) & free(), F.concat(t, new)).otherwise(t)
+            added = F.when((n % 9 == 4) & free(), new)
+            both = F.array(F.struct(own.alias("text"), marked(t).alias("marked")), F.struct(added.alias("text"), F.lit(False).alias("marked")))
+            return F.filter(both, lambda w: w["text"].isNotNull())
+
+        return F.flatten(F.transform(ws, of))
+
+    def single(ws: Column) -> Column:
+        alone = lambda s: F.filter(s, lambda t, i: ~t.eqNullSafe(F.get(s, i - 1)) & ~t.eqNullSafe(F.get(s, i + 1)))
+        return let(F.array_sort(ws), alone)
+
+    first = F.transform(words, lambda t: F.struct(t.alias("text"), marked(t).alias("marked")))
+    return first, let(words, lambda ws: let(single(ws), lambda once: second(ws, once)))
+
+
+def _short(docs: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents that fit a row: rows of layout.paired() with first, and findings of edited lines.  Texts are dealt out once, with
+    their common runs, before they become words of many fields."""
+    a, b = _arrays("text")
+    plain = lambda ws: F.transform(F.filter(ws, lambda w: ~w["marked"]), lambda w: w["text"])
+    d = docs.select(F.col("doc_id").alias("case"), "text").where("text IS NOT NULL")
+    # both sides come as a row of their own, as a user function's arguments may not hold functions of functions
+    both = d.select("case", "text", F.inline(F.array(F.struct(plain(a).alias("a"), plain(b).alias("b")))))
+    dealt = both.select("case", "text", alignment.common_runs("a", "b").alias("m")).repartition(tasks, "case")
+
+    def set_(ws: Column, looks) -> Column:
+        word = lambda w, o: F.struct(o.alias("ord"), w["marked"].alias("marked"), w["text"].alias("text"), *_place(o, *looks(w["text"])))
+        return F.transform(ws, word)
+
+    wa, wb = set_(a, lambda t: (F.lit("AB+Serif"), F.lit("black"))), set_(b, _looks)
+    bare = lambda ws: F.transform(F.filter(ws, lambda w: ~w["marked"]), lambda w: F.struct(*(w[f].alias(f) for f in ("ord", *layout.FIELDS))))
+    first = F.array_min(F.transform(a, lambda w, i: F.when(w["marked"], i)))  # null without one
+    pairs = layout.paired(dealt.select("case", "m", first.alias("first"), bare(wa).alias("wa"), bare(wb).alias("wb")), "first")
+    lines = lambda ws: F.size(F.array_distinct(F.transform(F.filter(ws, lambda w: w["marked"]), lambda w: F.struct(w["page"], F.bround(w["top"], 1)))))
+    counted = d.select("case", lines(wa).alias("a"), lines(wb).alias("b"))
+    return pairs, layout.other_lines(counted)
 
 
 _PLACES = """p AS (
@@ -114,8 +169,12 @@ SELECT doc_id, code, severity, CAST(n AS BIGINT) AS n FROM (
 WHERE n > 0 OR code = 'edited_text_line_count_changed'""")
 def layout_findings(spark, sf_dir):
     """Words of all documents set in lines and pages, against a version in which words went, came and changed."""
-    before, after = _rendered(spark, sf_dir)
-    found = layout.word_findings(layout.aligned(before, after, stored), layout.first_marked(before)).unionByName(layout.edited_lines(before, after))
+    d = table(spark, sf_dir, "documents")
+    fits = F.size(F.split("text", " ", -1)) <= alignment.SHORT
+    before, after = _rendered(d.where(~fits))
+    long = layout.word_findings(layout.aligned(before, after, stored), layout.first_marked(before)).unionByName(layout.edited_lines(before, after))
+    pairs, lines = _short(d.where(fits), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = layout.word_findings(pairs).unionByName(lines).unionByName(stored(long))
     return found.select(F.col("case").alias("doc_id"), "code", "severity", "n")
 
 
@@ -123,7 +182,7 @@ def layout_findings(spark, sf_dir):
   SELECT doc_id, CAST(pa AS INTEGER) AS page, ta AS top FROM q WHERE NOT stable UNION ALL SELECT doc_id, CAST(pb AS INTEGER), tb FROM q WHERE NOT stable) x GROUP BY doc_id, page""")
 def reflow_tops(spark, sf_dir):
     """Where each page's reflow begins, as the least top of moved words on either side."""
-    before, after = _rendered(spark, sf_dir)
+    before, after = _rendered(table(spark, sf_dir, "documents"))
     return layout.reflow_tops(layout.aligned(before, after, stored)).select(F.col("case").alias("doc_id"), "page", "top")
 
 
