@@ -42,9 +42,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: The tokenizer file is read on the driver and broadcast; larger ones are refused.
 MOST_BYTES = 64 << 20
-#: Entries that the tables of arcs and of transitions, and the one of encoded words, may have before they start anew: some
-#: 350 MB of a worker in all.  Smaller ones start anew so often that most of the time goes into filling them.
-MOST_KEPT, MOST_WORDS = 1 << 19, 3 << 18
+#: Entries that the tables of arcs and of transitions, and the one of encoded words, may have before they start anew.  SMALL
+#: takes some 180 MB of a worker and LARGE 310 MB, of which 60 MB are the tokenizer; LARGE starts anew far less often and is
+#: a third quicker, where nothing else needs the workers' memory.
+SMALL, LARGE = (1 << 18, 1 << 18), (1 << 19, 3 << 18)
 #: Longest word kept, in bytes.
 KEPT_WORD = 64
 
@@ -67,14 +68,15 @@ class Words(dict):
         raw = word.encode()
         ids = np.array(self.automaton.encode_word(raw), "<u4").tobytes()
         if len(raw) <= KEPT_WORD:
-            if len(self) >= MOST_WORDS:
+            if len(self) >= self.automaton.kept[1]:
                 self.clear()
             self[word] = ids
         return ids
 
 
 class Automaton:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, kept: tuple[int, int] = SMALL):
+        self.kept = kept
         spec = json.loads(data)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
@@ -130,7 +132,7 @@ class Automaton:
         """Whether token t may follow state s."""
         found = self.arcs.get(s << 32 | t)
         if found is None:
-            if len(self.arcs) >= MOST_KEPT:
+            if len(self.arcs) >= self.kept[0]:
                 self.arcs.clear()
             found = self.arcs[s << 32 | t] = self._arc(s, t)
         return found
@@ -172,7 +174,7 @@ class Automaton:
         return to
 
     def encode_word(self, w: bytes) -> list[int]:
-        if len(self.table) + len(w) > MOST_KEPT:
+        if len(self.table) + len(w) > self.kept[0]:
             self.restart()
         s, came, table, put_out = 0, [], self.table.get, self.put_out
         for byte in w:
@@ -206,15 +208,15 @@ class Automaton:
         return b"".join(labels).decode("utf-8", "replace")
 
 
-_READY: dict[bytes, Automaton] = {}
+_READY: dict[tuple, Automaton] = {}
 
 
-def automaton(data: bytes) -> Automaton:
+def automaton(data: bytes, kept: tuple[int, int] = SMALL) -> Automaton:
     """Built once in each Python worker."""
-    key = hashlib.sha256(data).digest()
+    key = hashlib.sha256(data).digest(), kept
     if key not in _READY:
         _READY.clear()
-        _READY[key] = Automaton(data)
+        _READY[key] = Automaton(data, kept)
     return _READY[key]
 
 
@@ -226,22 +228,22 @@ def load(path: str) -> bytes:
     return data
 
 
-def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", kept: tuple[int, int] = SMALL) -> DataFrame:
     """df with ids_col, an array<int>, in place of a column of that name."""
-    return _mapped(df.drop(ids_col), tokenizer, text_col, lambda a, ids: [np.frombuffer(ids, "<i4")], [(ids_col, pa.list_(pa.int32()), ArrayType(IntegerType()))])
+    return _mapped(df.drop(ids_col), tokenizer, text_col, kept, lambda a, ids: [np.frombuffer(ids, "<i4")], [(ids_col, pa.list_(pa.int32()), ArrayType(IntegerType()))])
 
 
-def digests(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+def digests(df: DataFrame, tokenizer: str, text_col: str = "text", kept: tuple[int, int] = LARGE) -> DataFrame:
     """df without text_col, with n_tokens, ids_sha256 and decoded_sha256: encoded, then decoded again."""
 
     def row(a: Automaton, ids: bytes):
         return [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(a.decode(ids).encode()).hexdigest()]
 
     out = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
-    return _mapped(df.drop(*[o[0] for o in out]), tokenizer, text_col, row, out, keep_text=False)
+    return _mapped(df.drop(*[o[0] for o in out]), tokenizer, text_col, kept, row, out, keep_text=False)
 
 
-def _mapped(df: DataFrame, tokenizer: str, text_col: str, row, out, keep_text: bool = True) -> DataFrame:
+def _mapped(df: DataFrame, tokenizer: str, text_col: str, kept: tuple[int, int], row, out, keep_text: bool = True) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(load(tokenizer))
@@ -250,7 +252,7 @@ def _mapped(df: DataFrame, tokenizer: str, text_col: str, row, out, keep_text: b
     sent = df.select(*map(column, names), text)
 
     def run(batches):
-        a = automaton(held.value)
+        a = automaton(held.value, kept)
         for b in batches:
             rows = [row(a, a.encode(t)) for t in b.column(len(names)).to_pylist()]
             made = [pa.array([r[k] for r in rows], kind) for k, (_, kind, _) in enumerate(out)]

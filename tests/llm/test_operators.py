@@ -501,16 +501,12 @@ def test_bpe_words_are_the_libraries(spark):
     """Long words, and tables that start anew."""
     from tokenizers import Tokenizer
 
-    t, a = Tokenizer.from_file(TOKENIZER), bpe.Automaton(bpe.load(TOKENIZER))
-    rng, kept = random.Random(4), (bpe.MOST_KEPT, bpe.MOST_WORDS)
-    bpe.MOST_KEPT = bpe.MOST_WORDS = 300
-    try:
-        for _ in range(300):
-            w = "".join(rng.choice("aabetinghous") for _ in range(rng.randint(1, 90)))
-            assert np.frombuffer(a.encode(w), "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
-            assert len(a.table) < 500
-    finally:
-        bpe.MOST_KEPT, bpe.MOST_WORDS = kept
+    t, a = Tokenizer.from_file(TOKENIZER), bpe.Automaton(bpe.load(TOKENIZER), (300, 300))
+    rng = random.Random(4)
+    for _ in range(300):
+        w = "".join(rng.choice("aabetinghous") for _ in range(rng.randint(1, 90)))
+        assert np.frombuffer(a.encode(w), "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
+        assert len(a.table) < 500 and len(a.words) <= 300
     with pytest.raises(ValueError):
         bpe.Automaton(b'{"model": {"vocab": {"a": 0, "b": 1, "ab": 2, "abb": 3}, "merges": ["ab b", "a b"]}}')
 
