@@ -39,3 +39,13 @@ def test_greedy_takes_touching_not_overlapping(spark):
     e = spark.createDataFrame(rows, "doc_id long, ord int, text string, n int, start int, end int, proposed string, confidence double")
     got = R.applied(R.greedy(e)).first()
     assert (got["new_text"], got["n_applied"]) == ("QSXY", 3)
+
+
+@pytest.mark.parametrize("text, link", [("tion.aiçtion.", True), ("ai çdev.io", True), ("see example.com", True), ("example.comç", True), ("example.coms", False), ("x_example.com_", False), ("no link", False)])
+def test_links_end_where_ascii_words_do(spark, text, link):
+    """As in the SQL: a letter that is not ASCII ends a word, whatever Java's version makes of it."""
+    assert one(spark, F.col("t").rlike(R.LINK_JAVA), t=text) == link
+
+
+def test_units_end_where_ascii_words_do(spark):
+    assert set(one(spark, T.numeric_claims(F.col("t")), t="5 kç 7 percenté 8 kg 9x")) == {"5k", "7%", "8", "9x"}
