@@ -1,6 +1,7 @@
 """What the plans over packages and layouts read, deal out and store: each thing once."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from scrivano.operators import faults, package_index, segments, structure
 from scrivano.plans import catalogue, package_queries
@@ -101,3 +102,10 @@ def test_rejected_edit_of_a_block_that_no_accepted_one_touches(spark):
     rejected = spark.createDataFrame([("p", "e", at, 0, 5, "Other", "Other words")], spec)
     found = gates.content(*sides, rejected.limit(0), rejected, spark.createDataFrame([], "path string, text string"))
     assert {r.code for r in found.collect()} == {"unintended_text_change", "rejected_edit_present"}
+
+
+def test_stored_tables_are_not_broadcast(spark):
+    """Their files are so small that Spark would send tables of gigabytes to the driver."""
+    big = stored(spark.range(1000).select("id", F.lit("x").alias("same")))
+    plan = lambda d: big.groupBy("id").count().join(d, "id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan(big) and "BroadcastExchange" not in plan(spark.range(5))
