@@ -12,6 +12,7 @@ match nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions import lcs
 
-#: Words of a side up to which a case, or a gap, needs no anchors.
-SHORT = 1024
+#: Words of a side up to which a case, or a gap, needs no anchors; and up to which its words fit a row.
+SHORT, ROW = 1024, 1 << 16
 ROUNDS = 2
 
 PLACES = ArrayType(StructType().add("i", IntegerType()).add("j", IntegerType()))
@@ -34,16 +35,38 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"i": i, "j": j} for i, j in lcs.matched(list(x), list(y))] for x, y in zip(a, b)])
 
 
+def anchored(x: list, y: list, short: int = SHORT, rounds: int = ROUNDS) -> list[tuple[int, int]]:
+    """What pairs() gives of a case whose words fit a row: places aligned, rising on both sides."""
+    if max(len(x), len(y)) <= short:
+        return lcs.matched(x, y)
+    out, gaps = [], [(0, len(x), 0, len(y))]
+    for _ in range(rounds):
+        left = []
+        for a, b, c, d in gaps:
+            many, most = Counter(x[a:b]), Counter(y[c:d])
+            place = {w: j for j, w in enumerate(y[c:d], c)}
+            once = [(i, place[w]) for i, w in enumerate(x[a:b], a) if many[w] == 1 and most[w] == 1]
+            found = [once[k] for k in lcs.rising([j for _, j in once])]
+            out += found
+            for i, j in [*found, (b, d)]:
+                left.append((a, i, c, j))
+                a, c = i + 1, j + 1
+        gaps = [g for g in left if g[0] < g[1] and g[2] < g[3]]
+    for a, b, c, d in gaps:
+        out += [(a + i, c + j) for i, j in lcs.matched(x[a:b], y[c:d])]
+    return sorted(out)
+
+
 RUNS = ArrayType(StructType().add("i", IntegerType()).add("j", IntegerType()).add("n", IntegerType()))
 
 
 @F.pandas_udf(RUNS)
 def common_runs(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same as runs: where they begin on both sides, and how long they are."""
+    """What anchored() gives of two arrays, as runs: where they begin on both sides, and how long they are."""
 
     def one(x, y):
         out: list[dict] = []
-        for i, j in lcs.matched(list(x), list(y)):
+        for i, j in anchored(list(x), list(y)):
             last = out[-1] if out else None
             if last and last["i"] + last["n"] == i and last["j"] + last["n"] == j:
                 last["n"] += 1

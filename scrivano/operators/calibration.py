@@ -26,10 +26,11 @@ _FAR = float("inf")
 def deviations(pairs: DataFrame, first_marked: DataFrame | None = None) -> DataFrame:
     """case, early, wrapped: how far words before the first edited one moved at most, and how far words of a line moved apart.
 
-    pairs: rows of layout.aligned().  Another page is infinitely far.
+    pairs: rows of layout.aligned(), or of layout.paired() with first.  Another page is infinitely far.
     """
     both = pairs.where("a IS NOT NULL AND b IS NOT NULL")
-    both = both.withColumn("first", F.lit(None).cast("int")) if first_marked is None else both.join(first_marked, "case", "left")
+    if "first" not in pairs.columns:
+        both = both.withColumn("first", F.lit(None).cast("int")) if first_marked is None else both.join(first_marked, "case", "left")
     off = lambda f: F.abs(F.col(f"b.{f}") - F.col(f"a.{f}"))
     moved = F.when(F.col("a.page") != F.col("b.page"), _FAR).otherwise(F.greatest(off("x0"), off("top")))
     line = Window.partitionBy("case", "a.page", F.bround("a.top", 1)).orderBy("a.ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -63,7 +64,7 @@ def sweep(cases: DataFrame, areas: DataFrame, positions: Sequence[float] = POSIT
     places = F.array(*(F.struct(F.lit(p).alias("position"), F.lit(v).alias("level")) for p in positions for v in levels))
     by = cases.select("*", F.explode(places).alias("s")).select("*", "s.*")
     far = F.coalesce(F.greatest("early", "wrapped") > F.col("position"), F.lit(False)) | F.coalesce(F.col("still") <= F.col("position"), F.lit(False))
-    sized = areas.select("case", F.col("position"), "level", F.col("area").alias("largest"))
+    sized = areas.select("case", F.col("position"), "level", F.col("area").alias("largest")).hint("merge")  # as many rows as cases
     by = by.withColumn("plain", F.col("fixed") | far).join(sized, ["case", "position", "level"], "left")
     # how many of the least areas the largest region has
     met = sum((F.when(F.col("largest") >= a, 1).otherwise(0) for a in sorted(least)), F.lit(0))

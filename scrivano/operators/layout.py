@@ -200,7 +200,19 @@ def render_findings(plain: DataFrame, marked: DataFrame, position: float = RENDE
     near = lambda f: F.abs(F.col(f"p.{f}") - F.col(f"m.{f}")) <= position
     same = (F.col("p.text") == F.col("m.text")) & (F.col("p.page") == F.col("m.page")) & near("x0") & near("top")
     off = of(plain, "p").join(of(marked, "m"), ["case", "nth"], "full").where(~F.coalesce(same, F.lit(False)))
-    return off.groupBy("case").agg(F.count("*").alias("n")).select("case", F.lit("marker_render_inconsistent").alias("code"), F.lit("warning").alias("severity"), "n")
+    return _inconsistent(off.groupBy("case").agg(F.count("*").alias("n")))
+
+
+def _inconsistent(counts: DataFrame) -> DataFrame:
+    return counts.select("case", F.lit("marker_render_inconsistent").alias("code"), F.lit("warning").alias("severity"), "n")
+
+
+def rendered_rows(both: DataFrame, position: float = RENDERED) -> DataFrame:
+    """The same of documents that fit a row: case, p and m, either rendering's words (text, page, x0, top) in order.  Nothing is shuffled."""
+    near = lambda p, m, f: F.abs(p[f] - m[f]) <= position
+    same = lambda p, m: F.coalesce((p["text"] == m["text"]) & (p["page"] == m["page"]) & near(p, m, "x0") & near(p, m, "top"), F.lit(False))
+    off = F.size(F.filter(F.zip_with("p", "m", same), lambda s: ~s)).cast("long")
+    return _inconsistent(both.select("case", off.alias("n")).where("n > 0"))
 
 
 def gate(cases: DataFrame, findings: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Pixels of two renderings of a page compared outside the places where change is expected.
 
-Pages are cut into tiles with a rim, so that what a pixel needs of its surroundings is in its own tile: the difference by
-channel, the difference from the content that moved down (tolerant to a pixel either way), and the opening that removes
-what is thinner than two pixels.  Changed pixels that touch, corners included, are one region; a tile's regions become
-rows, and regions that touch across tiles' borders are merged by their labels: pixels themselves never meet again.
+A page's difference is found tile by tile: the difference by channel, the difference from the content that moved down
+(tolerant to a pixel either way).  Then comes the opening that removes what is thinner than two pixels.  Changed pixels that
+touch, corners included, are one region.  A page comes as one row, so its mask, a byte a pixel beside the six of its
+sides, is in that row's task too: runs of its rows are joined there, and regions alone become rows.
 
 pages: case, page, width, height, before, after (binary, rows of red, green and blue), expected (array of struct of x0, y0,
 x1, y1 in pixels, the upper bounds not included; may be null), cut, start, shift (rows, may be null; see plan()).
@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 #: The level from which a channel differs, the least area of a region, and the rim of expected places.
 LEVEL, LEAST_AREA, PADDING = 32, 16, 4
 TILE = 256
-#: Pixels around a tile that its own ones need: one for the opening's blocks, one for the pixels that these look at.
-RIM = 2
 
 
 def plan(height: Column, dpi: Column, reflow_top: Column, shift: Column, last_bottom: Column, padding: int = PADDING) -> dict[str, Column]:
@@ -54,10 +51,11 @@ def opened(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Numbers from 1 for the regions of a mask, and how many there are: runs of rows, joined with those above that they touch."""
-    out = np.zeros(mask.shape, np.int32)
-    up: list[int] = [0]
+def joined(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a mask's rows: row, begin, end, and the number of the first run of their region; runs that touch, corners included, are one."""
+    edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (ys, begins), ends = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+    up = list(range(len(ys)))
 
     def root(k: int) -> int:
         while up[k] != k:
@@ -65,37 +63,26 @@ def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
             k = up[k]
         return k
 
-    above: list[tuple[int, int, int]] = []
-    for y in np.flatnonzero(mask.any(axis=1)):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask[y].astype(np.int8), [0]])))
-        runs = []
-        near = above if above and above[0][3] == y - 1 else []
-        at = 0
-        for a, b in zip(edges[::2], edges[1::2]):
-            while at < len(near) and near[at][1] < a:
-                at += 1
-            k = at
-            own = 0
-            while k < len(near) and near[k][0] <= b:  # [a - 1, b + 1) holds one of its pixels
-                other = root(near[k][2])
-                if own and other != own:
-                    up[max(own, other)] = min(own, other)
-                own = min(own, other) if own else other
-                k += 1
-            if not own:
-                own = len(up)
-                up.append(own)
-            runs.append((a, b, own, y))
-            out[y, a:b] = own
-        above = runs
-    roots = np.array([root(k) for k in range(len(up))])
-    kept, numbers = np.unique(roots[roots > 0], return_inverse=True)
-    new = np.zeros(len(up), np.int32)
-    new[roots > 0] = numbers + 1
-    return new[out], len(kept)
-
-
-TILES = "case string, page int, ty int, tx int, y0 int, x0 int, height int, width int, rim_top int, rim_left int, rows int, columns int, mask binary"
+    at, rows, lows, highs = 0, ys.tolist(), begins.tolist(), ends.tolist()
+    for i, (y, low, high) in enumerate(zip(rows, lows, highs)):
+        while at < i and (rows[at] < y - 1 or (rows[at] == y - 1 and highs[at] < low)):
+            at += 1
+        k = at
+        while k < i and rows[k] == y - 1 and lows[k] <= high:  # [low - 1, high + 1) holds one of its pixels
+            x, z = sorted((root(i), root(k)))
+            up[z] = x
+            k += 1
+    return ys, begins, ends, np.array([root(k) for k in range(len(up))], np.int64)
+
+
+def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 1 for the regions of a mask, and how many there are."""
+    ys, begins, ends, roots = joined(mask)
+    kept, numbers = np.unique(roots, return_inverse=True)
+    out = np.zeros(mask.shape, np.int32)
+    for y, a, b, n in zip(ys, begins, ends, numbers):
+        out[y, a:b] = n + 1
+    return out, len(kept)
 
 
 def _moved(b: np.ndarray, a: np.ndarray, top: int, left: int, bottom: int, right: int, start: int, shift: int, level: int) -> np.ndarray:
@@ -130,94 +117,47 @@ def page_mask(b: np.ndarray, a: np.ndarray, top: int, left: int, bottom: int, ri
     return mask
 
 
-def tiles(pages: DataFrame, tile: int = TILE, level: int = LEVEL) -> DataFrame:
-    """TILES: each tile's changed pixels with its rim, for tiles that have any."""
-
-    def cut_up(row: dict) -> Iterator[dict]:
-        height, width = row["height"], row["width"]
-        b, a = (np.frombuffer(row[s], np.uint8).reshape(height, width, 3) for s in ("before", "after"))
-        for ty, y0 in enumerate(range(0, height, tile)):
-            for tx, x0 in enumerate(range(0, width, tile)):
-                top, left, bottom, right = max(0, y0 - RIM), max(0, x0 - RIM), min(height, y0 + tile + RIM), min(width, x0 + tile + RIM)
-                mask = page_mask(b, a, top, left, bottom, right, row["expected"], row["cut"], row["start"], row["shift"], level)
-                if mask.any():
-                    yield {
-                        "case": row["case"], "page": row["page"], "ty": ty, "tx": tx, "y0": y0, "x0": x0, "height": min(tile, height - y0), "width": min(tile, width - x0),
-                        "rim_top": y0 - top, "rim_left": x0 - left, "rows": bottom - top, "columns": right - left, "mask": np.packbits(mask).tobytes(),
-                    }
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                for t in cut_up(row):
-                    yield pa.RecordBatch.from_pylist([t], schema=kind)
-
-    kind = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in TILES.split(", "))])
-    spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-    sent = pages.where("width > 0 AND height > 0").select("case", "page", "width", "height", "before", "after", "expected", "cut", "start", "shift")
-    return sent.mapInArrow(run, TILES)
-
-
-PARTS = "case string, page int, node string, area long, edge array<struct<y:int,x:int>>"
-
+REGIONS = "case string, page int, region string, area long"
 
-def parts(tiled: DataFrame) -> DataFrame:
-    """PARTS: the regions of each tile after the opening, with their areas and those of their pixels that lie on the tile's border."""
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for t in f.itertuples(index=False):
-                mask = np.unpackbits(np.frombuffer(t.mask, np.uint8), count=t.rows * t.columns).reshape(t.rows, t.columns).astype(bool)
-                own = opened(mask)[t.rim_top : t.rim_top + t.height, t.rim_left : t.rim_left + t.width]
-                marks, n = labelled(own)
-                area = np.bincount(marks.ravel(), minlength=n + 1)
-                border = np.zeros_like(own)
-                border[[0, -1]] = border[:, [0, -1]] = True
-                ys, xs = np.nonzero(border & own)
-                for k in range(1, n + 1):
-                    mine = marks[ys, xs] == k
-                    edge = [{"y": int(t.y0 + y), "x": int(t.x0 + x)} for y, x in zip(ys[mine], xs[mine])]
-                    rows.append((t.case, t.page, f"{t.ty}.{t.tx}.{k}", int(area[k]), edge))
-            yield pd.DataFrame(rows, columns=["case", "page", "node", "area", "edge"])
-
-    return tiled.mapInPandas(run, PARTS)
-
-
-def _merged(key: tuple, links: pd.DataFrame) -> pd.DataFrame:
-    """case, page, node, root of one page's links: a page has as many nodes as its tiles' borders have room for."""
-    up: dict[str, str] = {}
-
-    def root(k: str) -> str:
-        while up.setdefault(k, k) != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
+def _page(row: dict, tile: int, level: int) -> np.ndarray:
+    """The changed pixels of a page, put together from its tiles."""
+    height, width = row["height"], row["width"]
+    b, a = (np.frombuffer(row[s], np.uint8).reshape(height, width, 3) for s in ("before", "after"))
+    mask = np.zeros((height, width), bool)
+    for top in range(0, height, tile):
+        for left in range(0, width, tile):
+            bottom, right = min(height, top + tile), min(width, left + tile)
+            mask[top:bottom, left:right] = page_mask(b, a, top, left, bottom, right, row["expected"], row["cut"], row["start"], row["shift"], level)
+    return mask
 
-    for a, b in zip(links["a"], links["b"]):
-        x, y = sorted((root(a), root(b)))
-        up[y] = x
-    nodes = sorted(up)
-    return pd.DataFrame({"case": key[0], "page": key[1], "node": nodes, "root": [root(k) for k in nodes]})
 
+#: Rows and bytes of both sides' pixels that one Arrow batch holds.
+BATCH_ROWS, BATCH_BYTES = 10_000, 64 << 20
 
-def regions(pages: DataFrame, tile: int = TILE, level: int = LEVEL, least: int = LEAST_AREA, keep=DataFrame.cache) -> DataFrame:
-    """case, page, region, area: the changed regions of least pixels and more.
 
-    keep(df) gives df to read several times: a stored table on a cluster.
-    """
+def regions(pages: DataFrame, tile: int = TILE, level: int = LEVEL, least: int = LEAST_AREA) -> DataFrame:
+    """case, page, region (its first pixel), area: the changed regions of least pixels and more.  Nothing is shuffled."""
     fits = (F.length("before") == F.length("after")) & (F.length("before") == 3 * F.col("width") * F.col("height"))
     sound = pages.where(F.coalesce(fits, F.lit(False)))
     odd = pages.where(~F.coalesce(fits, F.lit(False))).select(F.col("case").cast("string"), "page", F.lit("size").alias("region"), F.lit(None).cast("long").alias("area"))
-    found = keep(parts(tiles(sound.withColumn("case", F.col("case").cast("string")), tile, level)))
-    border = found.select("case", "page", "node", F.explode("edge").alias("p")).select("case", "page", "node", "p.y", "p.x")
-    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))))
-    ahead = border.select("case", "page", F.col("node").alias("a"), F.explode(around).alias("d"), "y", "x").select("case", "page", "a", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    links = ahead.join(border.withColumnRenamed("node", "b"), ["case", "page", "y", "x"]).where("a <> b").select("case", "page", "a", "b").distinct()
-    roots = links.groupBy("case", "page").applyInPandas(_merged, "case string, page int, node string, root string")
-    whole = found.join(roots, ["case", "page", "node"], "left").groupBy("case", "page", F.coalesce("root", "node").alias("region")).agg(F.sum("area").alias("area"))
-    return whole.where(F.col("area") >= least).unionByName(odd)
+    kind = pa.schema([("case", pa.string()), ("page", pa.int32()), ("region", pa.string()), ("area", pa.int64())])
+
+    def of(row: dict) -> Iterator[tuple]:
+        ys, begins, ends, roots = joined(opened(_page(row, tile, level)))
+        areas = np.bincount(roots, weights=ends - begins, minlength=len(roots)).astype(np.int64)
+        for k in np.flatnonzero(areas >= max(least, 1)):
+            yield row["case"], row["page"], f"{ys[k]}.{begins[k]}", int(areas[k])
+
+    def run(batches):
+        for b in batches:
+            found = [r for i in range(b.num_rows) for r in of(b.slice(i, 1).to_pylist()[0])]
+            for at in range(0, len(found), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[at : at + BATCH_ROWS]), kind.types)], schema=kind)
+
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    sent = sound.where("width > 0 AND height > 0").select(F.col("case").cast("string").alias("case"), "page", "width", "height", "before", "after", "expected", "cut", "start", "shift")
+    return sent.mapInArrow(run, REGIONS).unionByName(odd)
 
 
 def findings(found: DataFrame) -> DataFrame:

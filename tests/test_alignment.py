@@ -165,3 +165,33 @@ def test_gate(spark):
     cases = spark.createDataFrame([(c,) for c in "abcd"], "case string")
     got = {tuple(r) for r in layout.gate(cases, spark.createDataFrame(rows, "case string, code string, severity string, n long")).collect()}
     assert got == {("a", "PASS", 1, "x"), ("b", "REVIEW_REQUIRED", 3, "y"), ("c", "FAIL", 3, "r"), ("d", "PASS", 0, None)}
+
+
+def test_a_case_in_a_row_is_aligned_as_one_in_many(spark):
+    rng = random.Random(5)
+    rows = {"a": [], "b": []}
+    texts = {}
+    for case in range(6):
+        a = [rng.choice("abcdefgh") if rng.random() < 0.6 else f"w{rng.randrange(60)}" for _ in range(120)]
+        b = [w for w in a if rng.random() < 0.9] + ["new"] * case
+        texts[case] = a, b
+        for side, ws in zip("ab", (a, b)):
+            rows[side] += [(case, o, w) for o, w in enumerate(ws)]
+    d = {s: spark.createDataFrame(r, "case int, ord int, text string") for s, r in rows.items()}
+    got = {}
+    for r in alignment.pairs(d["a"], d["b"], lambda x: x.cache(), short=10).collect():
+        got.setdefault(r.case, []).append((r.a, r.b))
+    for case, (a, b) in texts.items():
+        assert sorted(got[case]) == alignment.anchored(a, b, short=10)
+
+
+def test_renderings_in_rows(spark):
+    word = "struct<text:string,page:int,x0:double,top:double>"
+    p = [("a", 0, 1.0, 1.0), ("b", 0, 2.0, 1.0), (None, 1, 0.0, 0.0)]
+    m = [("a", 0, 1.005, 1.0), ("b", 0, 2.5, 1.0), (None, 1, 0.0, 0.0), ("c", 1, 5.0, 0.0)]
+    rows = spark.createDataFrame([(1, p, m), (2, p[:1], m[:1]), (3, [], m)], f"case int, p array<{word}>, m array<{word}>")
+    got = layout.rendered_rows(rows)
+    flat = lambda s: rows.select("case", F.posexplode(s).alias("ord", "w")).select("case", "ord", "w.*")
+    want = layout.render_findings(flat("p"), flat("m"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "marker_render_inconsistent", "warning", 3), (3, "marker_render_inconsistent", "warning", 4)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
