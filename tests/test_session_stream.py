@@ -165,3 +165,28 @@ def test_a_session_of_ten_thousand_requests(spark):
         r = session_state.Request((ts - datetime.datetime(1970, 1, 1)).total_seconds(), kind, expected, decision)
         state, want[1, n] = session_state.applied(state, n, r, 300.0)
     assert got == want
+
+
+def test_a_batch_of_a_session_takes_few_calls():
+    """Each call to the state goes to another process, so their number must not grow with a session's requests."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    def calls(count):
+        fold, handle = session_state.Fold(300.0, None), MagicMock()
+        fold.init(handle)
+        session, waiting = handle.getValueState.return_value, handle.getListState.return_value
+        session.get.return_value, kept = None, []
+        waiting.appendList.side_effect = kept.extend
+        rows = pd.DataFrame([(n, 10.0 * n, "claim" if n else "create", None, None) for n in range(count)], columns=["n", "at", "request", "expected", "decision"])
+        assert list(fold.handleInputRows((1,), iter([rows]), None)) == []
+        waiting.get.side_effect = lambda: iter(list(kept))
+        late = 5_000 * count  # half of the requests are due
+        out = list(fold.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: late), None))
+        assert out[0].n.dropna().tolist() == list(range(count // 2 + 1))
+        assert [r[0] for r in waiting.put.call_args.args[0]] == list(range(count // 2 + 1, count))
+        return len(handle.registerTimer.call_args_list) + len(session.method_calls) + len(waiting.method_calls)
+
+    assert calls(1000) == calls(10) <= 10
