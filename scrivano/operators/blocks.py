@@ -16,7 +16,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def edits(b: DataFrame) -> DataFrame:
     """Two edits for a block whose second word has room for both (three characters): the word replaced, and a range inside it."""
-    words = F.split("text", " ", -1)
+    words = F.split("text", " ", 3)  # the first two, and the rest as it is
     w0, w1 = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     kind = F.col("ord") % 6
     new = F.when(kind == 0, F.concat(w1, w1)).when(kind == 1, F.concat(w1, F.lit(" 25%"))).when(kind == 2, F.concat(F.lit("led "), w1)).when(kind == 3, F.concat(w1, F.lit(" see www.example.com"))).when(kind == 4, F.repeat(F.concat(w1, F.lit(" ")), 40)).otherwise(w1)

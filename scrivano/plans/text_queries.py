@@ -184,7 +184,8 @@ _VERB = " OR ".join(f"(starts_with(w, '{v}') AND NOT EXISTS (SELECT 1 FROM unnes
 @query(f"WITH {EDITS} SELECT DISTINCT doc_id, ord, n, w AS verb FROM (SELECT doc_id, ord, n, original, unnest(regexp_extract_all(lower(proposed), '[a-z]+')) AS w FROM edits) e WHERE {_VERB}")
 def introduced_verbs(spark, sf_dir):
     e = B.edits(B.blocks(table(spark, sf_dir, "documents")))
-    return e.select("doc_id", "ord", "n", F.explode(T.introduced_verbs(F.col("original"), F.col("proposed"), F.lit(""))).alias("verb"))
+    # outer, as for an inner one Spark adds a filter on the array's size, which makes the array once more
+    return e.select("doc_id", "ord", "n", F.explode_outer(T.introduced_verbs(F.col("original"), F.col("proposed"), F.lit(""))).alias("verb")).where("verb IS NOT NULL")
 
 
 @query(f"WITH {EDITS} SELECT doc_id, ord, n, length(proposed) - length(original) > least(greatest(40, length(original)), 120) AS too_long, regexp_matches(proposed, 'www\\.') AS link FROM edits")
