@@ -39,6 +39,10 @@ def anchored(x: list, y: list, short: int = SHORT, rounds: int = ROUNDS) -> list
     """What pairs() gives of a case whose words fit a row: places aligned, rising on both sides."""
     if max(len(x), len(y)) <= short:
         return lcs.matched(x, y)
+    at, to = lcs.shared(x, y)  # no other word is an anchor or has a partner
+    x, y = [x[i] for i in at], [y[j] for j in to]
+    if x == y:
+        return list(zip(at, to))
     out, gaps = [], [(0, len(x), 0, len(y))]
     for _ in range(rounds):
         left = []
@@ -54,31 +58,7 @@ def anchored(x: list, y: list, short: int = SHORT, rounds: int = ROUNDS) -> list
         gaps = [g for g in left if g[0] < g[1] and g[2] < g[3]]
     for a, b, c, d in gaps:
         out += [(a + i, c + j) for i, j in lcs.matched(x[a:b], y[c:d])]
-    return sorted(out)
-
-
-RUNS = ArrayType(StructType().add("i", IntegerType()).add("j", IntegerType()).add("n", IntegerType()))
-
-
-@F.pandas_udf(RUNS)
-def common_runs(a: pd.Series, b: pd.Series) -> pd.Series:
-    """What anchored() gives of two arrays, as runs: where they begin on both sides, and how long they are."""
-
-    def one(x, y):
-        out: list[dict] = []
-        for i, j in anchored(list(x), list(y)):
-            last = out[-1] if out else None
-            if last and last["i"] + last["n"] == i and last["j"] + last["n"] == j:
-                last["n"] += 1
-            else:
-                out.append({"i": i, "j": j, "n": 1})
-        return out
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
-# So that no filter on what is made of the runs is pushed below them, where Python cannot run inside it.
-common_runs = common_runs.asNondeterministic()
+    return sorted((at[i], to[j]) for i, j in out)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -21,16 +21,17 @@ from .layout import GRAPHICS, steps
 #: The thresholds of the grid.
 POSITIONS, LEVELS, AREAS = (0.25, 0.75, 1.5), (32, 48, 96), (4, 16, 64)
 _FAR = float("inf")
+#: Digits of a deviation: the differences of places that are told apart from a threshold, not those of binary fractions.
+DIGITS = 9
 
 
 def deviations(pairs: DataFrame, first_marked: DataFrame | None = None) -> DataFrame:
     """case, early, wrapped: how far words before the first edited one moved at most, and how far words of a line moved apart.
 
-    pairs: rows of layout.aligned(), or of layout.paired() with first.  Another page is infinitely far.
+    pairs: rows of layout.aligned().  Another page is infinitely far.
     """
     both = pairs.where("a IS NOT NULL AND b IS NOT NULL")
-    if "first" not in pairs.columns:
-        both = both.withColumn("first", F.lit(None).cast("int")) if first_marked is None else both.join(first_marked, "case", "left")
+    both = both.withColumn("first", F.lit(None).cast("int")) if first_marked is None else both.join(first_marked, "case", "left")
     off = lambda f: F.abs(F.col(f"b.{f}") - F.col(f"a.{f}"))
     moved = F.when(F.col("a.page") != F.col("b.page"), _FAR).otherwise(F.greatest(off("x0"), off("top")))
     line = Window.partitionBy("case", "a.page", F.bround("a.top", 1)).orderBy("a.ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -38,7 +39,7 @@ def deviations(pairs: DataFrame, first_marked: DataFrame | None = None) -> DataF
     spread = F.abs((F.col("b.x0") - F.col("lb.x0")) - (F.col("a.x0") - F.col("la.x0")))
     apart = F.when(F.col("b.page") != F.col("lb.page"), _FAR).otherwise(F.greatest(F.abs(F.col("b.top") - F.col("lb.top")), spread))
     before = F.col("first").isNull() | (F.col("a.ord") < F.col("first"))
-    return lead.groupBy("case").agg(F.max(F.when(before, moved)).alias("early"), F.max(apart).alias("wrapped"))
+    return lead.groupBy("case").agg(F.round(F.max(F.when(before, moved)), DIGITS).alias("early"), F.round(F.max(apart), DIGITS).alias("wrapped"))
 
 
 def still_pages(before: DataFrame, after: DataFrame, pairs: DataFrame, graphics: float = GRAPHICS) -> DataFrame:
