@@ -12,7 +12,7 @@ Pages whose sides differ in size, or that one side lacks, are one region each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,15 @@ def plan(height: Column, dpi: Column, reflow_top: Column, shift: Column, last_bo
     return {"cut": F.when(reflow_top.isNotNull(), cut), "start": F.when(fits, start), "shift": F.when(fits, down)}
 
 
+def difference(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """By how much the channel differs that differs most."""
+    by = np.maximum(before, after) - np.minimum(before, after)
+    return np.maximum(np.maximum(by[..., 0], by[..., 1]), by[..., 2])
+
+
 def changed(before: np.ndarray, after: np.ndarray, level: int) -> np.ndarray:
     """Where any channel differs by more than level."""
-    return np.abs(before.astype(np.int16) - after.astype(np.int16)).max(axis=2, initial=0) > level
+    return difference(before, after) > level
 
 
 def opened(mask: np.ndarray) -> np.ndarray:
@@ -85,51 +91,52 @@ def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
     return out, len(kept)
 
 
-def _moved(b: np.ndarray, a: np.ndarray, top: int, left: int, bottom: int, right: int, start: int, shift: int, level: int) -> np.ndarray:
-    """Where the after side's [top, bottom) x [left, right) differs from all that the before side has near shift rows above."""
+def _moved(b: np.ndarray, a: np.ndarray, top: int, left: int, bottom: int, right: int, start: int, shift: int) -> np.ndarray:
+    """By how much the after side's [top, bottom) x [left, right) differs at least from all that the before side has near shift rows above."""
     height, width = b.shape[:2]
     rows = height - start - shift - 1
-    best = np.full((bottom - top, right - left), 255, np.int16)
-    target = a[top:bottom, left:right].astype(np.int16)
+    best = np.full((bottom - top, right - left), 255, np.uint8)
+    target = a[top:bottom, left:right]
     columns = np.arange(left, right)
     for o in range(-shift - 2, -shift + 3):
         if start + o < 0 or start + o + rows > height:
             continue
         for ox in (-1, 0, 1):
-            delta = np.abs(b[top + o : bottom + o, (columns - ox) % width].astype(np.int16) - target).max(axis=2, initial=0)
+            delta = difference(b[top + o : bottom + o, (columns - ox) % width], target)
             if ox:
                 delta[:, (columns == 0) | (columns == width - 1)] = 255
             best = np.minimum(best, delta)
-    return best > level
+    return best
 
 
-def page_mask(b: np.ndarray, a: np.ndarray, top: int, left: int, bottom: int, right: int, expected, cut, start, shift, level: int) -> np.ndarray:
-    """The changed pixels of a part of a page, before the opening."""
-    mask = changed(b[top:bottom, left:right], a[top:bottom, left:right], level)
+def page_difference(b: np.ndarray, a: np.ndarray, top: int, left: int, bottom: int, right: int, expected, cut, start, shift) -> np.ndarray:
+    """By how much the pixels of a part of a page differ, 0 where change is expected: those beyond a level are changed, before the opening."""
+    by = difference(b[top:bottom, left:right], a[top:bottom, left:right])
     for e in expected or ():
-        mask[max(e["y0"] - top, 0) : max(e["y1"] - top, 0), max(e["x0"] - left, 0) : max(e["x1"] - left, 0)] = False
+        by[max(e["y0"] - top, 0) : max(e["y1"] - top, 0), max(e["x0"] - left, 0) : max(e["x1"] - left, 0)] = 0
     if cut is not None:
-        mask[max(cut - top, 0) :] = False
+        by[max(cut - top, 0) :] = 0
         if shift is not None:
             lo, hi = max(top, start), min(bottom, len(b) - shift - 1)
             if lo < hi:
-                mask[lo - top : hi - top] |= _moved(b, a, lo, left, hi, right, start, shift, level)
-    return mask
+                part = by[lo - top : hi - top]
+                np.maximum(part, _moved(b, a, lo, left, hi, right, start, shift), out=part)
+    return by
 
 
-REGIONS = "case string, page int, region string, area long"
+REGIONS = "case string, page int, level int, region string, area long"
 
 
-def _page(row: dict, tile: int, level: int) -> np.ndarray:
-    """The changed pixels of a page, put together from its tiles."""
+def _page(row: dict, tile: int) -> np.ndarray:
+    """By how much the pixels of a page differ, put together from its tiles."""
     height, width = row["height"], row["width"]
     b, a = (np.frombuffer(row[s], np.uint8).reshape(height, width, 3) for s in ("before", "after"))
-    mask = np.zeros((height, width), bool)
+    by = np.zeros((height, width), np.uint8)
     for top in range(0, height, tile):
         for left in range(0, width, tile):
             bottom, right = min(height, top + tile), min(width, left + tile)
-            mask[top:bottom, left:right] = page_mask(b, a, top, left, bottom, right, row["expected"], row["cut"], row["start"], row["shift"], level)
-    return mask
+            by[top:bottom, left:right] = page_difference(b, a, top, left, bottom, right, row["expected"], row["cut"], row["start"], row["shift"])
+    return by
 
 
 #: Rows and bytes of both sides' pixels that one Arrow batch holds.
@@ -138,16 +145,26 @@ BATCH_ROWS, BATCH_BYTES = 10_000, 64 << 20
 
 def regions(pages: DataFrame, tile: int = TILE, level: int = LEVEL, least: int = LEAST_AREA) -> DataFrame:
     """case, page, region (its first pixel), area: the changed regions of least pixels and more.  Nothing is shuffled."""
+    return regions_by_level(pages, (level,), tile, least).drop("level")
+
+
+def regions_by_level(pages: DataFrame, levels: Sequence[int], tile: int = TILE, least: int = LEAST_AREA) -> DataFrame:
+    """The same at each of several levels, beside level: a page is read, and its sides are compared, once for all of them."""
     fits = (F.length("before") == F.length("after")) & (F.length("before") == 3 * F.col("width") * F.col("height"))
     sound = pages.where(F.coalesce(fits, F.lit(False)))
-    odd = pages.where(~F.coalesce(fits, F.lit(False))).select(F.col("case").cast("string"), "page", F.lit("size").alias("region"), F.lit(None).cast("long").alias("area"))
-    kind = pa.schema([("case", pa.string()), ("page", pa.int32()), ("region", pa.string()), ("area", pa.int64())])
+    every = F.explode(F.array(*map(F.lit, levels))).alias("level")
+    odd = pages.where(~F.coalesce(fits, F.lit(False))).select(F.col("case").cast("string"), "page", every, F.lit("size").alias("region"), F.lit(None).cast("long").alias("area"))
+    kind = pa.schema([("case", pa.string()), ("page", pa.int32()), ("level", pa.int32()), ("region", pa.string()), ("area", pa.int64())])
 
     def of(row: dict) -> Iterator[tuple]:
-        ys, begins, ends, roots = joined(opened(_page(row, tile, level)))
-        areas = np.bincount(roots, weights=ends - begins, minlength=len(roots)).astype(np.int64)
-        for k in np.flatnonzero(areas >= max(least, 1)):
-            yield row["case"], row["page"], f"{ys[k]}.{begins[k]}", int(areas[k])
+        by = _page(row, tile)
+        most = by.max()
+        for level in levels:
+            if most > level:
+                ys, begins, ends, roots = joined(opened(by > level))
+                areas = np.bincount(roots, weights=ends - begins, minlength=len(roots)).astype(np.int64)
+                for k in np.flatnonzero(areas >= max(least, 1)):
+                    yield row["case"], row["page"], level, f"{ys[k]}.{begins[k]}", int(areas[k])
 
     def run(batches):
         for b in batches:

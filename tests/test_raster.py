@@ -131,3 +131,15 @@ def test_regions_shuffle_nothing(spark):
     b = np.zeros((40, 40, 3), np.uint8)
     plan = raster.regions(spark.createDataFrame([row("c", b, 255 - b)], SCHEMA), 16)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_levels_in_one_reading(spark):
+    """Each level's regions are those of a run of its own, and the plan reads its pages once."""
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 60, (20, 24, 3), np.uint8)
+    a = b + rng.integers(0, 140, (20, 24, 3), np.uint8)
+    pages = spark.createDataFrame([row("c", b, a), row("d", b, b), row("e", b, a[:9])], SCHEMA)
+    got = raster.regions_by_level(pages, (32, 48, 96), tile=7, least=1)
+    want = {(r.case, r.page, level, r.region, r.area) for level in (32, 48, 96) for r in raster.regions(pages, tile=7, level=level, least=1).collect()}
+    assert {tuple(r) for r in got.collect()} == want and len({r[2] for r in want if r[0] == "c"}) == 3
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
